@@ -4,14 +4,26 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Control characters that ``str.split`` takes for white space and the tokenizer doesn't.
-ODD = re.compile("[\x1c-\x1f]")
 #: Words kept with their ids by one Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
+
+
+def _kinds() -> bytes:
+    """For each Latin-1 character: a letter or number, white space, a full stop or comma, other marks, or one that ``str.split`` alone takes for white space."""
+    kinds = bytearray()
+    for c in map(chr, range(256)):
+        odd = "\x1c" <= c <= "\x1f"
+        kinds += b"o" if odd else b" " if c.isspace() else b"a" if unicodedata.category(c)[0] in "LN" else b"." if c in ".," else b"p"
+    return bytes(kinds)
+
+
+KINDS = _kinds()
+ODD = re.compile("[\x1c-\x1f]")
 
 
 def default_tokenizer() -> str:
@@ -23,9 +35,11 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, exactly as the tokenizer's own.
 
-    For tokenizers whose pre-tokenizer drops white space and never joins what it separates: a text's ids are then its
-    words' ids in turn, and a word's ids are looked up from its last occurrence. New words of a batch are encoded in one
-    call and told apart by offsets. Texts with characters on which the two notions of white space differ go in whole.
+    For tokenizers that lower-case, drop white space and keep letters, numbers and runs of other marks apart: a text's
+    ids are then its words' ids in turn, and a word's ids are looked up from its last occurrence. In Latin-1 texts,
+    which lower case and normalization treat letter by letter, words are also lower-cased and parted from a comma or
+    full stop behind them beforehand, so fewer differ. New words of a batch are encoded in one call and told apart by
+    offsets. Texts on which the two notions of white space differ go in whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -34,32 +48,62 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            offsets = np.fromiter((a for a, _ in code.offsets), np.int64, len(code.ids))
-            cuts = (np.searchsorted(offsets, starts) * 4).tolist()
-            ids = np.asarray(code.ids, "<u4").tobytes()
-            self.known.update((w, ids[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [None if t is None or ODD.search(t) else t.split() for t in texts]
-        new = set().union(*(w for w in split if w is not None)).difference(self.known)
-        if len(new) + len(self.known) > self.remembered:
-            self.known = {}
-            new = set().union(*(w for w in split if w is not None))
-        if new:
-            self.learn(list(new))
-        for text, own in zip(texts, split):
-            if own is not None:
-                yield b"".join(map(self.known.__getitem__, own))
+        for letters in (True, False):  # a word of letters alone ends where its last token does; others by offsets
+            chosen = [w for w in new if w.isalpha() == letters]
+            for at in range(0, len(chosen), 20_000):
+                some = chosen[at : at + 20_000]
+                text = " ".join(some)
+                if letters:
+                    ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                    cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+                if not letters or len(cuts) != len(some) + 1:
+                    code = self.tokenizer.encode(text, add_special_tokens=False)
+                    offsets = np.fromiter((a for a, _ in code.offsets), np.int64, len(code.ids))
+                    ids = np.asarray(code.ids, "<u4")
+                    cuts = (np.searchsorted(offsets, np.cumsum([0] + [len(w) + 1 for w in some])) * 4).tolist()
+                packed = ids.tobytes()
+                self.known.update(zip(some, [packed[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    @staticmethod
+    def words(text: str) -> list[str] | None:
+        try:
+            kinds = text.encode("latin-1").translate(KINDS)
+        except UnicodeEncodeError:
+            return None if ODD.search(text) else text.split()
+        if b"o" in kinds:
+            return None
+        text = text.lower()
+        if not (b"p. " in kinds or b".. " in kinds or kinds[-2:] in (b"p.", b"..")):
+            text = f"{text} ".replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
+        return text.split()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        flat: list[str] = []
+        cuts, whole = [0], {}
+        for i, text in enumerate(texts):
+            own = self.words(text) if text else []
+            if own is None:
+                whole[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                yield np.asarray(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+                flat += own
+            cuts.append(len(flat))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = {flat[i] for i in missing}
+            if len(self.known) + len(new) > self.remembered:
+                self.known = {}
+            self.learn(list(new))
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
