@@ -34,27 +34,39 @@ def words(text: Column) -> Column:
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: str, before: str) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over the rows of the same group that come earlier in ``order``.
+    """``df`` with ``before``: the sum of ``value`` over the rows of the same group that come earlier in ``order``."""
+    return scan(df, group, order, {before: ("sum", value)}).withColumn(before, F.coalesce(before, F.lit(0)))
+
+
+def scan(df: DataFrame, group: list[str], order: list[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with a column for each of ``wanted``, name to ("sum" or "max", column), over earlier rows of the same group.
 
     No group is gathered in one task: rows are range-partitioned on (group, order), which splits large groups, summed
     inside each range, and shifted by the totals of the ranges before it. Rows equal in group and order come in any order.
-    Nulls are a group of their own, and sort first within one.
+    Nulls are a group of their own, and sort first within one. The first row of a group gets null.
     """
     keys = [*group, *order]
     ranged = cut(df.repartitionByRange(parts(df.sparkSession), *keys).withColumn("__range", F.spark_partition_id()))
-    inside = Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__range", *group).agg(F.sum(value).alias("__total"))
+    how = {"sum": F.sum, "max": F.max}
+    totals = ranged.groupBy("__range", *group).agg(*[how[f](c).alias(f"__t{i}") for i, (f, c) in enumerate(wanted.values())])
     shift = totals.select(
         F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__shift"),
+        *[how[f](f"__t{i}").over(earlier).alias(f"__s{i}") for i, (f, _) in enumerate(wanted.values())],
     )
-    local = ranged.withColumn(before, F.sum(value).over(inside) - F.col(value))
+    local = ranged.withColumns({name: how[f](c).over(inside) for name, (f, c) in wanted.items()})
     on = F.col("__range") == F.col("__r")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = local.join(shift, on)
-    return joined.withColumn(before, F.col(before) + F.col("__shift")).drop("__range", "__r", "__shift", *[f"__g{i}" for i in range(len(group))])
+    none = F.lit(0)
+    final = {
+        name: F.greatest(name, f"__s{i}") if f == "max"
+        else F.when(F.col(name).isNotNull() | F.col(f"__s{i}").isNotNull(), F.coalesce(name, none) + F.coalesce(f"__s{i}", none))
+        for i, (name, (f, _)) in enumerate(wanted.items())
+    }
+    return joined.withColumns(final).select(*df.columns, *wanted)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, mixing, packing, sharding
+from millrace.llm import chat, language, mixing, packing, separators, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_document_tokens(table(spark, sf_dir, "documents")).select("doc_id", "stream", "ordinal", "start", "n_tokens")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.in_fold(F.col("doc_id"))
+    model = language.train_languages(docs.where(~held_out), key=F.col("doc_id"))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
@@ -32,7 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_chat_formatting, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_language_id, op6_chat_formatting, op9_mixing, op10_sharding)}
 
 ORACLE_SQL = {
     "op6_chat_formatting": """
