@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, language, mixing, packing, separators, sharding
+from millrace.llm import chat, language, licenses, mixing, packing, separators, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = licenses.train_licenses(licenses.sample_paragraphs(docs))
+    return licenses.scan_licenses(docs, model)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -43,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_language_id, op6_chat_formatting, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op6_chat_formatting, op9_mixing, op10_sharding)}
 
 ORACLE_SQL = {
     "op6_chat_formatting": """
