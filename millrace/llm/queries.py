@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, language, licenses, mixing, neardup, neighbours, packing, separators, sharding
+from millrace.llm import chat, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
@@ -57,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding)}
 
 ORACLE_SQL = {
     "op6_chat_formatting": """
