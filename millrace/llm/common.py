@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path, in the shared checkpoint folder of the session."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,3 +97,32 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.selectExpr("a AS node", "b AS component").union(now.selectExpr("b AS node", "b AS component").distinct())
+
+
+#: Bits of a filter of ids: 4 MB whatever the number of ids.
+FILTER_BITS = 25
+
+
+def filter_place(id_column: Column) -> Column:
+    return F.pmod(F.xxhash64(id_column), F.lit(1 << FILTER_BITS))
+
+
+def filter_maps(ids: DataFrame) -> DataFrame:
+    """(bucket, bits) of the places of all ``ids`` (id): at most 1024 rows of 4 kB, made by Spark's bitmap aggregate."""
+    places = ids.select((filter_place(F.col("id")) + 1).alias("p"))
+    return places.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+
+
+def without(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose id is in ``gone`` (id). Only rows that a filter of fixed size lets through are shuffled; rows with a null id stay."""
+    gone = cut(gone.where("id IS NOT NULL").distinct())
+    maps = cut(filter_maps(gone).withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"}))
+    place = filter_place(F.col(f"`{id_col}`"))
+    marked = rows.join(F.broadcast(maps), F.floor(place / 32768) + 1 == F.col("__bucket"), "left")
+    at = (place % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    maybe = marked.where(hit).select(*names)
+    kept = maybe.join(gone.select(F.col("id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return marked.where(~hit).select(*names).unionByName(kept)

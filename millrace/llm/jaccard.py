@@ -23,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut, parts
+from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts
 from millrace.llm.hashing import mix, shingle_sets
 from millrace.llm.tokens import batches
 
-#: Longest prefix extension considered, work of verifying a pair per shingle against that of one list entry,
-#: and bits of the filter of documents to read again (4 MB).
-MOST_MATCHES, VERIFY, FILTER_BITS = 8, 0.05, 25
+#: Longest prefix extension considered, and work of verifying a pair per shingle against that of one list entry.
+MOST_MATCHES, VERIFY = 8, 0.05
 SIGN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,10 +152,9 @@ def read_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
     A bit map of hashed ids, of fixed size, keeps most other texts from being hashed; what it lets through is joined.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    maps = chosen.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    place = filter_place(F.col("id"))
     table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in maps:
+    for r in filter_maps(chosen).collect():
         table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])

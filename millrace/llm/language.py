@@ -126,14 +126,16 @@ def train_languages(
     return ridge(packed, [r["label"] for r in got], landmarks, penalty)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score`` (0 to 1).
+def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row with the predicted language and its score (0 to 1) as columns ``names``.
 
     A null, empty or letterless text is ``und`` with score 0, and so is every text where there is no model. Scores are
     the best language's regression value taken from -1..1 to 0..1; ties go to the language first in code-point order.
     Repeated rows are scored alike. Only ``keep`` and the text are read.
     """
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    keep, called = list(keep), names
+    at_text = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col)] if at_text == len(keep) else []))
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most landmarks times 8 kB
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("d
         if model is not None:
             model.ready()
         for table in tables:
-            texts = table.column(len(keep)).to_pylist()
+            texts = table.column(at_text).to_pylist()
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             told = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model is not None else []
             at = 0
@@ -155,10 +157,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("d
                 best = values.argmax(axis=1)
                 for i, b, v in zip(some, best.tolist(), values.max(axis=1).tolist()):
                     names[i], scores[i] = model.languages[b], min(1.0, max(0.0, (v + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*table.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*table.schema.names[: len(keep)], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*table.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*table.schema.names[: len(keep)], *called])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{called[0]} string", f"{called[1]} double"]))
 
 
 def in_fold(id_column: Column, fold: int = 2, folds: int = 4) -> Column:

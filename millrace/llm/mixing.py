@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, running, words
@@ -33,57 +33,81 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return sources.select("source", "source_size", F.least(ceiling, F.col("weight") * F.lit(level)).alias("target"))
 
 
+def draw(seed: int, id_col: str, text_col: str) -> Column:
+    """A row's draw, the same in every run and every copy of the row."""
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+
+
+def shares(rate: Column, most: float, hashed: Column) -> tuple[Column, Column, Column]:
+    """Of a wanted number of copies: the certain ones, the probability of one more, and the odds by which rows are ranked for it."""
+    rate = F.least(rate, F.lit(float(most)))
+    sure = F.floor(rate + 1e-9)  # a ratio of doubles that should be whole counts as whole
+    p = F.greatest(rate - sure, F.lit(0.0))
+    uniform = (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / float(2**53)
+    odds = F.when(p > 1e-9, (uniform / (1 - uniform)) / (p / (1 - p))).otherwise(F.lit(float("inf")))
+    return sure.cast("int"), F.when(p > 1e-9, p).otherwise(0.0), odds
+
+
 def mix_documents(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size (words), source_size, target and ``copies`` (how often it is taken).
+    """One row per row of ``docs``: doc_id, source, size (words), source_size, target, ``copies`` (how often it is taken),
+    and how that came: ``sure``, ``drawn``, ``odds`` and ``draw``.
 
     A document is wanted target / source_size times (times its importance over the source's mean importance by size, at
     most ``most`` times, where ``importance_col`` is given). The whole part of that is certain. For the fraction p left,
     documents of a source are ranked by the odds of a uniform draw over the odds of p, and taken in this order while the
     words so far, to the middle of the next document, stay below the words that the fractions stand for: a sample of
-    fixed size with unequal probabilities. Draws are hashes of ``seed``, id, checksum of the text and size, so reruns
-    agree. Repeated rows are taken or left by themselves; rows without words count 0 and are taken as the order has it;
-    a null source is a source; a null or negative importance is 0. Sources of any size are split over tasks.
+    fixed size with unequal probabilities. Draws are hashes of ``seed``, id and the text's checksum, so reruns agree.
+
+    Repeated rows are taken or left by themselves; rows without words count 0 and are taken as the order has it; a null
+    source is a source; a null or negative importance is 0. Sources of any size are split over tasks.
     """
     importance = F.lit(1.0) if importance_col is None else F.greatest(F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), importance.alias("__importance"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("__hash"),
-    )
-    rows = cut(rows)
+    rows = cut(docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), importance.alias("importance"),
+        draw(seed, id_col, text_col).alias("draw"),
+    ))
     targets = source_targets(rows, weights, share, most)
     # A source of any size meets its one row here; the join splits large sources.
     wanted = rows.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     if importance_col is not None:
-        means = rows.groupBy(F.col("source").alias("__source")).agg((F.sum(F.col("__importance") * F.col("size")) / F.sum("size")).alias("__mean"))
+        means = rows.groupBy(F.col("source").alias("__source")).agg((F.sum(F.col("importance") * F.col("size")) / F.sum("size")).alias("__mean"))
         wanted = wanted.join(means, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        rate = F.coalesce(F.try_divide(rate * F.col("__importance"), F.col("__mean")), F.lit(0.0))
-    # 1e-9: a ratio of doubles that should be whole counts as whole.
-    wanted = wanted.withColumn("__rate", F.least(rate, F.lit(float(most)))).withColumn("__sure", F.floor(F.col("__rate") + 1e-9))
-    wanted = wanted.withColumn("__p", F.greatest(F.col("__rate") - F.col("__sure"), F.lit(0.0)))
-    uniform = (F.shiftrightunsigned("__hash", 11).cast("double") + 0.5) / float(2**53)
-    odds = F.when(F.col("__p") > 1e-9, (uniform / (1 - uniform)) / (F.col("__p") / (1 - F.col("__p")))).otherwise(F.lit(float("inf")))
-    quota = wanted.groupBy(F.col("source").alias("__source")).agg(F.sum(F.when(F.col("__p") > 1e-9, F.col("__p") * F.col("size")).otherwise(0.0)).alias("__quota"))
-    ranked = running(wanted.withColumn("__odds", odds), ["source"], ["__odds", "doc_id", "__hash"], "size", "__before")
+        rate = F.coalesce(F.try_divide(rate * F.col("importance"), F.col("__mean")), F.lit(0.0))
+    sure, p, odds = shares(rate, most, F.col("draw"))
+    wanted = wanted.withColumns({"sure": sure, "__p": p, "odds": odds})
+    quota = wanted.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col("__p") * F.col("size")).alias("__quota"))
+    ranked = running(wanted, ["source"], ["odds", "doc_id", "draw"], "size", "__before")
     ranked = ranked.join(quota, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    drawn = (F.col("__p") > 1e-9) & (F.col("__before") + F.col("size") / 2 <= F.col("__quota"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("__sure") + drawn.cast("int")).cast("int").alias("copies"), "__hash")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every row repeated as often as ``mix_documents`` takes it; columns as they were."""
-    seed = options.get("seed", 0)
-    names = docs.columns
-    tagged = docs.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    plan = mix_documents(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0")
-    # Repeated rows share a hash: their copies are added up and dealt to them in turn.
-    plan = plan.groupBy("__hash").agg(F.sum("copies").alias("__copies"))
-    twins = Window.partitionBy("__h").orderBy(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
-    size = Window.partitionBy("__h")
-    n, k = F.count("*").over(size), F.row_number().over(twins) - 1
-    joined = tagged.join(plan, F.col("__h") == F.col("__hash")).withColumn("__n", n).withColumn("__k", k)
-    times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__k") < F.col("__copies") % F.col("__n")).cast("int")
-    return joined.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
+    drawn = (F.col("__p") > 0) & (F.col("__before") + F.col("size") / 2 <= F.col("__quota"))
+    copies = F.col("sure") + drawn.cast("int")
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "sure", drawn.alias("drawn"), "odds", "draw")
+
+
+#: Sources up to which their table is broadcast.
+FEW = 100_000
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """``docs`` with every row repeated as often as ``mix_documents`` takes it; columns as they were.
+
+    Rows drawn are the first of their source in its order, so the last one drawn tells them: texts aren't shuffled, and
+    each row decides by its source's line in a table. Rows alike in id and text are taken alike.
+    """
+    plan = mix_documents(docs, weights, share, most, seed, id_col, text_col, source_col)
+    last = F.max(F.when(F.col("drawn"), F.struct("odds", "doc_id", "draw")))
+    table = cut(plan.groupBy(F.col("source").alias("__source")).agg(F.first("target").alias("__target"), F.first("source_size").alias("__size"), last.alias("__last")))
+    table = F.broadcast(table) if table.count() <= FEW else table
+    rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
+    sure, p, odds = shares(rate, most, draw(seed, id_col, text_col))
+    mine = F.struct(odds.alias("odds"), F.col(f"`{id_col}`").alias("doc_id"), draw(seed, id_col, text_col).alias("draw"))
+    times = sure + F.coalesce((p > 0) & (mine <= F.col("__last")), F.lit(False)).cast("int")
+    joined = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).withColumn("__times", times).where("__times > 0")
+    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
