@@ -19,16 +19,18 @@ SCHEMA = pa.schema([
 WAITING = 8192
 
 
-def closest_fill(counts: dict[int, int], window: int) -> dict[int, int]:
+def closest_fill(counts: dict[int, int], window: int, lengths: list[int] | None = None) -> dict[int, int]:
     """The multiset of lengths, the longest present among them, whose sum is closest below or at ``window``.
 
     Bit i of ``reach`` says that some multiset sums to i. Lengths enter from long to short, each in binary multiples of
-    its count, until the window itself is reached; walking back through the layers gives how often each length is used.
+    its count, until the window itself is reached; walking back through the layers gives how often each length is used. ``lengths`` are
+    the keys of ``counts`` from long to short.
     """
-    longest = max(counts)
+    lengths = sorted(counts, reverse=True) if lengths is None else lengths
+    longest = lengths[0]
     room = window - longest
     reach, mask, layers = 1, (1 << (room + 1)) - 1, []
-    for length in sorted(counts, reverse=True):
+    for length in lengths:
         left = min(counts[length] - (length == longest), room // length)
         multiple = 1
         while left > 0:
@@ -51,13 +53,18 @@ def closest_fill(counts: dict[int, int], window: int) -> dict[int, int]:
 def pack(waiting: dict[int, list], window: int, last: bool) -> Iterator[list]:
     """Lists of pieces, one for each window; takes them from ``waiting``. Unless ``last``, windows that can't be filled stay."""
     counts = {n: len(p) for n, p in waiting.items() if p}
-    while counts:
-        used = closest_fill(counts, window)
+    lengths = sorted(counts, reverse=True)
+    while lengths:
+        used = closest_fill(counts, window, lengths)
         if not last and sum(n * k for n, k in used.items()) < window:
             return
-        for _ in range(min(counts[n] // k for n, k in used.items())):
+        times = min(counts[n] // k for n, k in used.items())
+        for _ in range(times):
             yield [waiting[n].pop() for n, k in used.items() for _ in range(k)]
-        counts = {n: len(p) for n, p in waiting.items() if p}
+        for n, k in used.items():
+            counts[n] -= times * k
+        if not all(counts[n] for n in used):
+            lengths = [n for n in lengths if counts[n]]
 
 
 def pack_documents(
