@@ -2,7 +2,7 @@
 
 Three facts carry the join. A pair with Jaccard similarity s shares at least s times the larger set, so a document of
 which less than s of the shingles occur in any other document links with nothing. In one order of all shingles, rare ones
-first, two linked documents share at least l of the first n - ceil(s * n) + l of each. And classes need no more links than
+first, two linked documents share at least l of the first n - ceil(s * n) + l of each, and more if their sizes ask for a larger intersection than that. And classes need no more links than
 hold them together, so pairs that are already connected needn't be looked at.
 
 1. Shingle hashes of all documents, in sorted blocks, are dealt to hash ranges; each range counts in how many documents a
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts
@@ -196,11 +196,14 @@ def prefix(frequencies: np.ndarray, n: int, least: int) -> tuple[int, int]:
     return best, n - need + best
 
 
-LISTS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("l", pa.int32())])
+LISTS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("l", pa.int32()), ("s", pa.int64()), ("middle", pa.float64())])
 
 
 def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
-    """(token, id, n, l) of the prefixes of ``sets`` (id, n, tokens; checkpointed, as its blocks are formed twice)."""
+    """(token, id, n, l, s, middle) of the prefixes of ``sets`` (id, n, tokens; checkpointed, as its blocks are formed twice).
+
+    ``s`` is how many of a set's shingles occur in another, ``middle`` is the mean frequency of a set's shingles: the text that others were copied from has the largest of its kind.
+    """
 
     def blocks(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
         task, number, ids, sets_, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
@@ -252,19 +255,20 @@ def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
             cuts = np.cumsum(np.concatenate([[0], sizes]))
             for i, c, d in zip(ids.tolist(), cuts, cuts[1:]):
                 own, often, n = tokens[c:d], times[c:d], int(d - c)
-                if 100 * int((often > 1).sum()) < least * n:
+                common = int((often > 1).sum())
+                if 100 * common < least * n:
                     continue
                 by = np.lexsort((own, often))
                 l, length = prefix(often[by], n, least)
                 by = by[:length]
                 by = by[often[by] > 1]
-                out.append(pa.RecordBatch.from_arrays([pa.array(own[by].view(np.int64)), pa.array(np.full(len(by), i)), pa.array(np.full(len(by), n)), pa.array(np.full(len(by), l, np.int32))], schema=LISTS))
+                out.append(pa.RecordBatch.from_arrays([pa.array(own[by].view(np.int64)), pa.array(np.full(len(by), i)), pa.array(np.full(len(by), n)), pa.array(np.full(len(by), l, np.int32)), pa.array(np.full(len(by), common)), pa.array(np.full(len(by), often.mean()))], schema=LISTS))
         return pa.Table.from_batches(out, schema=LISTS)
 
     dealt = sets.mapInArrow(deal, "part int, block long, hashes binary, times binary")
     back = dealt.groupBy("part").applyInArrow(count, "part int, block long, times binary")
     bundles = sets.mapInArrow(bundle, "block long, ids binary, sizes binary, tokens binary")
-    return bundles.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, "token long, id long, n long, l int")
+    return bundles.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, "token long, id long, n long, l int, s long, middle double")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -275,13 +279,43 @@ def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.where(100 * common >= least * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def near(x: str, y: str, least: int):
-    """Whether two set sizes allow the similarity."""
-    return 100 * F.least(x, y) >= least * F.greatest(x, y)
+def needed(x: str, y: str, least: int) -> Column:
+    """Least intersection of two sets of sizes x and y that reaches the similarity."""
+    return F.ceil(least * (F.col(x) + F.col(y)) / F.lit(100 + least))
+
+
+def possible(x: str, y: str, least: int) -> Column:
+    """Whether two sets' sizes n and numbers of shingles s that occur elsewhere allow the similarity; ``x`` and ``y`` are patterns of column names."""
+    nx, ny, sx, sy = x.format("n"), y.format("n"), x.format("s"), y.format("s")
+    return (100 * F.least(nx, ny) >= least * F.greatest(nx, ny)) & (needed(nx, ny, least) <= F.least(sx, sy))
+
+
+def least_matches(nx: str, ny: str, l: str, least: int) -> Column:
+    """Matches that prefixes for ``l`` have at least if the sets reach the similarity.
+
+    All but ceil(least% of n) - l of a set lie in its prefix, and of the shingles that both have those before the end of
+    the shorter-reaching prefix are in both; so a pair that needs a larger intersection needs as many more matches.
+    """
+    return needed(nx, ny, least) - F.ceil(least * F.greatest(nx, ny) / F.lit(100)) + F.col(l)
+
 
+def alike(lists: DataFrame) -> DataFrame:
+    """(token, id, n, l, s, middle, w): of tokens with the same list one, with their number; lists of one entry are left out.
+
+    The shingles of a passage that some documents share have one list; its entries then count once for all of them.
+    Lists are compared by their lengths and two 64-bit exclusive-ors of hashed entries.
+    """
+    marks = lists.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    first = marks.where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("w"))
+    return lists.join(first.select("token", "w"), "token")
 
-def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 2) -> DataFrame:
-    """Links (a, b) that hold all components of the similarity together."""
+
+def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 3) -> DataFrame:
+    """Links (a, b) that hold all components of the similarity together.
+
+    The first round takes each list's most central set for pivot, later ones any; the last joins what is left in full.
+    """
+    lists = cut(alike(lists))
     links = None
     for step in range(rounds + 1):
         if links is None:
@@ -289,18 +323,21 @@ def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 2) -> Data
         else:
             now = components(links)
             named = lists.join(now, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
-            spread = lists_of_several(named)
-            named = named.join(spread, "token", "left_semi")
+            named = cut(named.join(lists_of_several(named), "token", "left_semi"))
+            if named.isEmpty():
+                break
         if step < rounds:
-            mark = F.struct(F.xxhash64(F.lit(step), "c").alias("h"), "id", "n", "c")
+            rank = -F.col("middle") if step == 0 else F.xxhash64(F.lit(step), "c").cast("double")
+            mark = F.struct(rank.alias("h"), "id", "n", "s", "c")
             pivots = named.groupBy("token").agg(F.min(mark).alias("p"))
-            pairs = named.join(pivots, "token").where((F.col("c") != F.col("p.c")) & near("n", "p.n", least))
+            pairs = named.join(pivots, "token").where((F.col("c") != F.col("p.c")) & possible("{}", "p.{}", least))
             pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         else:
-            left = named.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("c").alias("ca"))
-            right = named.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
-            pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("na", "nb", least))
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("la", "lb")).alias("l")).where("m >= l").select("a", "b")
+            left = named.select("token", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("l").alias("la"), F.col("c").alias("ca"))
+            right = named.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
+            pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible("{}a", "{}b", least))
+            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("m"), F.min(F.least("la", "lb")).alias("l"))
+            pairs = pairs.where(F.col("m") >= least_matches("na", "nb", "l", least)).select("a", "b")
         found = cut(verify(cut(pairs), sets, least))
         links = found if links is None else cut(links.union(found))
     return links
