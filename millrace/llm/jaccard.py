@@ -2,15 +2,17 @@
 
 Three facts carry the join. A pair with Jaccard similarity s shares at least s times the larger set, so a document of
 which less than s of the shingles occur in any other document links with nothing. In one order of all shingles, rare ones
-first, two linked documents share at least l of the first n - ceil(s * n) + l of each, and more if their sizes ask for a larger intersection than that. And classes need no more links than
-hold them together, so pairs that are already connected needn't be looked at.
+first, two linked documents share at least l of the first n - ceil(s * n) + l of each, and more if their sizes ask for a
+larger intersection than that. And classes need no more links than hold them together, so pairs that are already
+connected needn't be looked at.
 
 1. Shingle hashes of all documents, in sorted blocks, are dealt to hash ranges; each range counts in how many documents a
    hash occurs, and each document gets back how many of its shingles are shared.
 2. Documents with the same set become one. Those with enough shared shingles are read again for their sets.
 3. Exact frequencies of these order each set. Every document picks the l that costs least (``prefix``).
-4. In rounds, each posting list proposes one pivot against its other members; what still spans several components
-   is joined in full, with l matches required, and verified on whole sets.
+4. In rounds, each posting list proposes one pivot against its other members. Where a list still spans several components,
+   its entries are joined as far as their positions allow: the first shingle that two sets share leaves each as many
+   more as the intersection still needs. Pairs with l matches in their prefixes are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -196,13 +198,14 @@ def prefix(frequencies: np.ndarray, n: int, least: int) -> tuple[int, int]:
     return best, n - need + best
 
 
-LISTS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("l", pa.int32()), ("s", pa.int64()), ("middle", pa.float64())])
+LISTS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("l", pa.int32()), ("s", pa.int64()), ("middle", pa.float64()), ("at", pa.int64())])
 
 
 def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
-    """(token, id, n, l, s, middle) of the prefixes of ``sets`` (id, n, tokens; checkpointed, as its blocks are formed twice).
+    """(token, id, n, l, s, middle, at) of the prefixes of ``sets`` (id, n, tokens; checkpointed, as its blocks are formed twice).
 
-    ``s`` is how many of a set's shingles occur in another, ``middle`` is the mean frequency of a set's shingles: the text that others were copied from has the largest of its kind.
+    ``s`` is how many of a set's shingles occur in another, ``middle`` is the mean frequency of a set's shingles: the text
+    that others were copied from has the largest of its kind. ``at`` is the token's position in the set's order.
     """
 
     def blocks(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
@@ -260,15 +263,15 @@ def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
                     continue
                 by = np.lexsort((own, often))
                 l, length = prefix(often[by], n, least)
-                by = by[:length]
-                by = by[often[by] > 1]
-                out.append(pa.RecordBatch.from_arrays([pa.array(own[by].view(np.int64)), pa.array(np.full(len(by), i)), pa.array(np.full(len(by), n)), pa.array(np.full(len(by), l, np.int32)), pa.array(np.full(len(by), common)), pa.array(np.full(len(by), often.mean()))], schema=LISTS))
+                at = np.flatnonzero(often[by[:length]] > 1)
+                by = by[at]
+                out.append(pa.RecordBatch.from_arrays([pa.array(own[by].view(np.int64)), pa.array(np.full(len(by), i)), pa.array(np.full(len(by), n)), pa.array(np.full(len(by), l, np.int32)), pa.array(np.full(len(by), common)), pa.array(np.full(len(by), often.mean())), pa.array(at)], schema=LISTS))
         return pa.Table.from_batches(out, schema=LISTS)
 
     dealt = sets.mapInArrow(deal, "part int, block long, hashes binary, times binary")
     back = dealt.groupBy("part").applyInArrow(count, "part int, block long, times binary")
     bundles = sets.mapInArrow(bundle, "block long, ids binary, sizes binary, tokens binary")
-    return bundles.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, "token long, id long, n long, l int, s long, middle double")
+    return bundles.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, "token long, id long, n long, l int, s long, middle double, at long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -300,22 +303,45 @@ def least_matches(nx: str, ny: str, l: str, least: int) -> Column:
 
 
 def alike(lists: DataFrame) -> DataFrame:
-    """(token, id, n, l, s, middle, w): of tokens with the same list one, with their number; lists of one entry are left out.
+    """``lists`` with tokens of the same list as one, at the earliest of their positions in each set; lists of one entry are left out.
 
     The shingles of a passage that some documents share have one list; its entries then count once for all of them.
     Lists are compared by their lengths and two 64-bit exclusive-ors of hashed entries.
     """
     marks = lists.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    first = marks.where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("w"))
-    return lists.join(first.select("token", "w"), "token")
+    marks = marks.where("c > 1")
+    first = marks.groupBy("c", "x", "y").agg(F.min("token").alias("first"))
+    named = lists.join(marks.join(first, ["c", "x", "y"]).select("token", "first"), "token")
+    return named.groupBy(F.col("first").alias("token"), "id", "n", "l", "s", "middle").agg(F.min("at").alias("at"))
+
+
+def across(named: DataFrame, lists: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components ``c`` that share enough of their prefixes.
+
+    Where two sets share their first token, in the one order, neither has fewer tokens left than they need in common. So
+    the smaller set's token is among its first n - needed(n, n) + 1, the larger one's among its first n - least% of n + 1,
+    and those of both fit the pair. Such pairs then need the matches that their prefixes are lengthened for.
+    """
+    small = named.where(F.col("at") + needed("n", "n", least) <= F.col("n")).select("token", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "s", "c", "at")])
+    large = named.where(100 * (F.col("n") - F.col("at")) >= least * F.col("n")).select("token", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "s", "c", "at")])
+    met = small.join(large, "token").where(
+        ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ida") < F.col("idb"))) & (F.col("ca") != F.col("cb"))
+        & possible("{}a", "{}b", least) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= needed("na", "nb", least))
+    )
+    pairs = cut(met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
+    prefixes = lists.groupBy("id", "n", "l").agg(F.collect_list("token").alias("t"))
+    both = pairs.join(prefixes.select(*[F.col(x).alias(f"{x}a") for x in ("id", "n", "l", "t")]), F.col("a") == F.col("ida"))
+    both = both.join(prefixes.select(*[F.col(x).alias(f"{x}b") for x in ("id", "n", "l", "t")]), F.col("b") == F.col("idb"))
+    both = both.withColumn("l", F.least("la", "lb"))
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= least_matches("na", "nb", "l", least)).select("a", "b").distinct()
 
 
 def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 3) -> DataFrame:
     """Links (a, b) that hold all components of the similarity together.
 
-    The first round takes each list's most central set for pivot, later ones any; the last joins what is left in full.
+    The first round takes each list's most central set for pivot, later ones any; the last joins what is left (``across``).
     """
-    lists = cut(alike(lists))
+    whole, lists = lists, cut(alike(lists))
     links = None
     for step in range(rounds + 1):
         if links is None:
@@ -333,11 +359,7 @@ def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 3) -> Data
             pairs = named.join(pivots, "token").where((F.col("c") != F.col("p.c")) & possible("{}", "p.{}", least))
             pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         else:
-            left = named.select("token", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("l").alias("la"), F.col("c").alias("ca"))
-            right = named.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
-            pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible("{}a", "{}b", least))
-            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("m"), F.min(F.least("la", "lb")).alias("l"))
-            pairs = pairs.where(F.col("m") >= least_matches("na", "nb", "l", least)).select("a", "b")
+            pairs = across(named, whole, least)
         found = cut(verify(cut(pairs), sets, least))
         links = found if links is None else cut(links.union(found))
     return links
