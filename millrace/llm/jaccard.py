@@ -10,7 +10,7 @@ connected needn't be looked at.
    hash occurs, and each document gets back how many of its shingles are shared.
 2. Documents with the same set become one. Those with enough shared shingles are read again for their sets.
 3. Exact frequencies of these order each set. Every document picks the l that costs least (``prefix``).
-4. In rounds, each posting list proposes one pivot against its other members. Where a list still spans several components,
+4. Each posting list proposes one pivot against its other members. Where a list still spans several components,
    its entries are joined as far as their positions allow: the first shingle that two sets share leaves each as many
    more as the intersection still needs. Pairs with l matches in their prefixes are verified on whole sets.
 """
@@ -336,10 +336,10 @@ def across(named: DataFrame, lists: DataFrame, least: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("ta", "tb")) >= least_matches("na", "nb", "l", least)).select("a", "b").distinct()
 
 
-def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 3) -> DataFrame:
+def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 1) -> DataFrame:
     """Links (a, b) that hold all components of the similarity together.
 
-    The first round takes each list's most central set for pivot, later ones any; the last joins what is left (``across``).
+    Round by round each list takes its most central set for pivot, later any; at last ``across`` joins what is left.
     """
     whole, lists = lists, cut(alike(lists))
     links = None
