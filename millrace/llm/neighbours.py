@@ -15,7 +15,7 @@ from millrace.llm.common import cut
 
 #: Share of all rows in the lists that a query probes, dimensions of one column block, rows of one block of a list,
 #: and how many standard errors a partial distance may exceed the bound before a candidate is given up.
-SHARE, COLUMNS, BLOCK, SURENESS = 0.6, 16, 4096, 3.0
+SHARE, COLUMNS, BLOCK, SURENESS = 0.9, 16, 4096, 3.0
 #: Rows per list aimed at.
 PER_LIST = 100
 
