@@ -172,8 +172,8 @@ def choose(candidates: DataFrame, goal: str | None = None) -> DataFrame:
     """Of (name, confidence, …) the one for the goal: named as it, else sharing its words, else the most confident; one row."""
     told, exact = (goal or "").strip().lower(), wanted(goal)
     name = F.lower("name")
-    fit = F.when(F.col("name") == (exact or ""), 0).when(name.contains(told) | F.lit(told).contains(name), 1).otherwise(2) if told else F.lit(0)
-    return candidates.orderBy(fit, F.desc("confidence"), "name").limit(1)
+    fit = [F.when(F.col("name") == (exact or ""), 0).when(name.contains(told) | F.lit(told).contains(name), 1).otherwise(2)] if told else []
+    return candidates.orderBy(*fit, F.desc("confidence"), "name").limit(1)
 
 
 def cascade(probes: DataFrame, key: str) -> DataFrame:
