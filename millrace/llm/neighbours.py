@@ -55,12 +55,28 @@ def scan_list(query: np.ndarray, rotated_query: np.ndarray, rows: np.ndarray, ro
             del best[k:]
 
 
+def group_lists(counts: np.ndarray, block: int) -> np.ndarray:
+    """Of each list the first part it is in: small lists share a part of about ``block`` rows, a larger one has as many parts of its own as it has blocks."""
+    out, part, held = np.zeros(len(counts), np.int64), 0, 0
+    small = np.flatnonzero(counts <= block)
+    for c in small.tolist():
+        if held and held + counts[c] > block:
+            part, held = part + 1, 0
+        out[c] = part
+        held += counts[c]
+    part += len(small) > 0
+    for c in np.flatnonzero(counts > block).tolist():
+        out[c] = part
+        part += -(-int(counts[c]) // block)
+    return out
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SHARE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query row the k nearest found among all other rows, by Euclidean distance.
 
     ``is_query`` is a condition on the column ``id``. Every row is in one list of a k-means fitted on a bounded sample.
-    A query probes the lists nearest to it until they hold ``share`` of all rows and more than k; what a task sends on
-    is k rows for each query and block. Ties go to the smaller id. Vectors that are null, zero or not finite, of another
+    A query probes the lists nearest to it until they hold ``share`` of all rows and more than k. Lists are dealt to
+    parts of about ``block`` rows, large ones split; a query goes to each part once, and k rows for it come back. Ties go to the smaller id. Vectors that are null, zero or not finite, of another
     than the most frequent length, or with a null id take no part. Rows with the same id are candidates each, but never
     of a query with that id; of candidates with one id the nearest counts.
     """
@@ -75,6 +91,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SHA
     held = rows.sparkSession.sparkContext.broadcast((centres, counts))
     want = max(share * n, min(n, 20 * k))
     blocks = np.maximum(1, -(-counts // block))
+    group = group_lists(counts, block)
 
     def probe(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, counts = held.value
@@ -84,15 +101,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SHA
             order = (square - 2 * x @ centres.T).argsort(axis=1, kind="stable")
             enough = (counts[order].cumsum(axis=1) < want).sum(axis=1) + 1
             for i, m in enumerate(enough.tolist()):
-                cells = [(c, b) for c in order[i, :m].tolist() for b in range(blocks[c])]
+                asked: dict[int, list[int]] = {}
+                for c in order[i, :m].tolist():  # nearest list first
+                    for b in range(blocks[c]):
+                        asked.setdefault(int(group[c]) + b, []).append(c)
+                once = pa.array([0] * len(asked))
                 yield pa.RecordBatch.from_arrays(
-                    [table.column(0).slice(i, 1).take(pa.array([0] * len(cells))), table.column(1).slice(i, 1).take(pa.array([0] * len(cells))), pa.array([c for c, _ in cells], pa.int32()), pa.array([b for _, b in cells], pa.int32())],
-                    names=["id", "vector", "cell", "b"],
+                    [table.column(0).slice(i, 1).take(once), table.column(1).slice(i, 1).take(once), pa.array(list(asked), pa.int32()), pa.array(list(asked.values()), pa.list_(pa.int32()))],
+                    names=["id", "vector", "part", "cells"],
                 )
 
-    asked = rows.where(is_query).mapInArrow(probe, "id long, vector array<double>, cell int, b int").withColumn("asks", F.lit(True))
-    number = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
-    stored = listed.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), number).cast("int").alias("b"), F.lit(False).alias("asks"))
+    asked = rows.where(is_query).mapInArrow(probe, "id long, vector array<double>, part int, cells array<int>").withColumn("asks", F.lit(True))
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
+    part = (of(group) + F.pmod(F.xxhash64("id"), of(blocks))).cast("int")
+    stored = listed.select("id", "vector", part.alias("part"), F.array("cell").alias("cells"), F.lit(False).alias("asks"))
 
     def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
         own, asking = both[~both["asks"]].sort_values("id", kind="stable"), both[both["asks"]]
@@ -101,17 +123,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SHA
             x, q = np.stack(own["vector"].to_numpy()), np.stack(asking["vector"].to_numpy())
             turn = rotation(x.shape[1])
             rx, rq, ids = x @ turn, q @ turn, own["id"].to_numpy()
-            for query, a, b in zip(asking["id"].tolist(), q, rq):
+            cell = np.array([c[0] for c in own["cells"]])
+            lists = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
+            lists = {c: (x[i], rx[i], ids[i]) for c, i in lists.items()}
+            for query, a, b, cells in zip(asking["id"].tolist(), q, rq, asking["cells"]):
                 best: list = []
-                other = ids != query
-                if other.all():
-                    scan_list(a, b, x, rx, ids, k, best)
-                else:
-                    scan_list(a, b, x[other], rx[other], ids[other], k, best)
+                for c in cells:
+                    if c in lists:
+                        v, rv, names = lists[c]
+                        other = names != query
+                        scan_list(a, b, *((v, rv, names) if other.all() else (v[other], rv[other], names[other])), k, best)
                 out += [(query, i, d) for d, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = asked.unionByName(stored).groupBy("cell", "b").applyInPandas(run, "query_id long, vec_id long, score double")
+    found = asked.unionByName(stored).groupBy("part").applyInPandas(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
