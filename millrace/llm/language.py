@@ -69,19 +69,28 @@ class LanguageModel:
         return np.c_[kernel, np.ones(len(texts))] @ self.weights
 
 
+def kernel(packed: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The normalized kernel values of every row of packed bits against the chosen rows; ROWS rows are unpacked at a time."""
+
+    def unit(some: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(some, axis=1).astype(np.float32)
+        return bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
+
+    marks = unit(packed[chosen]).T
+    return np.concatenate([unit(packed[at : at + ROWS]) @ marks for at in range(0, len(packed), ROWS)]).astype(np.float64)
+
+
 def ridge(packed: np.ndarray, labels: list[str], landmarks: int, penalty: float) -> LanguageModel:
     """One-versus-rest ridge regression on Nyström features of the normalized presence kernel."""
     languages = sorted(set(labels))
     own = np.array([languages.index(x) for x in labels])
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(own == c)[:each] for c in range(len(languages))])
-    bits = np.unpackbits(packed, axis=1).astype(np.float32)
-    unit = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-    rows, marks = unit.astype(np.float32), unit[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    values_of = kernel(packed, chosen)
+    values, vectors = np.linalg.eigh(values_of[chosen])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.c_[(rows @ marks.T).astype(np.float64) @ root, np.ones(len(rows))]
+    features = np.c_[values_of @ root, np.ones(len(packed))]
     target = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
     balance = (1.0 / np.bincount(own))[own][:, None]  # every language weighs the same
     damp = np.eye(features.shape[1]) * penalty
