@@ -121,17 +121,43 @@ class LicenseModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def design(texts: list[str]) -> np.ndarray:
-    """Feature matrix of a bounded list of paragraphs."""
+@dataclass
+class Sparse:
+    """A matrix of n rows by its entries, sorted by row."""
+
+    n: int
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    def part(self, chosen: np.ndarray) -> Sparse:
+        """The chosen rows (bool) in order."""
+        own = chosen[self.rows]
+        return Sparse(int(chosen.sum()), (np.cumsum(chosen) - 1)[self.rows[own]], self.columns[own], self.values[own])
+
+    def turned(self, columns: int) -> Sparse:
+        order = np.argsort(self.columns, kind="stable")
+        return Sparse(columns, self.columns[order], self.rows[order], self.values[order])
+
+    def __matmul__(self, dense: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, dense.shape[1]), dense.dtype)
+        if len(self.rows):
+            first = np.flatnonzero(np.r_[True, self.rows[1:] != self.rows[:-1]])
+            out[self.rows[first]] = np.add.reduceat(dense[self.columns] * self.values[:, None], first, axis=0)
+        return out
+
+
+def design(texts: list[str]) -> Sparse:
+    """Feature matrix of a bounded list of paragraphs: counts of the n-grams that occur, by the root of their number."""
     words = hash_words(texts, MARKS)
-    out, at = np.zeros((len(texts), FEATURES + 1), np.float32), 0
-    for i, c in enumerate(words.counts.tolist()):
-        own = features(words.hashes[at : at + c])
-        np.add.at(out[i], own.ravel(), 1.0)
-        out[i] /= np.sqrt(max(1, 3 * c - 3))
+    columns, values, at = [], [], 0
+    for c in words.counts.tolist():
+        own = features(words.hashes[at : at + c]).ravel()
+        bucket, n = np.unique(own[own < FEATURES], return_counts=True)
+        columns.append(bucket)
+        values.append((n / np.sqrt(max(1, 3 * c - 3))).astype(np.float32))
         at += c
-    out[:, FEATURES] = 0
-    return out[:, :FEATURES]
+    return Sparse(len(texts), np.repeat(np.arange(len(texts)), [len(x) for x in columns]), np.concatenate(columns), np.concatenate(values))
 
 
 def pairs(text: str) -> set[int]:
@@ -166,15 +192,17 @@ def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPL
     fit = np.arange(len(texts)) % 2 == 0
     weight = np.where(np.array(labels) == len(families), fit.sum() / 2 / max(1, len(others)), fit.sum() / 2 / (len(texts) - len(others)))[fit, None].astype(np.float32)
     weight /= weight.sum()
+    learned, held = x.part(fit), x.part(~fit)
+    by_feature = learned.turned(FEATURES)
     w, b = np.zeros((FEATURES, len(families) + 1), np.float32), np.zeros(len(families) + 1, np.float32)
     mw, mb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
-        z = x[fit] @ w + b
+        z = learned @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - y[fit]) * weight
-        mw, mb = 0.9 * mw + x[fit].T @ g + 1e-5 * w, 0.9 * mb + g.sum(axis=0)
+        mw, mb = 0.9 * mw + by_feature @ g + 1e-5 * w, 0.9 * mb + g.sum(axis=0)
         w, b = w - 4.0 * mw, b - 4.0 * mb
-    z = x[~fit] @ w + b
+    z = held @ w + b
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p = (p / p.sum(axis=1, keepdims=True))[np.array(labels)[~fit] == len(families), :-1]
     least = max(0.5, float(np.quantile(p.max(axis=1), 1 - false_rate))) if len(p) else 0.5
