@@ -61,26 +61,42 @@ def learn_cells(rows: DataFrame, n: int, spherical: bool, per_cell: int = PER_CE
     return centres
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, m: int) -> np.ndarray:
-    """Of each row the m nearest centres, nearest first."""
+def merge_centres(centres: np.ndarray, least: float) -> np.ndarray:
+    """Of each centre of length one its cell: centres whose cosine is at least ``least`` share one, and so do those that such centres connect."""
+    close = np.concatenate([np.zeros((0, len(centres)), bool), *(centres[at : at + 256] @ centres.T >= least for at in range(0, len(centres), 256))])
+    cells = np.full(len(centres), -1, np.int64)
+    for i in range(len(centres)):
+        if cells[i] < 0:
+            new = np.arange(len(centres)) == i
+            while new.any():
+                cells[new] = i
+                new = close[new].any(axis=0) & (cells < 0)
+    return np.unique(cells, return_inverse=True)[1]
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, m: int, cells: np.ndarray | None = None) -> np.ndarray:
+    """Of each row the m nearest centres, nearest first; the m nearest cells, by their nearest centre, if ``cells`` has each centre's cell."""
     far = (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
-    m = min(m, len(centres))
+    if cells is not None:
+        order = np.argsort(cells, kind="stable")
+        far = np.minimum.reduceat(far[:, order], np.flatnonzero(np.diff(cells[order], prepend=-1)), axis=1)
+    m = min(m, far.shape[1])
     if m == 1:
         return far.argmin(axis=1)[:, None]
     some = np.argpartition(far, m - 1, axis=1)[:, :m]
     return np.take_along_axis(some, np.take_along_axis(far, some, axis=1).argsort(axis=1, kind="stable"), axis=1)
 
 
-def assign(rows: DataFrame, centres: np.ndarray, m: int, spherical: bool) -> DataFrame:
-    """``rows`` (with a column ``vector``) and ``cells``, the m nearest cells of each."""
-    held = rows.sparkSession.sparkContext.broadcast(centres)  # MOST_CELLS centres at most
+def assign(rows: DataFrame, centres: np.ndarray, m: int, spherical: bool, merged: np.ndarray | None = None) -> DataFrame:
+    """``rows`` (with a column ``vector``) and ``cells``, the m nearest cells of each; ``merged`` has each centre's cell if some share one."""
+    held = rows.sparkSession.sparkContext.broadcast((centres, merged))  # MOST_CELLS centres at most
     names = rows.columns
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             if table.num_rows:
                 x = matrix(table.column(names.index("vector")))
-                own = nearest(unit(x) if spherical else x, held.value, m).astype(np.int32)
+                own = nearest(unit(x) if spherical else x, held.value[0], m, held.value[1]).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)), pa.array(own.ravel()))
                 yield pa.RecordBatch.from_arrays([*table.columns, cells], names=[*names, "cells"])
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.cells import assign, learn_cells, unit, usable
+from millrace.llm.cells import assign, learn_cells, merge_centres, unit, usable
 from millrace.llm.common import components, cut
 
 #: Cells that each vector is compared in, and rows of one block of a cell.
@@ -19,7 +19,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cells: int = CELLS,
 
     Two vectors link if their cosine in double precision is at least ``least``. Equal vectors are one, with a weight.
     Each is compared in its ``cells`` nearest cells of a spherical k-means, a pair in the first cell that both share, so
-    it counts once; pairs that share no cell are missed (measured recall: README). Cells larger than ``block`` rows are
+    it counts once; pairs that share no cell are missed (measured recall: README). Centres that k-means puts closer
+    together than linked vectors are share a cell, so a dense group is in one. Cells larger than ``block`` rows are
     compared block against block in tasks of their own. A task reports how many each vector links with and a forest of
     links, not its pairs, so what leaves it grows with its rows.
 
@@ -47,7 +48,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cells: int = CELLS,
 
 def compare(groups: DataFrame, centres: np.ndarray, least: float, cells: int, block: int) -> DataFrame:
     """(id, links, other) of distinct vectors (id, vector, w): link counts by weight, and links that hold components together."""
-    placed = cut(assign(groups, centres, cells, True).withColumn("cell", F.explode("cells")))
+    placed = cut(assign(groups, centres, cells, True, merge_centres(centres, least)).withColumn("cell", F.explode("cells")))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     dealt = placed.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -82,10 +83,13 @@ def compare(groups: DataFrame, centres: np.ndarray, least: float, cells: int, bl
                 a, c = a[here], c[here]
                 np.add.at(links, a, w[c])
                 np.add.at(links, c, w[a])
-                for s, t in zip(a.tolist(), c.tolist()):
+                apart = top[a] != top[c]
+                for s, t in zip(a[apart].tolist(), c[apart].tolist()):
                     r, u = root(s), root(t)
                     if r != u:
                         top[max(r, u)] = min(r, u)
+                while apart.any() and (top != top[top]).any():  # roots again, so that pairs joined already are passed over at once
+                    top[:] = top[top]
         for i in np.flatnonzero(links).tolist():
             r = root(i)
             forest.append((ids[i], links[i], ids[r] if r != i else None))

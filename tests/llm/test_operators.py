@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import chat, jaccard, language, licenses, mixing, neardup, neighbours, packing, queries, separators, sharding
+from millrace.llm.cells import learn_cells, merge_centres, unit
 from millrace.llm.tokens import default_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -247,6 +248,26 @@ def test_near_duplicate_recall(spark):
     assert found <= pairs and found >= 0.98 * pairs
 
 
+def hot_vectors(n):
+    """Directions of which a third are near copies of one (mean cosine 0.93) and a tenth are near copies of another tenth."""
+    rng = np.random.default_rng(4)
+    some = lambda k: unit(rng.standard_normal((k, 64)))
+    x, hot, more = some(n), n // 3, n // 10
+    x[:hot] = x[0] + np.sqrt(0.07 / 0.93) * some(hot)
+    x[hot : hot + more] = x[hot + more : hot + 2 * more] + 0.2 * some(more)
+    return unit(x)
+
+
+def test_near_duplicate_recall_in_a_dense_group(spark):
+    x = hot_vectors(10_000)
+    groups = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id long, w long, vector array<double>")
+    centres = learn_cells(groups, len(x), True, per_cell=40)
+    assert len(centres) == 250 and len(set(merge_centres(centres, 0.9))) > 100
+    found = sum(r.links for r in neardup.compare(groups, centres, 0.9, neardup.CELLS, 2048).select("links").collect())
+    pairs = sum((x[at : at + 1000] @ x.T >= 0.9).sum() for at in range(0, len(x), 1000)) - len(x)
+    assert 0.98 * pairs <= found <= pairs
+
+
 def test_nearest_neighbours(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
