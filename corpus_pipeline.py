@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from millrace.llm import jaccard, language, mixing, packing
 from millrace.llm.common import shared_folder, without
 
-#: Score below which a text is in none of the languages.
-LEAST_SCORE = 0.3
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a determined language stay; texts that are null, without letters or unlike every language go."""
     model = language.train_languages(docs, key=F.col("doc_id"))
-    told = language.identify(docs, model, keep=docs.columns, names=("__lang", "__score"))
-    return told.where((F.col("__lang") != language.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    told = language.identify(docs, model, keep=docs.columns, names=("__lang", "__score", "__alike"))
+    return told.where((F.col("__lang") != language.UNDETERMINED) & F.col("__alike")).drop("__lang", "__score", "__alike")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

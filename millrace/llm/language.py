@@ -22,6 +22,8 @@ UNDETERMINED = "und"
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 #: Texts scored by one matrix product.
 ROWS = 64
+#: An n-gram is common in a language if this share of its learned texts have it; this share of the learned texts may be less like their language than a text must be.
+COMMON, TAIL = 0.02, 0.01
 
 
 def presence(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -46,11 +48,14 @@ def presence(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """Landmarks as packed presence bits, and the weights of each language's kernel values against them."""
+    """Landmarks as packed presence bits, the weights of each language's kernel values against them, and of each language
+    the packed bits of its common n-grams and the least share of a text's n-grams that must be among them."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    common: np.ndarray
+    least: np.ndarray
 
     def ready(self) -> LanguageModel:
         bits = np.unpackbits(self.landmarks, axis=1).astype(bool)
@@ -59,14 +64,18 @@ class LanguageModel:
         self.norms = np.sqrt(np.maximum(bits.sum(axis=1), 1))
         return self
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text each language's value, near 1 for its own and -1 for others."""
-        block, norms = np.zeros((len(texts), len(self.used)), np.float32), np.zeros(len(texts))
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text each language's value, near 1 for its own and -1 for others, and whether it is like the best one."""
+        block, norms, packed = np.zeros((len(texts), len(self.used)), np.float32), np.zeros(len(texts)), []
         for i, bits in enumerate(presence(texts)):
             block[i] = bits[self.used]
             norms[i] = max(1, np.count_nonzero(bits))
+            packed.append(np.packbits(bits))
         kernel = (block @ self.matrix).astype(np.float64) / (np.sqrt(norms)[:, None] * self.norms)
-        return np.c_[kernel, np.ones(len(texts))] @ self.weights
+        values = np.c_[kernel, np.ones(len(texts))] @ self.weights
+        best = values.argmax(axis=1)
+        shares = np.bitwise_count(np.stack(packed) & self.common[best]).sum(axis=1, dtype=np.int64) / norms
+        return values, shares >= self.least[best]
 
 
 def kernel(packed: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -96,7 +105,22 @@ def ridge(packed: np.ndarray, labels: list[str], landmarks: int, penalty: float)
     damp = np.eye(features.shape[1]) * penalty
     damp[-1, -1] = 1e-9
     beta = np.linalg.solve(features.T @ (features * balance) + damp, features.T @ (target * balance))
-    return LanguageModel(languages, packed[chosen], np.r_[root @ beta[:-1], beta[-1:]])
+    return LanguageModel(languages, packed[chosen], np.r_[root @ beta[:-1], beta[-1:]], *common_grams(packed, own, len(languages)))
+
+
+def common_grams(packed: np.ndarray, own: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each language the packed bits of its common n-grams, and the quantile TAIL of the shares that they have in its
+    texts, each measured against the n-grams that are common in its language's other texts."""
+    common, least = [], []
+    for c in range(languages):
+        texts = packed[own == c]
+        blocks = [texts[at : at + ROWS] for at in range(0, len(texts), ROWS)]
+        counts = sum(np.unpackbits(b, axis=1).sum(axis=0, dtype=np.int64) for b in blocks)
+        common.append(np.packbits(counts >= max(1, COMMON * len(texts))))
+        others = np.packbits(counts - 1 >= max(1, COMMON * (len(texts) - 1)))  # of n-grams that the text itself has
+        shares = np.concatenate([np.bitwise_count(b & others).sum(axis=1, dtype=np.int64) / np.maximum(1, np.bitwise_count(b).sum(axis=1, dtype=np.int64)) for b in blocks])
+        least.append(np.quantile(shares, TAIL))
+    return np.stack(common), np.array(least)
 
 
 def train_languages(
@@ -135,11 +159,13 @@ def train_languages(
     return ridge(packed, [r["label"] for r in got], landmarks, penalty)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep`` of every row with the predicted language and its score (0 to 1) as columns ``names``.
+def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("doc_id",), text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "alike")) -> DataFrame:
+    """The columns ``keep`` of every row with the predicted language, its score (0 to 1) and whether the text is like it, as columns ``names``.
 
     A null, empty or letterless text is ``und`` with score 0, and so is every text where there is no model. Scores are
     the best language's regression value taken from -1..1 to 0..1; ties go to the language first in code-point order.
+    A score says which language is nearest, and depends on how many there are; a text is like it if the share of its
+    distinct n-grams that are common in the language reaches what all but TAIL of the learned texts reach in theirs.
     Repeated rows are scored alike. Only ``keep`` and the text are read.
     """
     keep, called = list(keep), names
@@ -153,7 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("d
             model.ready()
         for table in tables:
             texts = table.column(at_text).to_pylist()
-            names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            names, scores, alike = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
             told = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model is not None else []
             at = 0
             while at < len(told):
@@ -162,14 +188,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("d
                     some.append(told[at])
                     chars += len(texts[told[at]])
                     at += 1
-                values = model.score([texts[i] for i in some])
+                values, like = model.score([texts[i] for i in some])
                 best = values.argmax(axis=1)
-                for i, b, v in zip(some, best.tolist(), values.max(axis=1).tolist()):
-                    names[i], scores[i] = model.languages[b], min(1.0, max(0.0, (v + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*table.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*table.schema.names[: len(keep)], *called])
+                for i, b, v, a in zip(some, best.tolist(), values.max(axis=1).tolist(), like.tolist()):
+                    names[i], scores[i], alike[i] = model.languages[b], min(1.0, max(0.0, (v + 1) / 2)), a
+            yield pa.RecordBatch.from_arrays([*table.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(alike, pa.bool_())], names=[*table.schema.names[: len(keep)], *called])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{called[0]} string", f"{called[1]} double"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{called[0]} string", f"{called[1]} double", f"{called[2]} boolean"]))
 
 
 def in_fold(id_column: Column, fold: int = 2, folds: int = 4) -> Column:

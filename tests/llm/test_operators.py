@@ -175,6 +175,31 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
 
+ODD_TEXTS = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "qxz vkjw bdfg " + " ".join("".join(random.Random(k).choices("bcdfghjklmnpqrstvwxz", k=6)) for k in range(40)),
+    "9vKq2ZtXw7RbYp0LsHnE4mJcUgDf8aQiTzWx5oVkBy3hGrNlSe6MdPuCjF1AtIqZ7vXwKyRb2LpHn0EsJm4cUgTf8DaQ",
+]
+
+
+@pytest.mark.parametrize("langs", [["en"], ["de", "en", "fr"], ["de", "en", "es", "fr"]])
+def test_language_stage_rejects_the_unlike(spark, langs):
+    """Whatever the number of labels: unlearned languages and gibberish go, learned ones and short clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(langs))
+    docs = docs.where("text <> ''")
+    fold = language.in_fold(F.col("doc_id"))
+    short = docs.where(fold).select((F.col("doc_id") + 10_000).alias("doc_id"), F.regexp_extract("text", r"^\S+(\s+\S+){0,5}", 0).alias("text")).where("rlike(text, '[a-z]{2}')")
+    new = docs.where(fold).select((F.col("doc_id") + 20_000).alias("doc_id"), "text")
+    odd = spark.createDataFrame(list(enumerate(ODD_TEXTS, 30_000)), "doc_id long, text string")
+    every = docs.where(~fold).unionByName(short, True).unionByName(new, True).unionByName(odd, True)
+    kept = collections.Counter(r.doc_id // 10_000 for r in corpus_pipeline.language_stage(spark, every, SF).select("doc_id").collect())
+    assert kept[3] == 0
+    assert kept[0] >= 0.95 * docs.where(~fold).count() and kept[1] >= 0.9 * short.count() and kept[2] >= 0.9 * new.count()
+
+
 def test_licences(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = licenses.train_licenses(licenses.sample_paragraphs(docs))
