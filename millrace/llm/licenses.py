@@ -72,6 +72,8 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Buckets of n-gram features.
 FEATURES = 1 << 14
+#: Words of the windows slid over a paragraph. A window moves on by a quarter, so that runs of words of up to 3/4 of the longest, all templates, are inside one.
+WINDOWS = (8, 16, 40)
 
 
 def features(hashes: np.ndarray) -> np.ndarray:
@@ -107,20 +109,30 @@ class LicenseModel:
     templates: dict[str, list[set[int]]]
 
     def probabilities(self, hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of each paragraph (words first to first + counts, at least one) the probability of each family and of none."""
-        grams_of = features(hashes)
-        edge = first + counts
-        for n in (2, 3):  # grams that pass a paragraph's end are none
-            for back in range(1, n):
-                at = edge - back
-                grams_of[at[at >= first], n - 1] = FEATURES
-        rows = self.weights[grams_of[:, 0]] + self.weights[grams_of[:, 1]] + self.weights[grams_of[:, 2]]
-        total = np.maximum(1, 3 * counts - 3)
-        z = np.add.reduceat(rows, first, axis=0) / np.sqrt(total)[:, None] + self.bias
+        """Of each run of words (first to first + counts, at least one) the probability of each family and of none."""
+        grams_of, edge = features(hashes), first + counts
+        z = np.zeros((len(first), self.weights.shape[1]))
+        for n in (1, 2, 3):  # grams that pass a run's end are none
+            sums = np.concatenate([np.zeros((1, z.shape[1])), np.cumsum(self.weights[grams_of[:, n - 1]], axis=0, dtype=np.float64)])
+            z += sums[np.maximum(first, edge - n + 1)] - sums[first]
+        z = z / np.sqrt(np.maximum(1, 3 * counts - 3))[:, None] + self.bias
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
 
+def slide(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the windows over each run of words (at least one); the run itself if it is shorter than a window."""
+    starts, sizes, whole = [], [], np.zeros(len(first), bool)
+    for w in WINDOWS:
+        n = np.where(counts > w, -(-(counts - w) // (w // 4)) + 1, np.where(whole, 0, 1))
+        whole |= counts <= w
+        own = np.repeat(np.arange(len(first)), n)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        starts.append(first[own] + np.minimum(at * (w // 4), np.maximum(0, counts[own] - w)))
+        sizes.append(np.minimum(w, counts[own]))
+    return np.concatenate(starts), np.concatenate(sizes)
+
+
 @dataclass
 class Sparse:
     """A matrix of n rows by its entries, sorted by row."""
@@ -167,8 +179,9 @@ def pairs(text: str) -> set[int]:
 def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPLATES, variants: int = 24, steps: int = 300, false_rate: float = 1e-3, seed: int = 7) -> LicenseModel:
     """A model from the templates with words around, dropped and changed, against a bounded list of other paragraphs.
 
-    Every second paragraph is left out of the fit; the least probability is then set so that at most ``false_rate`` of
-    the other paragraphs left out count as finds, and at least 0.5.
+    The fit sees a window from anywhere in each of the other paragraphs. Every second paragraph is left out of it; the
+    least probability is then set so that at most ``false_rate`` of the other paragraphs left out have any window that
+    counts as a find, and at least 0.5 and at most 0.9.
     """
     rng = random.Random(seed)
     known = [set(pairs(t)) for own in templates.values() for t in own]
@@ -186,13 +199,18 @@ def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPL
                 cut = rng.randint(0, len(around))
                 texts.append(" ".join(around[:cut] + some + around[cut:]))
                 labels.append(c)
-    texts += others
+    held_out = others[1 - len(texts) % 2 :: 2]
+    for t in others:
+        own = t.split()
+        size = rng.choice([*WINDOWS, len(own)])
+        cut = rng.randint(0, max(0, len(own) - size))
+        texts.append(" ".join(own[cut : cut + size]))
     labels += [len(families)] * len(others)
     x, y = design(texts), np.eye(len(families) + 1, dtype=np.float32)[labels]
     fit = np.arange(len(texts)) % 2 == 0
     weight = np.where(np.array(labels) == len(families), fit.sum() / 2 / max(1, len(others)), fit.sum() / 2 / (len(texts) - len(others)))[fit, None].astype(np.float32)
     weight /= weight.sum()
-    learned, held = x.part(fit), x.part(~fit)
+    learned = x.part(fit)
     by_feature = learned.turned(FEATURES)
     w, b = np.zeros((FEATURES, len(families) + 1), np.float32), np.zeros(len(families) + 1, np.float32)
     mw, mb = np.zeros_like(w), np.zeros_like(b)
@@ -202,32 +220,39 @@ def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPL
         g = (p / p.sum(axis=1, keepdims=True) - y[fit]) * weight
         mw, mb = 0.9 * mw + by_feature @ g + 1e-5 * w, 0.9 * mb + g.sum(axis=0)
         w, b = w - 4.0 * mw, b - 4.0 * mb
-    z = held @ w + b
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p = (p / p.sum(axis=1, keepdims=True))[np.array(labels)[~fit] == len(families), :-1]
-    least = max(0.5, float(np.quantile(p.max(axis=1), 1 - false_rate))) if len(p) else 0.5
-    whole = np.concatenate([w, np.zeros((1, w.shape[1]), np.float32)])
-    return LicenseModel(families, whole, b, min(least, 0.9), {f: [pairs(t) for t in templates[f]] for f in families})
+    model = LicenseModel(families, np.concatenate([w, np.zeros((1, w.shape[1]), np.float32)]), b, 0.5, {f: [pairs(t) for t in templates[f]] for f in families})
+    words = hash_words(held_out, MARKS)
+    some = np.flatnonzero(words.counts)
+    if len(some):
+        first, counts = slide((np.cumsum(words.counts) - words.counts)[some], words.counts[some])
+        best = np.zeros(len(held_out))
+        np.maximum.at(best, words.texts[first], model.probabilities(words.hashes, first, counts)[:, :-1].max(axis=1))
+        model.least = min(0.9, max(0.5, float(np.quantile(best[some], 1 - false_rate))))
+    return model
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str = "text", sample: int = 2000) -> list[str]:
-    """About ``sample`` paragraphs, at most 400 characters each, chosen by hash over all rows: the classifier's other class."""
+    """About ``sample`` lines chosen by hash over all rows, the classifier's other class; of a longer line 2000 characters from anywhere in it."""
     n = docs.count()
     chance = min(1.0, 4.0 * sample / max(n, 1))
     uniform = F.shiftrightunsigned(F.xxhash64("line"), 11).cast("double") / float(2**53)
     chosen = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col(text_col)), 11).cast("double") / float(2**53) < chance) if chance < 1 else docs
     lines = chosen.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line")).where("line <> ''")
-    got = lines.select(F.substring("line", 1, 400).alias("line"), uniform.alias("u")).distinct().orderBy("u", "line").limit(sample).collect()
+    start = F.pmod(F.xxhash64(F.lit("start"), "line"), F.greatest(F.lit(1), F.length("line") - 1999)).cast("int") + 1
+    got = lines.select(F.col("line").substr(start, F.lit(2000)).alias("line"), uniform.alias("u")).distinct().orderBy("u", "line").limit(sample).collect()
     return [r["line"] for r in got]
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least_overlap: float = 0.6) -> DataFrame:
     """(doc_id, paragraph, start, length, family, probability, overlap, confirmed) of the paragraphs that look like a licence.
 
-    A paragraph is a line of the text, of any length; ``paragraph`` is its number and ``start`` and ``length`` are in
-    characters. It is a find if a family's probability reaches the model's least one. It is confirmed if it holds at
-    least ``least_overlap`` of the word pairs of one of the family's templates; with fewer, as in a licence not among the
-    templates, its family is ``unknown``; with none it is no find. Null and empty texts have none, repeated rows have theirs each, other columns aren't read.
+    A paragraph is a line of the text, of any length, or a run of lines that aren't blank where what is found goes over
+    a line's end; ``paragraph`` is the number of its (first) line and ``start`` and ``length`` are in characters. Scored
+    are whole lines and windows of some words slid over each run of lines, so a notice counts for the same in a long
+    paragraph and however it is wrapped. A find is a window with a family's probability of at least the model's least one.
+    It is confirmed if it holds at least ``least_overlap`` of the word pairs of one of the family's templates; with
+    fewer, as in a licence not among the templates, its family is ``unknown``; with none it is no find. Of finds that
+    share words the best is kept, and of several of a family in a paragraph. Null and empty texts have none, repeated rows have theirs each, other columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES by families floats
     schema = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())])
@@ -241,23 +266,41 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
                 if not lines:
                     continue
                 words = hash_words(lines, MARKS)
+                blank = np.array([not x.strip() for x in lines])
+                apart = np.r_[True, (np.diff(own) != 0) | (np.diff(numbers) != 1) | blank[1:] | blank[:-1]]
+                run_of = np.cumsum(apart) - 1
+                ends = np.cumsum(words.counts)
+                last = np.r_[np.flatnonzero(apart)[1:], len(lines)] - 1
+                top = np.flatnonzero(apart)
+                n = ends[last] - ends[top] + words.counts[top]
                 spoken = np.flatnonzero(words.counts)
                 if not len(spoken):
                     continue
-                first = (np.cumsum(words.counts) - words.counts)[spoken]
-                p = model.probabilities(words.hashes, first, words.counts[spoken])[:, :-1]
-                best = p.argmax(axis=1)
-                for j in np.flatnonzero(p.max(axis=1) >= model.least).tolist():
-                    k = int(spoken[j])
-                    line = lines[k]
+                first, counts = slide((ends - words.counts)[top][n > 0], n[n > 0])
+                first, counts = np.r_[(ends - words.counts)[spoken], first], np.r_[words.counts[spoken], counts]
+                p = model.probabilities(words.hashes, first, counts)[:, :-1]
+                best, least = p.argmax(axis=1), p.max(axis=1)
+                found = []
+                for j in np.flatnonzero(least >= model.least).tolist():
+                    a, z = int(first[j]), int(first[j] + counts[j])
                     family = model.families[best[j]]
-                    mine = set(grams(words.hashes[first[j] : first[j] + words.counts[k]], 2).tolist())
+                    mine = set(grams(words.hashes[a:z], 2).tolist())
                     overlap = max((len(mine & t) / len(t) for t in model.templates[family] if t), default=0.0)
-                    if not overlap:
+                    if overlap:
+                        x, y = int(words.texts[a]), int(words.texts[z - 1])
+                        found.append((overlap < least_overlap, -overlap, x != y, -float(least[j]), x, y, a, z, family))
+                taken, told = {}, set()
+                for unsure, overlap, wrapped, chance, x, y, a, z, family in sorted(found):
+                    others = taken.setdefault(run_of[x], [])
+                    if any((x <= t[1] and t[0] <= y) if unsure else (a < t[3] and t[2] < z) for t in others):
                         continue
-                    start = sum(len(x) + 1 for x in some[own[k]].split("\n")[: numbers[k]])
-                    ok = overlap >= least_overlap
-                    out.append((keys[at + own[k]], int(numbers[k]), start, len(line), family if ok else UNKNOWN, float(p[j].max()), overlap, ok))
+                    others.append((x, y, a, z))
+                    x, y = (int(top[run_of[x]]), int(last[run_of[x]])) if wrapped else (x, y)
+                    family = UNKNOWN if unsure else family
+                    if (x, y, family) not in told:
+                        told.add((x, y, family))
+                        start = sum(len(t) + 1 for t in some[own[x]].split("\n")[: numbers[x]])
+                        out.append((keys[at + own[x]], int(numbers[x]), start, sum(map(len, lines[x : y + 1])) + y - x, family, -chance, -overlap, not unsure))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

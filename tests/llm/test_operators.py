@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -214,6 +215,50 @@ def test_licences(spark):
         assert texts[r.doc_id][r.start : r.start + r.length] == texts[r.doc_id].split("\n")[r.paragraph]
 
 
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.train_licenses(licenses.sample_paragraphs(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+def test_wrapped_licences(spark, licence_model):
+    """Notices of every family wrapped at 25 to 70 characters, as a paragraph of their own and inside a longer one."""
+    plain, rows, want = "Nothing that matters is said on this line.", [], {}
+    for family, own in licenses.TEMPLATES.items():
+        for template in own:
+            for width in (25, 45, 70):
+                for around in ("\n\n", "\n"):
+                    text = plain + around + "\n".join(textwrap.wrap(template, width)) + around + plain
+                    want[len(rows)] = family
+                    rows.append((len(rows), text, "en", "a"))
+    got = collections.defaultdict(set)
+    for r in licenses.scan_licenses(frame(spark, rows), licence_model).collect():
+        if r.confirmed:
+            got[r.doc_id].add(r.family)
+            text = rows[r.doc_id][1]
+            assert text[: r.start].count("\n") == r.paragraph and 0 < r.length <= len(text) - r.start
+    assert [i for i in want if got[i] != {want[i]}] == []
+
+
+def test_licences_in_long_lines(spark, licence_model):
+    """A notice anywhere in a line of 20 to 400 other words is found."""
+    rng = random.Random(8)
+    spare = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(40).collect() for w in r.text.split()[:50]]
+    rows, want = [], {}
+    for family, own in licenses.TEMPLATES.items():
+        for template in own:
+            for n in (20, 80, 400):
+                around = [rng.choice(spare) for _ in range(n)]
+                at = rng.randint(0, n)
+                want[len(rows)] = family
+                rows.append((len(rows), " ".join([*around[:at], template, *around[at:]]), "en", "a"))
+    got = collections.defaultdict(set)
+    for r in licenses.scan_licenses(frame(spark, rows), licence_model).collect():
+        if r.confirmed:
+            got[r.doc_id].add(r.family)
+            assert (r.paragraph, r.start, r.length) == (0, 0, len(rows[r.doc_id][1]))
+    assert sum(got[i] == {want[i]} for i in want) >= 0.97 * len(want)
+
+
 def test_chat_matches_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
