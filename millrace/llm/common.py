@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,24 +13,29 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and reread from the shared checkpoint folder, so that losing an executor costs no history.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: the context's, or the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that nor a context folder is set
-    (tests on one machine) a temporary one is made.
+    Only where neither is set and Spark runs on this machine alone (tests) a temporary one is made; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and reread from the shared checkpoint folder, so that losing an executor costs no history."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path, in the shared checkpoint folder of the session."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def parts(spark: SparkSession) -> int:

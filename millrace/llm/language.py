@@ -8,15 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import LOWER
 from millrace.llm.tokens import batches
 
 #: n-grams of 1 to ORDERS bytes fall into 2 ** BITS presence bits.
 ORDERS, BITS = 4, 16
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 #: Bytes of a text as the kernel sees them: letters in lower case, runs of other ASCII characters as blanks.
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -26,9 +26,14 @@ ROWS = 64
 COMMON, TAIL = 0.02, 0.01
 
 
-def presence(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Of each text the bits of the n-grams that occur in it (bool, 2 ** BITS), over the whole text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).translate(PLAIN) for t in texts]
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; numerals such as fractions and superscripts aren't."""
+    return any(m.group().isalpha() for m in WORDLIKE.finditer(text or ""))
+
+
+def spectra(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the places in 2 ** BITS of its n-grams' occurrences, over the whole text: of 1 and 2 bytes, of 3 and more."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass").translate(PLAIN) for t in texts]
     codes = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     hashed = []
     gram = np.zeros(len(codes), np.uint32)
@@ -39,17 +44,29 @@ def presence(texts: list[str | None]) -> Iterator[np.ndarray]:
         hashed.append((spread >> np.uint32(32 - BITS)).astype(np.uint16))
     at = 0
     for r in raw:
-        bits = np.zeros(1 << BITS, bool)
-        for n, h in enumerate(hashed, 1):
-            bits[h[at : at + len(r) - n + 1 if len(r) >= n else at]] = True
-        yield bits
+        own = [h[at : at + max(0, len(r) - n + 1)] for n, h in enumerate(hashed, 1)]
+        yield np.concatenate(own[:2]), np.concatenate(own[2:])
         at += len(r)
 
 
+def presence(spectrum: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bits of the n-grams that occur."""
+    bits = np.zeros(1 << BITS, bool)
+    for places in spectrum:
+        bits[places] = True
+    return bits
+
+
+def share(spectrum: tuple[np.ndarray, np.ndarray], packed: np.ndarray) -> float:
+    """Of the occurrences of n-grams of 3 and more bytes the share whose bit is set, whatever the text's length; 1 if there are none."""
+    places = spectrum[1]
+    return float((packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).mean()) if len(places) else 1.0
+
+
 @dataclass
 class LanguageModel:
     """Landmarks as packed presence bits, the weights of each language's kernel values against them, and of each language
-    the packed bits of its common n-grams and the least share of a text's n-grams that must be among them."""
+    the packed bits of its common n-grams and the least share of occurrences in a text that must be of these."""
 
     languages: list[str]
     landmarks: np.ndarray
@@ -66,16 +83,15 @@ class LanguageModel:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text each language's value, near 1 for its own and -1 for others, and whether it is like the best one."""
-        block, norms, packed = np.zeros((len(texts), len(self.used)), np.float32), np.zeros(len(texts)), []
-        for i, bits in enumerate(presence(texts)):
+        block, norms, own = np.zeros((len(texts), len(self.used)), np.float32), np.zeros(len(texts)), list(spectra(texts))
+        for i, spectrum in enumerate(own):
+            bits = presence(spectrum)
             block[i] = bits[self.used]
             norms[i] = max(1, np.count_nonzero(bits))
-            packed.append(np.packbits(bits))
         kernel = (block @ self.matrix).astype(np.float64) / (np.sqrt(norms)[:, None] * self.norms)
         values = np.c_[kernel, np.ones(len(texts))] @ self.weights
         best = values.argmax(axis=1)
-        shares = np.bitwise_count(np.stack(packed) & self.common[best]).sum(axis=1, dtype=np.int64) / norms
-        return values, shares >= self.least[best]
+        return values, np.array([share(x, self.common[b]) >= self.least[b] for x, b in zip(own, best.tolist())])
 
 
 def kernel(packed: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -89,10 +105,8 @@ def kernel(packed: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return np.concatenate([unit(packed[at : at + ROWS]) @ marks for at in range(0, len(packed), ROWS)]).astype(np.float64)
 
 
-def ridge(packed: np.ndarray, labels: list[str], landmarks: int, penalty: float) -> LanguageModel:
-    """One-versus-rest ridge regression on Nyström features of the normalized presence kernel."""
-    languages = sorted(set(labels))
-    own = np.array([languages.index(x) for x in labels])
+def ridge(packed: np.ndarray, own: np.ndarray, languages: list[str], landmarks: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Landmarks and weights: one-versus-rest ridge regression on Nyström features of the normalized presence kernel."""
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(own == c)[:each] for c in range(len(languages))])
     values_of = kernel(packed, chosen)
@@ -105,22 +119,18 @@ def ridge(packed: np.ndarray, labels: list[str], landmarks: int, penalty: float)
     damp = np.eye(features.shape[1]) * penalty
     damp[-1, -1] = 1e-9
     beta = np.linalg.solve(features.T @ (features * balance) + damp, features.T @ (target * balance))
-    return LanguageModel(languages, packed[chosen], np.r_[root @ beta[:-1], beta[-1:]], *common_grams(packed, own, len(languages)))
+    return packed[chosen], np.r_[root @ beta[:-1], beta[-1:]]
 
 
 def common_grams(packed: np.ndarray, own: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each language the packed bits of its common n-grams, and the quantile TAIL of the shares that they have in its
-    texts, each measured against the n-grams that are common in its language's other texts."""
-    common, least = [], []
+    """Of each language the packed bits of its common n-grams, and of those that are common in the other texts of any text that has them."""
+    common, others = [], []
     for c in range(languages):
         texts = packed[own == c]
-        blocks = [texts[at : at + ROWS] for at in range(0, len(texts), ROWS)]
-        counts = sum(np.unpackbits(b, axis=1).sum(axis=0, dtype=np.int64) for b in blocks)
+        counts = sum(np.unpackbits(texts[at : at + ROWS], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(texts), ROWS))
         common.append(np.packbits(counts >= max(1, COMMON * len(texts))))
-        others = np.packbits(counts - 1 >= max(1, COMMON * (len(texts) - 1)))  # of n-grams that the text itself has
-        shares = np.concatenate([np.bitwise_count(b & others).sum(axis=1, dtype=np.int64) / np.maximum(1, np.bitwise_count(b).sum(axis=1, dtype=np.int64)) for b in blocks])
-        least.append(np.quantile(shares, TAIL))
-    return np.stack(common), np.array(least)
+        others.append(np.packbits(counts - 1 >= max(1, COMMON * (len(texts) - 1))))
+    return np.stack(common), np.stack(others)
 
 
 def train_languages(
@@ -131,7 +141,7 @@ def train_languages(
 
     Learns from at most about ``sample`` rows in all, as many for each label: rows whose hash of ``key`` (of the text if
     none is given) is below a threshold that follows from the label's row count. Only their presence bits, 8 kB each,
-    reach the driver.
+    reach the driver, and a share each.
     """
     key = F.xxhash64(F.lit("learn"), F.col(text_col)) if key is None else F.xxhash64(F.lit("learn"), key)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
@@ -147,55 +157,78 @@ def train_languages(
     def bits(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             texts = table.column(2).to_pylist()
-            ok = [i for i, t in enumerate(texts) if LETTER.search(t)]
-            packed = [np.packbits(b).tobytes() for at, some in batches(texts) for b in presence(some)]
-            yield pa.RecordBatch.from_arrays([table.column(0).take(pa.array(ok, pa.int64())), table.column(1).take(pa.array(ok, pa.int64())), pa.array([packed[i] for i in ok], pa.binary())], names=["label", "__hash", "bits"])
+            ok = [i for i, t in enumerate(texts) if has_letter(t)]
+            packed = [np.packbits(presence(x)).tobytes() for at, some in batches([texts[i] for i in ok], 1_000_000) for x in spectra(some)]
+            chosen = pa.array(ok, pa.int64())
+            yield pa.RecordBatch.from_arrays([table.column(0).take(chosen), table.column(1).take(chosen), pa.array(packed, pa.binary())], names=["label", "__hash", "bits"])
 
-    got = rows.where(uniform < limits[F.col("label")]).select("label", "__hash", "text").mapInArrow(bits, "label string, __hash long, bits binary").collect()
+    learned = rows.where(uniform < limits[F.col("label")]).select("label", "__hash", "text")
+    got = learned.mapInArrow(bits, "label string, __hash long, bits binary").collect()
     got.sort(key=lambda r: (r["__hash"], r["label"], bytes(r["bits"])))
     if not got:
         return None
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1)
-    return ridge(packed, [r["label"] for r in got], landmarks, penalty)
+    languages = sorted({r["label"] for r in got})
+    own = np.array([languages.index(r["label"]) for r in got])
+    common, others = common_grams(packed, own, len(languages))
+    held = labelled.sparkSession.sparkContext.broadcast(dict(zip(languages, others)))  # 8 kB a language
 
+    def shares(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            labels, texts = table.column(0).to_pylist(), table.column(2).to_pylist()
+            ok = [i for i, t in enumerate(texts) if has_letter(t)]
+            found = [x for at, some in batches([texts[i] for i in ok], 1_000_000) for x in spectra(some)]
+            yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in ok]), pa.array([share(x, held.value[labels[i]]) for i, x in zip(ok, found)], pa.float64())], names=["label", "share"])
 
-def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("doc_id",), text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "alike")) -> DataFrame:
-    """The columns ``keep`` of every row with the predicted language, its score (0 to 1) and whether the text is like it, as columns ``names``.
+    reached = learned.mapInArrow(shares, "label string, share double").collect()
+    least = np.array([np.quantile([r["share"] for r in reached if r["label"] == x], TAIL) for x in languages])
+    return LanguageModel(languages, *ridge(packed, own, languages, landmarks, penalty), common, least)
 
-    A null, empty or letterless text is ``und`` with score 0, and so is every text where there is no model. Scores are
-    the best language's regression value taken from -1..1 to 0..1; ties go to the language first in code-point order.
-    A score says which language is nearest, and depends on how many there are; a text is like it if the share of its
-    distinct n-grams that are common in the language reaches what all but TAIL of the learned texts reach in theirs.
-    Repeated rows are scored alike. Only ``keep`` and the text are read.
-    """
-    keep, called = list(keep), names
-    at_text = keep.index(text_col) if text_col in keep else len(keep)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col)] if at_text == len(keep) else []))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most landmarks times 8 kB
 
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def told(text: Column, model: LanguageModel | None, spark: SparkSession) -> Column:
+    """struct<lang, score, alike> of a text; only the text reaches Python, in blocks of bounded size."""
+    held = spark.sparkContext.broadcast(model)  # at most landmarks times 8 kB
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         if model is not None:
             model.ready()
-        for table in tables:
-            texts = table.column(at_text).to_pylist()
-            names, scores, alike = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            told = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model is not None else []
+        for column in columns:
+            names, scores, alike = [UNDETERMINED] * len(column), [0.0] * len(column), [False] * len(column)
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist() if model is not None else []
             at = 0
-            while at < len(told):
-                some, chars = [], 0
-                while at < len(told) and len(some) < ROWS and chars < 2_000_000:
-                    some.append(told[at])
-                    chars += len(texts[told[at]])
-                    at += 1
-                values, like = model.score([texts[i] for i in some])
-                best = values.argmax(axis=1)
-                for i, b, v, a in zip(some, best.tolist(), values.max(axis=1).tolist(), like.tolist()):
-                    names[i], scores[i], alike[i] = model.languages[b], min(1.0, max(0.0, (v + 1) / 2)), a
-            yield pa.RecordBatch.from_arrays([*table.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(alike, pa.bool_())], names=[*table.schema.names[: len(keep)], *called])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{called[0]} string", f"{called[1]} double", f"{called[2]} boolean"]))
+            while at < len(lengths):
+                to, size = at, 0
+                while to < len(lengths) and to - at < ROWS and size < 1_000_000:
+                    size += lengths[to]
+                    to += 1
+                texts = column.slice(at, to - at).to_pylist()
+                some = [i for i, t in enumerate(texts) if has_letter(t)]
+                if some:
+                    values, like = model.score([texts[i] for i in some])
+                    for i, b, v, a in zip(some, values.argmax(axis=1).tolist(), values.max(axis=1).tolist(), like.tolist()):
+                        names[at + i], scores[at + i], alike[at + i] = model.languages[b], min(1.0, max(0.0, (v + 1) / 2)), a
+                at = to
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(alike, pa.bool_())], names=["lang", "score", "alike"])
+
+    return F.arrow_udf(run, "lang string, score double, alike boolean").asNondeterministic()(text.cast("string"))  # so that no filter runs it a second time
+
+
+def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("doc_id",), text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "alike")) -> DataFrame:
+    """The columns ``keep`` of every row with the predicted language, its score (0 to 1) and whether the text is like it, as columns ``names``.
+
+    A null text, one without letters (empty; numerals, marks) is ``und`` with score 0, and so is every text where there
+    is no model. Scores are the best language's regression value taken from -1..1 to 0..1; ties go to the language first
+    in code-point order. A score says which language is nearest, and depends on how many there are; a text is like it if
+    among its n-grams' occurrences the share of those common in the language reaches what all but TAIL of the learned
+    texts reach, each measured by the other learned texts. Repeated rows are scored alike. ``keep`` and the text are read, and the text alone reaches Python.
+
+    n-grams are hashed to 2 ** BITS bits, so a text of d distinct ones finds about d / 2 ** BITS of its bits taken
+    already: 5 % for a page of prose. The kernel of a text that fills most bits tells less: README has the accuracy
+    on texts of 5 MB.
+    """
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], told(F.col(f"`{text_col}`"), model, docs.sparkSession).alias("__told"))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__told.{f}").alias(n) for f, n in zip(("lang", "score", "alike"), names)])
 
 
 def in_fold(id_column: Column, fold: int = 2, folds: int = 4) -> Column:

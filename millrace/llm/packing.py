@@ -15,7 +15,7 @@ SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
 ])
-#: Pieces that wait in one task for partners; beyond it the waiting ones are packed.
+#: Pieces that wait in one task for partners: with windows of 2048 ids at most 64 MB.
 WAITING = 8192
 
 
@@ -50,19 +50,20 @@ def closest_fill(counts: dict[int, int], window: int, lengths: list[int] | None
     return used
 
 
-def pack(waiting: dict[int, list], window: int, last: bool) -> Iterator[list]:
-    """Lists of pieces, one for each window; takes them from ``waiting``. Unless ``last``, windows that can't be filled stay."""
+def pack(waiting: dict[int, list], window: int, left: int) -> Iterator[list]:
+    """Lists of pieces, one for each window, taken from ``waiting`` until at most ``left`` pieces are in it."""
     counts = {n: len(p) for n, p in waiting.items() if p}
     lengths = sorted(counts, reverse=True)
-    while lengths:
+    held = sum(counts.values())
+    while held > left:
         used = closest_fill(counts, window, lengths)
-        if not last and sum(n * k for n, k in used.items()) < window:
-            return
-        times = min(counts[n] // k for n, k in used.items())
+        size = sum(used.values())
+        times = min(-(-(held - left) // size), *(counts[n] // k for n, k in used.items()))
         for _ in range(times):
             yield [waiting[n].pop() for n, k in used.items() for _ in range(k)]
         for n, k in used.items():
             counts[n] -= times * k
+        held -= times * size
         if not all(counts[n] for n in used):
             lengths = [n for n in lengths if counts[n]]
 
@@ -73,11 +74,12 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and its ids (little-endian uint32).
 
-    A document is its ids and ``end_id``; its full windows are sequences of their own and the remainder is one piece.
-    Each task packs the remainders of its rows by minimum bin slack, ``waiting`` at a time and those left over with the
-    next, so nothing is shuffled and memory is bounded; at its end alone windows stay unfilled. A null or empty text is
-    ``end_id`` only, a null id is kept, repeated rows are documents of their own, an empty table gives no rows, and other
-    columns are not read.
+    A document is its ids by the plain call of the tokenizer, and ``end_id``; its full windows are sequences of their own
+    and the remainder is one piece. Each task packs the remainders of its rows by minimum bin slack: whenever ``waiting``
+    of them wait, windows are filled, longest piece first, until half are left, and all at the task's end. So nothing is
+    shuffled and memory is bounded; a window stays unfilled only where no choice of the waiting pieces fills it, mostly
+    the last ones of a task. A null or empty text is ``end_id`` only, a null id is kept, repeated rows are documents of
+    their own, an empty table gives no rows, and other columns are not read.
     """
     path = tokenizer or default_tokenizer()
 
@@ -92,9 +94,9 @@ def pack_documents(
             out.clear()
             return batch
 
-        def place(last: bool) -> None:
+        def place(left: int) -> None:
             nonlocal sequence, held
-            for pieces in pack(pool, window, last):
+            for pieces in pack(pool, window, left):
                 offset = 0
                 for doc, start, size, ids in pieces:
                     out.append((doc, start, len(ids) // 4, size, sequence, offset, ids))
@@ -116,12 +118,10 @@ def pack_documents(
                         pool.setdefault(size - full, []).append((doc, full, size, ids[full * 4 :]))
                         held += 1
                 if held >= waiting:
-                    place(False)
-                    if held >= waiting // 2:
-                        place(True)
+                    place(waiting // 2)
                 if out:
                     yield flush()
-        place(True)
+        place(0)
         if out:
             yield flush()
 

@@ -29,7 +29,7 @@ def token_blocks(docs: DataFrame, end_id: int, dtype: str = "<u2", tokenizer: st
     width = np.dtype(dtype).itemsize
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stream, end = WordTokenizer(path), f"part-{TaskContext.get().partitionId():05d}", np.array([end_id], dtype).tobytes()
+        encoder, stream, end = WordTokenizer(path, marks_as_text=True), f"part-{TaskContext.get().partitionId():05d}", np.array([end_id], dtype).tobytes()
         rest, due, number = b"", [], 0  # ids not sent yet; (position in them after the end mark, document)
         step = block * width
 

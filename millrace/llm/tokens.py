@@ -9,8 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words kept with their ids by one Python worker.
-REMEMBERED = 900_000
+#: Bytes of words kept with their ids by one Python worker, and of what a word takes besides its letters and ids.
+REMEMBERED, ENTRY = 40_000_000, 200
 
 
 def _kinds() -> bytes:
@@ -35,24 +35,34 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, exactly as the tokenizer's own.
 
+    ``marks_as_text`` takes the strings of special tokens in a text for ordinary text; else they are these tokens.
+
     For tokenizers that lower-case, drop white space and keep letters, numbers and runs of other marks apart: a text's
     ids are then its words' ids in turn, and a word's ids are looked up from its last occurrence. In Latin-1 texts,
     which lower case and normalization treat letter by letter, words are also lower-cased and parted from a comma or
     full stop behind them beforehand, so fewer differ. New words of a batch are encoded in one call and told apart by
-    offsets. Texts on which the two notions of white space differ go in whole.
+    offsets. Texts on which the two notions of white space differ, or with special tokens, go in whole. Words are kept
+    in two generations of half the memory each, so the frequent ones stay.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED, marks_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = marks_as_text
+        #: Strings that are one id wherever they stand, also inside a word.
+        self.marks = [] if marks_as_text else sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.older: dict[str, bytes] = {}  # forgotten next, unless met again
+        self.held, self.remembered = 0, remembered
+
+    def remember(self, words: list[str], ids: list[bytes]) -> None:
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
+        self.known.update(zip(words, ids))
 
     def learn(self, new: list[str]) -> None:
         for letters in (True, False):  # a word of letters alone ends where its last token does; others by offsets
@@ -69,10 +79,11 @@ class WordTokenizer:
                     ids = np.asarray(code.ids, "<u4")
                     cuts = (np.searchsorted(offsets, np.cumsum([0] + [len(w) + 1 for w in some])) * 4).tolist()
                 packed = ids.tobytes()
-                self.known.update(zip(some, [packed[a:b] for a, b in zip(cuts, cuts[1:])]))
+                self.remember(some, [packed[a:b] for a, b in zip(cuts, cuts[1:])])
 
-    @staticmethod
-    def words(text: str) -> list[str] | None:
+    def words(self, text: str) -> list[str] | None:
+        if any(mark in text for mark in self.marks):
+            return None
         try:
             kinds = text.encode("latin-1").translate(KINDS)
         except UnicodeEncodeError:
@@ -80,6 +91,8 @@ class WordTokenizer:
         if b"o" in kinds:
             return None
         text = text.lower()
+        if any(mark in text for mark in self.marks):
+            return None
         if not (b"p. " in kinds or b".. " in kinds or kinds[-2:] in (b"p.", b"..")):
             text = f"{text} ".replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
         return text.split()
@@ -94,13 +107,15 @@ class WordTokenizer:
             else:
                 flat += own
             cuts.append(len(flat))
+        if 2 * self.held > self.remembered:
+            self.older, self.known, self.held = self.known, {}, 0
         ids = list(map(self.known.get, flat))
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
             new = {flat[i] for i in missing}
-            if len(self.known) + len(new) > self.remembered:
-                self.known = {}
-            self.learn(list(new))
+            met = [w for w in new if w in self.older]
+            self.remember(met, [self.older[w] for w in met])
+            self.learn(list(new.difference(met)))
             for i in missing:
                 ids[i] = self.known[flat[i]]
         return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
