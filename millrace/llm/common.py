@@ -83,11 +83,33 @@ def scan(df: DataFrame, group: list[str], order: list[str], wanted: dict[str, tu
     return joined.withColumns(final).select(*df.columns, *wanted)
 
 
+#: Rows of a key that stay together in a join, and keys that are split at most: fewer have more than that share of all rows.
+TOGETHER, MOST_SPLIT = 2000, 100_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on their column ``key``, with keys of many rows split over tasks.
+
+    Rows of such a key go to parts by a hash of their column ``by``, and the key's rows in ``table`` to each part. A key is
+    split if it has more rows than TOGETHER and than one in MOST_SPLIT of all, so the list of such keys, which is broadcast,
+    has fewer than MOST_SPLIT. ``counted`` are rows with the same keys that are cheaper to count; give checkpointed ones.
+    """
+    counted = rows if counted is None else counted
+    most = max(TOGETHER, counted.count() // MOST_SPLIT)
+    sizes = counted.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    heavy = F.broadcast(cut(sizes.select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0))
+    dealt = rows.join(heavy, key, "left").withColumn("__part", part).drop("__parts")
+    copied = table.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [key, "__part"]).drop("__part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b long, undirected); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges no longer change. Minima are aggregated before the
-    shuffle and joined back, so a node with many neighbours is never gathered.
+    shuffle; they come back by joins that are followed by another shuffle, so adaptive execution splits the partition
+    of a node with many neighbours.
     """
     now = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     seen = None

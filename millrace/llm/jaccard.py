@@ -12,7 +12,10 @@ connected needn't be looked at.
 3. Exact frequencies of these order each set. Every document picks the l that costs least (``prefix``).
 4. Each posting list proposes one pivot against its other members. Where a list still spans several components,
    its entries are joined as far as their positions allow: the first shingle that two sets share leaves each as many
-   more as the intersection still needs. Pairs with l matches in their prefixes are verified on whole sets.
+   more as the intersection still needs. Only pairs with l matches in their prefixes, whichever way they were proposed,
+   are verified on whole sets.
+
+Joins split the keys that have many rows (``split_join``): lists of common shingles, pivots of many pairs, equal sets.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts
+from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts, split_join
 from millrace.llm.hashing import mix, shingle_sets
 from millrace.llm.tokens import batches
 
@@ -66,7 +69,7 @@ COUNTED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64(
 def shared_counts(docs: DataFrame, ranges: int, bits: int, words: int) -> DataFrame:
     """(id, n, shared, f1, f2) of each row (id, text): set size, at least how many of its shingles occur in other rows, fingerprints.
 
-    ``shared`` is counted on the first ``bits`` bits of hashes, so it may be too large by chance, never too small. A hash
+    Blocks send a row to each range in which they have a hash, so there are never more rows than shingles. ``shared`` is counted on the first ``bits`` bits of hashes, so it may be too large by chance, never too small. A hash
     that a block holds more than once is sent once, without owners: a shingle of any frequency is few rows to its range.
     """
     most = 256 if ranges <= 512 else 4096
@@ -274,12 +277,22 @@ def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
     return bundles.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, "token long, id long, n long, l int, s long, middle double, at long")
 
 
+def attached(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """``pairs`` (a, b; checkpointed) with the columns ``names`` of both in ``table`` (id, ...), ending in a and b."""
+    first = split_join(pairs, table.select(*[F.col(x).alias(f"{x}b") for x in names], F.col("id").alias("b")), "b", "a")
+    return split_join(first, table.select(*[F.col(x).alias(f"{x}a") for x in names], F.col("id").alias("a")), "a", "b", pairs)
+
+
+def matching(pairs: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes (id, n, l, t) share as many tokens as they were lengthened for."""
+    both = attached(pairs, prefixes, ["n", "l", "t"]).withColumn("l", F.least("la", "lb"))
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= least_matches("na", "nb", "l", least)).select("a", "b")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= least * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    common = F.size(F.array_intersect("tokensa", "tokensb"))
+    return attached(pairs, sets, ["n", "tokens"]).where(100 * common >= least * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def needed(x: str, y: str, least: int) -> Column:
@@ -309,58 +322,54 @@ def alike(lists: DataFrame) -> DataFrame:
     Lists are compared by their lengths and two 64-bit exclusive-ors of hashed entries.
     """
     marks = lists.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    marks = marks.where("c > 1")
+    marks = cut(marks.where("c > 1"))
     first = marks.groupBy("c", "x", "y").agg(F.min("token").alias("first"))
-    named = lists.join(marks.join(first, ["c", "x", "y"]).select("token", "first"), "token")
+    named = split_join(lists, marks.join(first, ["c", "x", "y"]).select("token", "first"), "token", "id")
     return named.groupBy(F.col("first").alias("token"), "id", "n", "l", "s", "middle").agg(F.min("at").alias("at"))
 
 
-def across(named: DataFrame, lists: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components ``c`` that share enough of their prefixes.
+def across(named: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components ``c`` whose positions in a list allow the similarity.
 
     Where two sets share their first token, in the one order, neither has fewer tokens left than they need in common. So
     the smaller set's token is among its first n - needed(n, n) + 1, the larger one's among its first n - least% of n + 1,
-    and those of both fit the pair. Such pairs then need the matches that their prefixes are lengthened for.
+    and those of both fit the pair.
     """
     small = named.where(F.col("at") + needed("n", "n", least) <= F.col("n")).select("token", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "s", "c", "at")])
     large = named.where(100 * (F.col("n") - F.col("at")) >= least * F.col("n")).select("token", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "s", "c", "at")])
-    met = small.join(large, "token").where(
+    met = split_join(large, small, "token", "idb", named).where(
         ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ida") < F.col("idb"))) & (F.col("ca") != F.col("cb"))
         & possible("{}a", "{}b", least) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= needed("na", "nb", least))
     )
-    pairs = cut(met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
-    prefixes = lists.groupBy("id", "n", "l").agg(F.collect_list("token").alias("t"))
-    both = pairs.join(prefixes.select(*[F.col(x).alias(f"{x}a") for x in ("id", "n", "l", "t")]), F.col("a") == F.col("ida"))
-    both = both.join(prefixes.select(*[F.col(x).alias(f"{x}b") for x in ("id", "n", "l", "t")]), F.col("b") == F.col("idb"))
-    both = both.withColumn("l", F.least("la", "lb"))
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= least_matches("na", "nb", "l", least)).select("a", "b").distinct()
+    return met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+
+
+def around_pivots(named: DataFrame, step: int, least: int) -> DataFrame:
+    """Pairs (a, b) of each list's sets with the list's pivot: the most central set at first, later any of its components'."""
+    rank = -F.col("middle") if step == 0 else F.xxhash64(F.lit(step), "c").cast("double")
+    pivots = named.groupBy("token").agg(F.min(F.struct(rank.alias("h"), "id", "n", "s", "c")).alias("p"))
+    pairs = split_join(named, pivots, "token", "id").where((F.col("c") != F.col("p.c")) & possible("{}", "p.{}", least))
+    return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
 def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 1) -> DataFrame:
     """Links (a, b) that hold all components of the similarity together.
 
-    Round by round each list takes its most central set for pivot, later any; at last ``across`` joins what is left.
+    Round by round each list proposes a pivot; at last ``across`` joins what is left.
     """
-    whole, lists = lists, cut(alike(lists))
+    prefixes = cut(lists.groupBy("id", "n", "l").agg(F.collect_list("token").alias("t")))
+    named = cut(alike(lists).withColumn("c", F.col("id")))
     links = None
     for step in range(rounds + 1):
-        if links is None:
-            named = lists.withColumn("c", F.col("id"))
-        else:
+        if links is not None:
             now = components(links)
-            named = lists.join(now, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
-            named = cut(named.join(lists_of_several(named), "token", "left_semi"))
+            named = named.drop("c").join(now, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+            named = cut(named)
+            named = cut(split_join(named, lists_of_several(named), "token", "id"))
             if named.isEmpty():
                 break
-        if step < rounds:
-            rank = -F.col("middle") if step == 0 else F.xxhash64(F.lit(step), "c").cast("double")
-            mark = F.struct(rank.alias("h"), "id", "n", "s", "c")
-            pivots = named.groupBy("token").agg(F.min(mark).alias("p"))
-            pairs = named.join(pivots, "token").where((F.col("c") != F.col("p.c")) & possible("{}", "p.{}", least))
-            pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        else:
-            pairs = across(named, whole, least)
-        found = cut(verify(cut(pairs), sets, least))
+        pairs = cut(around_pivots(named, step, least) if step < rounds else across(named, least))
+        found = cut(verify(cut(matching(pairs, prefixes, least)), sets, least))
         links = found if links is None else cut(links.union(found))
     return links
 
@@ -378,8 +387,9 @@ def join_similar(docs: DataFrame, least: int = 80, words: int = 5, id_col: str =
     are runs of anything but ASCII white space, lower-cased in A-Z; a text with fewer words is one shingle; one without
     words, or null, has none and links with nothing. A component's id is the smallest doc_id reachable by links.
 
-    Rows with the same id are one document with the links of all of them and the largest of their set sizes. A row
-    with a null id links with nothing and is returned with a null component. Shingles are told apart by 64-bit hashes.
+    There is a row for each row of ``docs``, with its own set size. Rows with the same id are one node with the links of
+    all; a row without words is alone whatever its id. A row with a null id links with nothing and has a null component.
+    Shingles are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -392,10 +402,12 @@ def join_similar(docs: DataFrame, least: int = 80, words: int = 5, id_col: str =
     sets = cut(read_sets(rows, alive, words))
     lists = cut(postings(sets, ranges, least))
     links = link(lists, sets, least)
-    again = counted.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1")
-    named = counted.select("id", "f1", "f2").join(again, "id", "left_semi").join(groups.select("f1", "f2", F.col("id").alias("first")), ["f1", "f2"])
+    spoken = cut(counted.where("n > 0 AND id IS NOT NULL").select("id", "n", F.struct("f1", "f2").alias("set")))
+    groups = groups.select(F.struct("f1", "f2").alias("set"), F.col("id").alias("first"))
+    again = spoken.groupBy("id").agg(F.count("*").alias("k")).where("k > 1")
+    named = spoken.select("id", "set").join(again, "id", "left_semi").join(groups, "set")
     whole = components(links.union(named.selectExpr("id AS a", "first AS b").where("a <> b")))
-    solved = groups.join(whole, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
-    every = counted.join(solved, (F.col("n") > 0) & (counted["f1"] == solved["f1"]) & (counted["f2"] == solved["f2"]), "left")
-    every = every.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-    return every.groupBy(F.col("id").alias("doc_id")).agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
+    solved = groups.join(whole, F.col("first") == F.col("node"), "left").select("set", F.coalesce("component", "first").alias("component"))
+    every = split_join(spoken, solved, "set", "id").select("id", "n", "component")
+    every = every.union(counted.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component")))
+    return every.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
