@@ -1,26 +1,35 @@
-"""Vectors and the cells they fall in: validity, k-means on a bounded sample, assignment."""
+"""Vectors and the cells they fall in: validity, samples, k-means, assignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that k-means learns from at most, about; rows per cell aimed at; cells at most, which bounds what is broadcast.
-SAMPLE, PER_CELL, MOST_CELLS = 20_000, 400, 4096
+#: Rows that k-means learns from at most, about.
+SAMPLE = 20_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector, ok): vectors as double arrays; ok if not null, of the most frequent length, all components finite, not all zero."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    """(id, vector, ok): vectors as double arrays; ok if not null, not empty, all components finite, not all zero."""
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", finite), F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("ok", good)
-    common = rows.where("ok").groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.withColumn("ok", F.col("ok") & (F.size("vector") == (common["n"] if common else 0)))
+    return rows.withColumn("ok", good)
+
+
+def lengths(rows: DataFrame) -> list[tuple[int, int, float]]:
+    """(length, rows, scale) of the vectors of ``rows``: vectors are compared with those of their length only, one search a length.
+
+    ``scale`` is a power of two near the largest component; vectors divided by it have squares in the range of doubles.
+    """
+    largest = F.array_max(F.transform("vector", F.abs))
+    found = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(largest).alias("top")).orderBy("d").collect()
+    return [(r["d"], r["n"], 2.0 ** (math.frexp(r["top"])[1] - 1)) for r in found]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -35,27 +44,33 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def learn_cells(rows: DataFrame, n: int, spherical: bool, per_cell: int = PER_CELL, most: int = MOST_CELLS, sample: int = SAMPLE, steps: int = 12, seed: int = 11) -> np.ndarray:
-    """Centres of about n / per_cell cells, at most ``most``, by k-means on about ``sample`` of the n rows (id, vector), chosen by hash."""
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "vector"), 11).cast("double") / float(2**53)
-    got = rows.where(uniform < min(1.0, sample / max(n, 1))).select("id", "vector").toArrow() if n else None
-    if got is None or not got.num_rows:
-        got = rows.select("id", "vector").limit(1).toArrow()
-        if not got.num_rows:
-            return np.empty((0, 0))
-    got = got.sort_by("id")
-    x = matrix(got.column("vector"))
-    x = unit(x) if spherical else x
-    k = int(max(1, min(most, n // per_cell, len(x) // 4 or 1)))
+def uniform(seed: int) -> Column:
+    """A draw from 0 to 1 by id and vector, so that copies of a vector are drawn one by one."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "vector"), 11).cast("double") / float(2**53)
+
+
+def sampled(rows: DataFrame, n: int, sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of about ``sample`` of the n rows (id, vector), chosen by hash; of one at least, if there is any."""
+    got = rows.where(uniform(seed) < min(1.0, sample / max(n, 1))).select("id", "vector").toArrow()
+    if not got.num_rows:
+        got = rows.select("id", "vector").orderBy("id", "vector").limit(1).toArrow()
+    x, ids = matrix(got.column("vector")), got.column("id").to_numpy()
+    order = np.lexsort((*x.T[::-1], ids))
+    return ids[order], x[order]
+
+
+def kmeans(x: np.ndarray, k: int, spherical: bool, steps: int = 12, seed: int = 11) -> np.ndarray:
+    """k centres of the rows x; of length one, if ``spherical``."""
     rng = np.random.default_rng(seed)
+    k = max(1, min(k, len(x)))
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(steps if k > 1 else 1):
         own = nearest(x, centres, 1)[:, 0]
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        counts = np.bincount(own, minlength=k)
-        empty = counts == 0
-        centres = np.where(empty[:, None], x[rng.choice(len(x), k)], sums / np.maximum(counts, 1)[:, None])
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=k)
+        sums[own[order][first]] = np.add.reduceat(x[order], first, axis=0)
+        centres = np.where((counts == 0)[:, None], x[rng.choice(len(x), k)], sums / np.maximum(counts, 1)[:, None])
         if spherical:
             centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres
@@ -76,27 +91,34 @@ def merge_centres(centres: np.ndarray, least: float) -> np.ndarray:
 
 def nearest(x: np.ndarray, centres: np.ndarray, m: int, cells: np.ndarray | None = None) -> np.ndarray:
     """Of each row the m nearest centres, nearest first; the m nearest cells, by their nearest centre, if ``cells`` has each centre's cell."""
-    far = (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
-    if cells is not None:
-        order = np.argsort(cells, kind="stable")
-        far = np.minimum.reduceat(far[:, order], np.flatnonzero(np.diff(cells[order], prepend=-1)), axis=1)
-    m = min(m, far.shape[1])
-    if m == 1:
-        return far.argmin(axis=1)[:, None]
-    some = np.argpartition(far, m - 1, axis=1)[:, :m]
-    return np.take_along_axis(some, np.take_along_axis(far, some, axis=1).argsort(axis=1, kind="stable"), axis=1)
-
-
-def assign(rows: DataFrame, centres: np.ndarray, m: int, spherical: bool, merged: np.ndarray | None = None) -> DataFrame:
-    """``rows`` (with a column ``vector``) and ``cells``, the m nearest cells of each; ``merged`` has each centre's cell if some share one."""
-    held = rows.sparkSession.sparkContext.broadcast((centres, merged))  # MOST_CELLS centres at most
+    square, found = (centres * centres).sum(axis=1), []
+    order = None if cells is None else np.argsort(cells, kind="stable")
+    for at in range(0, max(1, len(x)), 4096):
+        far = square - 2 * (x[at : at + 4096] @ centres.T)
+        if cells is not None:
+            far = np.minimum.reduceat(far[:, order], np.flatnonzero(np.diff(cells[order], prepend=-1)), axis=1)
+        take = min(m, far.shape[1])
+        if take == 1:
+            found.append(far.argmin(axis=1)[:, None])
+            continue
+        some = np.argpartition(far, take - 1, axis=1)[:, :take]
+        found.append(np.take_along_axis(some, np.take_along_axis(far, some, axis=1).argsort(axis=1, kind="stable"), axis=1))
+    return np.concatenate(found)
+
+
+def assign(rows: DataFrame, centres: np.ndarray, m: int, scale: float | None = None, merged: np.ndarray | None = None) -> DataFrame:
+    """``rows`` (with a column ``vector``) and ``cells``, the m nearest cells of each: of vectors divided by ``scale``, or of length one.
+
+    ``merged`` has each centre's cell if some share one.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((centres, merged))  # some thousand centres at most, as callers see to
     names = rows.columns
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             if table.num_rows:
                 x = matrix(table.column(names.index("vector")))
-                own = nearest(unit(x) if spherical else x, held.value[0], m, held.value[1]).astype(np.int32)
+                own = nearest(unit(x) if scale is None else x / scale, held.value[0], m, held.value[1]).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)), pa.array(own.ravel()))
                 yield pa.RecordBatch.from_arrays([*table.columns, cells], names=[*names, "cells"])
 
