@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.cells import assign, learn_cells, matrix, usable
+from millrace.llm.cells import assign, kmeans, lengths, matrix, sampled, usable
 from millrace.llm.common import cut
 
-#: Share of all rows in the lists that a query probes, dimensions of one column block, rows of one block of a list,
-#: and how many standard errors a partial distance may exceed the bound before a candidate is given up.
-SHARE, COLUMNS, BLOCK, SURENESS = 0.9, 16, 4096, 3.0
-#: Rows per list aimed at.
-PER_LIST = 100
+#: Lists are LISTS times the root of the number of rows, at most MOST_LISTS; a row is in its OVERLAP nearest, a query probes its PROBES nearest.
+LISTS, MOST_LISTS, OVERLAP, PROBES = 5, 4096, 4, 96
+#: Dimensions of one column block, rows of one block of a list, queries that a task answers, and how many standard
+#: deviations a partial distance may be above what it should be for a neighbour before a candidate is given up.
+COLUMNS, BLOCK, QUERIES, SURENESS = 16, 4096, 8192, 3.0
 
 
 def rotation(n: int, seed: int = 5) -> np.ndarray:
@@ -26,33 +27,59 @@ def rotation(n: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan_list(query: np.ndarray, rotated_query: np.ndarray, rows: np.ndarray, rotated: np.ndarray, ids: np.ndarray, k: int, best: list, columns: int = COLUMNS, sureness: float = SURENESS) -> None:
-    """Puts the list's nearest into ``best``, the k smallest (distance, id) so far.
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in double precision; differences whose squares would leave its range are scaled first."""
+    difference = a - b
+    top = np.abs(difference).max(axis=1)
+    scale = np.where((top > 1e-140) & (top < 1e140) | (top == 0), 1.0, top)
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = np.sqrt(((difference / scale[:, None]) ** 2).sum(axis=1)) * scale
+    return np.where(np.isinf(top), np.inf, out)
 
-    After each block of d of D rotated dimensions a candidate whose partial distance, scaled to all dimensions, exceeds
-    the k-th best distance by a factor 1 + sureness / sqrt(d) is given up: the hypothesis that it is nearer is rejected.
-    Those that reach the end are measured on the original vectors.
+
+def most_share(seen: int, dims: int, sureness: float) -> float:
+    """The share of a squared distance that ``seen`` of ``dims`` rotated dimensions hold at most, but for chances beyond
+    ``sureness`` standard deviations: under a random rotation it follows a beta distribution."""
+    return min(1.0, seen / dims + sureness * math.sqrt(2 * seen * (dims - seen) / (dims * dims * (dims + 2))))
+
+
+def scan_list(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, columns: int = COLUMNS, sureness: float = SURENESS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of rotated vectors that aren't given up.
+
+    Block by block of rotated dimensions a pair whose partial squared distance is more than ``most_share`` of its
+    query's squared bound is given up: the hypothesis that the row is within the bound is rejected. All pairs are
+    measured by matrix products at first, and pair by pair once most are gone.
     """
     dims = rows.shape[1]
-    for at in range(0, len(rows), 256):
-        alive = np.arange(at, min(at + 256, len(rows)))
-        if len(best) >= k:
-            bound = best[k - 1][0]
-            partial = np.zeros(len(alive))
-            for d in range(0, dims, columns):
-                part = rotated[alive, d : d + columns] - rotated_query[d : d + columns]
-                partial = partial + (part * part).sum(axis=1)
-                seen = min(d + columns, dims)
-                if seen == dims:
-                    ok = partial <= (bound * (1 + 1e-9)) ** 2
-                else:
-                    ok = partial * dims / seen <= (bound * (1 + sureness / np.sqrt(seen))) ** 2
-                alive, partial = alive[ok], partial[ok]
-        if len(alive):
-            exact = np.sqrt(((rows[alive] - query) ** 2).sum(axis=1))
-            best += zip(exact.tolist(), ids[alive].tolist())
-            best.sort()
-            del best[k:]
+    squares = bounds**2 * (1 + 1e-9)
+    partial = np.zeros((len(queries), len(rows)))
+    pairs = None
+    for at in range(0, dims, columns):
+        a, b = queries[:, at : at + columns], rows[:, at : at + columns]
+        limit = squares * most_share(min(at + columns, dims), dims, sureness)
+        if pairs is None:
+            partial += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
+            alive = partial <= limit[:, None] + 1e-9 * squares[:, None]
+            if 4 * np.count_nonzero(alive) < alive.size or at + columns >= dims:
+                pairs = np.nonzero(alive)
+                partial = partial[pairs]
+        else:
+            q, r = pairs
+            partial = partial + ((a[q] - b[r]) ** 2).sum(axis=1)
+            ok = partial <= limit[q]
+            pairs, partial = (q[ok], r[ok]), partial[ok]
+    return pairs
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Indices of each query's k nearest different ids, by distance, then id."""
+    order = np.lexsort((far, ids, query))
+    first = np.r_[True, (query[order][1:] != query[order][:-1]) | (ids[order][1:] != ids[order][:-1])][: len(order)]
+    some = order[first]
+    some = some[np.lexsort((ids[some], far[some], query[some]))]
+    start = np.flatnonzero(np.r_[True, query[some][1:] != query[some][:-1]])
+    rank = np.arange(len(some)) - np.repeat(start, np.diff(np.r_[start, len(some)])) if len(some) else np.empty(0, np.int64)
+    return some[rank < k]
 
 
 def group_lists(counts: np.ndarray, block: int) -> np.ndarray:
@@ -71,72 +98,108 @@ def group_lists(counts: np.ndarray, block: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SHARE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES, overlap: int = OVERLAP, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query row the k nearest found among all other rows, by Euclidean distance.
 
-    ``is_query`` is a condition on the column ``id``. Every row is in one list of a k-means fitted on a bounded sample.
-    A query probes the lists nearest to it until they hold ``share`` of all rows and more than k. Lists are dealt to
-    parts of about ``block`` rows, large ones split; a query goes to each part once, and k rows for it come back. Ties go to the smaller id. Vectors that are null, zero or not finite, of another
-    than the most frequent length, or with a null id take no part. Rows with the same id are candidates each, but never
-    of a query with that id; of candidates with one id the nearest counts.
+    ``is_query`` is a condition on the column ``id``. The lists are those of a k-means fitted on a bounded sample; every
+    row is in its ``overlap`` nearest lists, and a query probes its ``probes`` nearest, whatever the number of rows
+    (recall: README). The k-th nearest of the sample bounds each query's distance before its first list, and these
+    k are candidates as well, so a query never finds fewer than k where the sample has as many. Lists are dealt to parts
+    of about ``block`` rows, large ones split, and parts with many queries are answered in several tasks.
+
+    Ties go to the smaller id. Vectors that are null, zero or not finite, or with a null id, take no part; vectors are
+    compared with those of their length. Rows with the same id are candidates each, but never of a query with that id;
+    of candidates with one id the nearest counts. Components of any finite size are compared without overflow.
     """
     rows = cut(usable(vectors, id_col, vector_col).where("ok AND id IS NOT NULL").select("id", "vector"))
-    n = rows.count()
-    if not n:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    centres = learn_cells(rows, n, False, PER_LIST)
-    listed = cut(assign(rows, centres, 1, False).select("id", "vector", F.element_at("cells", 1).alias("cell")))
-    sizes = {r["cell"]: r["n"] for r in listed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one for each centre
+    none = rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    found = [search_length(rows.where(F.size("vector") == d), is_query, d, n, scale, k, probes, overlap, block) for d, n, scale in lengths(rows)]
+    if not found:
+        return none
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def search_length(rows: DataFrame, is_query: Column, dims: int, n: int, scale: float, k: int, probes: int, overlap: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score) of candidates among n vectors of one length, the nearest found of each query with them."""
+    spark = rows.sparkSession
+    some_ids, some = sampled(rows, n)
+    centres = kmeans(some / scale, min(MOST_LISTS, math.ceil(LISTS * math.sqrt(n)), max(1, len(some) // 4)), False)
+    listed = cut(assign(rows, centres, overlap, scale).withColumn("cells", F.array_distinct("cells")))
+    sizes = {r["cell"]: r["n"] for r in listed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one for each centre
     counts = np.array([sizes.get(c, 0) for c in range(len(centres))])
-    held = rows.sparkSession.sparkContext.broadcast((centres, counts))
-    want = max(share * n, min(n, 20 * k))
-    blocks = np.maximum(1, -(-counts // block))
-    group = group_lists(counts, block)
+    blocks, group = np.maximum(1, -(-counts // block)), group_lists(counts, block)
+    held = spark.sparkContext.broadcast((centres, group, blocks, some_ids, some))  # bounded by MOST_LISTS and SAMPLE
+    asking = rows.where(is_query)
+    turns = max(1, math.ceil(asking.count() * min(1.0, probes / len(centres)) / QUERIES))
 
     def probe(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, counts = held.value
-        square = (centres * centres).sum(axis=1)
+        centres, group, blocks, some_ids, some = held.value
+        square, scaled = (centres * centres).sum(axis=1), some / scale
+        lengths_of = (scaled * scaled).sum(axis=1)
         for table in tables:
-            x = matrix(table.column(1)) if table.num_rows else np.empty((0, centres.shape[1]))
-            order = (square - 2 * x @ centres.T).argsort(axis=1, kind="stable")
-            enough = (counts[order].cumsum(axis=1) < want).sum(axis=1) + 1
-            for i, m in enumerate(enough.tolist()):
-                asked: dict[int, list[int]] = {}
-                for c in order[i, :m].tolist():  # nearest list first
-                    for b in range(blocks[c]):
-                        asked.setdefault(int(group[c]) + b, []).append(c)
-                once = pa.array([0] * len(asked))
+            whole = matrix(table.column(1)) if table.num_rows else np.empty((0, dims))
+            for at in range(0, table.num_rows, 256):
+                x, names = whole[at : at + 256], table.column(0).slice(at, 256).to_numpy()
+                order = (square - 2 * (x / scale) @ centres.T).argsort(axis=1, kind="stable")[:, :probes]
+                close = lengths_of - 2 * (x / scale) @ scaled.T
+                out = []
+                for i, name in enumerate(names.tolist()):
+                    top = np.argpartition(close[i], 4 * k)[: 4 * k + 1] if len(some) > 4 * k + 1 else np.arange(len(some))
+                    for chosen in (top, np.arange(len(some))):  # the second only if there are many copies among the first
+                        chosen = chosen[some_ids[chosen] != name]
+                        far = distance(some[chosen], x[i])
+                        b = best_of(np.zeros(len(chosen), np.int64), some_ids[chosen], far, k)
+                        if len(b) == k:
+                            break
+                    bound = float(far[b].max()) if len(b) == k else math.inf
+                    out.append((name, x[i], bound, -1, [], some_ids[chosen][b].tolist(), far[b].tolist()))
+                    asked: dict[int, list[int]] = {}
+                    for c in order[i].tolist():  # nearest list first
+                        for j in range(blocks[c]):
+                            asked.setdefault(int(group[c]) + j, []).append(c)
+                    out += [(name, x[i], bound, part, own, [], []) for part, own in asked.items()]
                 yield pa.RecordBatch.from_arrays(
-                    [table.column(0).slice(i, 1).take(once), table.column(1).slice(i, 1).take(once), pa.array(list(asked), pa.int32()), pa.array(list(asked.values()), pa.list_(pa.int32()))],
-                    names=["id", "vector", "part", "cells"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())))],
+                    names=["id", "vector", "bound", "part", "cells", "ids", "far"],
                 )
 
-    asked = rows.where(is_query).mapInArrow(probe, "id long, vector array<double>, part int, cells array<int>").withColumn("asks", F.lit(True))
-    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
-    part = (of(group) + F.pmod(F.xxhash64("id"), of(blocks))).cast("int")
-    stored = listed.select("id", "vector", part.alias("part"), F.array("cell").alias("cells"), F.lit(False).alias("asks"))
-
-    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        own, asking = both[~both["asks"]].sort_values("id", kind="stable"), both[both["asks"]]
-        out = []
+    asked = cut(asking.select("id", "vector").mapInArrow(probe, "id long, vector array<double>, bound double, part int, cells array<int>, ids array<long>, far array<double>"))
+    hits = asked.where("part < 0").select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("ids", "far")).alias("hit")).select("query_id", F.col("hit.ids").alias("vec_id"), F.col("hit.far").alias("score"))
+    places = spark.createDataFrame([(c, int(group[c]), int(blocks[c])) for c in range(len(centres))], "cell int, first int, blocks int")
+    stored = listed.select("id", "vector", F.explode("cells").alias("cell")).join(F.broadcast(places), "cell")
+    part = (F.col("first") + F.pmod(F.xxhash64("id", "vector"), F.col("blocks"))).cast("int").alias("part")
+    stored = stored.select("id", "vector", F.lit(None).cast("double").alias("bound"), part, F.array("cell").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(False).alias("asks"))
+    wanted = asked.where("part >= 0").select("id", "vector", "bound", "part", "cells", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(True).alias("asks"))
+
+    def run(both: pa.Table) -> pa.Table:
+        asks = both.column("asks").to_numpy()
+        own, asking = both.filter(pa.array(~asks)), both.filter(pa.array(asks))
+        q_of, ids, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        names = asking.column("id").to_numpy()
         if len(own) and len(asking):
-            x, q = np.stack(own["vector"].to_numpy()), np.stack(asking["vector"].to_numpy())
-            turn = rotation(x.shape[1])
-            rx, rq, ids = x @ turn, q @ turn, own["id"].to_numpy()
-            cell = np.array([c[0] for c in own["cells"]])
-            lists = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
-            lists = {c: (x[i], rx[i], ids[i]) for c, i in lists.items()}
-            for query, a, b, cells in zip(asking["id"].tolist(), q, rq, asking["cells"]):
-                best: list = []
-                for c in cells:
-                    if c in lists:
-                        v, rv, names = lists[c]
-                        other = names != query
-                        scan_list(a, b, *((v, rv, names) if other.all() else (v[other], rv[other], names[other])), k, best)
-                out += [(query, i, d) for d, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = asked.unionByName(stored).groupBy("part").applyInPandas(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            x, q, turn = matrix(own.column("vector")), matrix(asking.column("vector")), rotation(dims) / scale
+            rx, rq, row_ids, bounds = x @ turn, q @ turn, own.column("id").to_numpy(), asking.column("bound").to_numpy().copy()
+            cell = own.column("cells").combine_chunks().flatten().to_numpy()
+            lists = asking.column("cells").combine_chunks()
+            asked_of, asked = np.repeat(np.arange(len(asking)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            for c in np.unique(cell).tolist():
+                rows, who = np.flatnonzero(cell == c), asked_of[asked == c]
+                for at in range(0, len(who), 512):
+                    mine = who[at : at + 512]
+                    a, b = scan_list(rq[mine], rx[rows], bounds[mine] / scale)
+                    a, b = mine[a], rows[b]
+                    other = names[a] != row_ids[b]
+                    a, b = a[other], b[other]
+                    exact = distance(x[b], q[a])
+                    ok = exact <= bounds[a]
+                    q_of, ids, far = np.r_[q_of, a[ok]], np.r_[ids, row_ids[b[ok]]], np.r_[far, exact[ok]]
+                    keep = best_of(q_of, ids, far, k)
+                    q_of, ids, far = q_of[keep], ids[keep], far[keep]
+                    full = np.flatnonzero(np.bincount(q_of, minlength=len(names)) == k)
+                    last = np.searchsorted(q_of, full, side="right") - 1
+                    bounds[full] = np.minimum(bounds[full], far[last])
+        return pa.table({"query_id": names[q_of], "vec_id": ids, "score": far})
+
+    return wanted.unionByName(stored).groupBy("part", "turn").applyInArrow(run, "query_id long, vec_id long, score double").unionByName(hits)
