@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, running, words
+from millrace.llm.common import cut, running, split_join, words
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -38,9 +38,8 @@ def draw(seed: int, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
 
 
-def shares(rate: Column, most: float, hashed: Column) -> tuple[Column, Column, Column]:
+def shares(rate: Column, hashed: Column) -> tuple[Column, Column, Column]:
     """Of a wanted number of copies: the certain ones, the probability of one more, and the odds by which rows are ranked for it."""
-    rate = F.least(rate, F.lit(float(most)))
     sure = F.floor(rate + 1e-9)  # a ratio of doubles that should be whole counts as whole
     p = F.greatest(rate - sure, F.lit(0.0))
     uniform = (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / float(2**53)
@@ -48,66 +47,103 @@ def shares(rate: Column, most: float, hashed: Column) -> tuple[Column, Column, C
     return sure.cast("int"), F.when(p > 1e-9, p).otherwise(0.0), odds
 
 
+def importance_of(importance_col: str | None) -> Column:
+    """A row's importance to three digits, so that a source has few different ones; null and what is smaller counts as 1e-6."""
+    if importance_col is None:
+        return F.lit(1.0)
+    x = F.greatest(F.coalesce(F.col(f"`{importance_col}`").cast("double"), F.lit(0.0)), F.lit(1e-6))
+    step = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
+    return F.round(x / step) * step
+
+
+def source_levels(rows: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """(source, source_size, target, level): documents are wanted ``level`` times their importance, at most ``most`` times.
+
+    The level at which sizes times these numbers add up to the target follows from the sums over a source's documents
+    of equal importance, from the largest down: those wanted ``most`` times come first.
+    """
+    classes = rows.groupBy("source", "importance").agg(F.sum("size").alias("size"))
+    joined = classes.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    down = Window.partitionBy("source").orderBy(F.desc("importance"))
+    before = F.coalesce(F.sum("size").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("importance") * F.col("size")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.try_divide(F.col("target") - F.lit(float(most)) * before, rest)
+    found = joined.withColumn("level", level)
+    first = F.max_by("level", F.when(F.col("level") * F.col("importance") <= most * (1 + 1e-12), F.col("importance")))
+    return found.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(first, F.lit(float("inf"))).alias("level"))
+
+
+#: Sources up to which a table with a row for each is broadcast.
+FEW = 100_000
+
+
+def by_source(rows: DataFrame, table: DataFrame, source_col: str, by: str, counted: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (``__source``, ...; checkpointed, a row a source); sources of many rows are split."""
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table), F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).drop("__source")
+    key = F.struct(F.coalesce("__source", F.lit("")).alias("s"), F.col("__source").isNull().alias("n"))
+    own = F.struct(F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("s"), F.col(f"`{source_col}`").isNull().alias("n"))
+    counted = counted.select(F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n")).alias("__key"))
+    return split_join(rows.withColumn("__key", own), table.select(key.alias("__key"), *[c for c in table.columns if c != "__source"]), "__key", by, counted).drop("__key")
+
+
 def mix_documents(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size (words), source_size, target, ``copies`` (how often it is taken),
-    and how that came: ``sure``, ``drawn``, ``odds`` and ``draw``.
+    and how that came: ``level``, ``sure``, ``p``, ``drawn``, ``odds`` and ``draw``.
 
-    A document is wanted target / source_size times (times its importance over the source's mean importance by size, at
-    most ``most`` times, where ``importance_col`` is given). The whole part of that is certain. For the fraction p left,
-    documents of a source are ranked by the odds of a uniform draw over the odds of p, and taken in this order while the
-    words so far, to the middle of the next document, stay below the words that the fractions stand for: a sample of
-    fixed size with unequal probabilities. Draws are hashes of ``seed``, id and the text's checksum, so reruns agree.
+    A document is wanted level times importance times, at most ``most`` times; a source's level is such that the words
+    wanted are its target. The whole part of that is certain. For the fraction p left, documents of a source are ranked
+    by the odds of a uniform draw over the odds of p, and taken in this order while the words so far, to the middle of
+    the next document, stay below the words that the fractions stand for: a sample of fixed size with unequal
+    probabilities. Draws are hashes of ``seed``, id and the text's checksum, so reruns agree.
 
-    Repeated rows are taken or left by themselves; rows without words count 0 and are taken as the order has it; a null
-    source is a source; a null or negative importance is 0. Sources of any size are split over tasks.
+    Rows alike in id and text are taken alike; rows without words count 0 and are taken as the order has it; a null
+    source is a source; without ``importance_col`` all are of equal importance, and a null, zero or negative one counts
+    as 1e-6. Sources of any size are split over tasks.
     """
-    importance = F.lit(1.0) if importance_col is None else F.greatest(F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = cut(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), importance.alias("importance"),
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size"), importance_of(importance_col).alias("importance"),
         draw(seed, id_col, text_col).alias("draw"),
     ))
-    targets = source_targets(rows, weights, share, most)
-    # A source of any size meets its one row here; the join splits large sources.
-    wanted = rows.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    if importance_col is not None:
-        means = rows.groupBy(F.col("source").alias("__source")).agg((F.sum(F.col("importance") * F.col("size")) / F.sum("size")).alias("__mean"))
-        wanted = wanted.join(means, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        rate = F.coalesce(F.try_divide(rate * F.col("importance"), F.col("__mean")), F.lit(0.0))
-    sure, p, odds = shares(rate, most, F.col("draw"))
-    wanted = wanted.withColumns({"sure": sure, "__p": p, "odds": odds})
-    quota = wanted.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col("__p") * F.col("size")).alias("__quota"))
+    levels = cut(source_levels(rows, source_targets(rows, weights, share, most), most).withColumnRenamed("source", "__source"))
+    wanted = by_source(rows, levels, "source", "doc_id", rows)
+    sure, p, odds = shares(F.least(F.lit(float(most)), F.col("level") * F.col("importance")), F.col("draw"))
+    wanted = cut(wanted.withColumns({"sure": sure, "p": p, "odds": odds}))
+    quota = cut(wanted.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col("p") * F.col("size")).alias("__quota")))
     ranked = running(wanted, ["source"], ["odds", "doc_id", "draw"], "size", "__before")
-    ranked = ranked.join(quota, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    drawn = (F.col("__p") > 0) & (F.col("__before") + F.col("size") / 2 <= F.col("__quota"))
-    copies = F.col("sure") + drawn.cast("int")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "sure", drawn.alias("drawn"), "odds", "draw")
-
-
-#: Sources up to which their table is broadcast.
-FEW = 100_000
+    ranked = by_source(ranked, quota, "source", "doc_id", rows)
+    mine = F.struct("odds", "doc_id", "draw")
+    taken = (F.col("p") > 0) & (F.col("__before") + F.col("size") / 2 <= F.col("__quota"))
+    last = cut(ranked.groupBy(F.col("source").alias("__source")).agg(F.max(F.when(taken, mine)).alias("__last")))
+    drawn = (F.col("p") > 0) & F.coalesce(mine <= F.col("__last"), F.lit(False))
+    whole = by_source(wanted, last, "source", "doc_id", rows)
+    return whole.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + drawn.cast("int")).alias("copies"), "level", "sure", "p", drawn.alias("drawn"), "odds", "draw")
 
 
 def mixed(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with every row repeated as often as ``mix_documents`` takes it; columns as they were.
 
-    Rows drawn are the first of their source in its order, so the last one drawn tells them: texts aren't shuffled, and
-    each row decides by its source's line in a table. Rows alike in id and text are taken alike.
+    Rows drawn are the first of their source in its order, so the last one drawn tells them: texts are shuffled only
+    where there are more than FEW sources, and each row decides by its source's line in a table.
     """
-    plan = mix_documents(docs, weights, share, most, seed, id_col, text_col, source_col)
+    plan = cut(mix_documents(docs, weights, share, most, seed, id_col, text_col, source_col, importance_col))
     last = F.max(F.when(F.col("drawn"), F.struct("odds", "doc_id", "draw")))
-    table = cut(plan.groupBy(F.col("source").alias("__source")).agg(F.first("target").alias("__target"), F.first("source_size").alias("__size"), last.alias("__last")))
-    table = F.broadcast(table) if table.count() <= FEW else table
-    rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
-    sure, p, odds = shares(rate, most, draw(seed, id_col, text_col))
-    mine = F.struct(odds.alias("odds"), F.col(f"`{id_col}`").alias("doc_id"), draw(seed, id_col, text_col).alias("draw"))
+    table = cut(plan.groupBy(F.col("source").alias("__source")).agg(F.first("level").alias("__level"), last.alias("__last")))
+    own = draw(seed, id_col, text_col)
+    sure, p, odds = shares(F.least(F.lit(float(most)), F.col("__level") * importance_of(importance_col)), own)
+    mine = F.struct(odds.alias("odds"), F.col(f"`{id_col}`").alias("doc_id"), own.alias("draw"))
     times = sure + F.coalesce((p > 0) & (mine <= F.col("__last")), F.lit(False)).cast("int")
-    joined = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).withColumn("__times", times).where("__times > 0")
+    joined = by_source(docs, table, source_col, id_col, plan).withColumn("__times", times).where("__times > 0")
     repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def by_length(docs: DataFrame, text_col: str = "text", name: str = "__importance") -> DataFrame:
+    """``docs`` with an importance that grows with the logarithm of the words, so that longer documents are repeated first."""
+    return docs.withColumn(name, F.floor(F.log2(words(F.col(f"`{text_col}`")) + 1.0)) + 1)

@@ -53,7 +53,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    plan = mixing.mix_documents(mixing.by_length(table(spark, sf_dir, "documents")), importance_col="__importance")
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 

@@ -1,6 +1,7 @@
 """Every operator against brute force or exact round trips, and on nulls, empty and repeated rows, empty tables and clashing columns."""
 
 import collections
+import math
 import random
 import re
 import textwrap
@@ -440,6 +441,46 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= max(docs_size for docs_size in [r.size for r in rows if docs[r.doc_id].source == s]) + 1
 
 
+def test_mixing_draws(spark):
+    """Levels, certain copies, Pareto order and quota against a plain version; inclusion rates near the wanted ones."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([1, 3, 9, 30, 90]), "en", rng.choice(["a", "b", "b", None])) for i in range(4000)]
+    docs = mixing.by_length(frame(spark, rows))
+    plan = mixing.mix_documents(docs, importance_col="__importance").collect()
+    mean = collections.defaultdict(list)
+    for source in ("a", "b", None):
+        own = [r for r in plan if r.source == source]
+        importance = {r.doc_id: math.floor(math.log2(r.size + 1)) + 1 for r in own}
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(r.size * min(2, level * importance[r.doc_id]) for r in own) < own[0].target else (low, level)
+        want = {r.doc_id: min(2, level * importance[r.doc_id]) for r in own}
+        assert all(abs(r.sure + r.p - want[r.doc_id]) < 1e-6 for r in own)
+        assert all(r.p == 0 or abs(r.odds - u / (1 - u) / (r.p / (1 - r.p))) <= 1e-9 * r.odds for r in own for u in [(((r.draw % 2**64) >> 11) + 0.5) / 2**53])
+        quota, so_far, drawn = sum(r.p * r.size for r in own), 0, set()
+        for r in sorted(own, key=lambda r: (r.odds, r.doc_id)):
+            if r.p > 0 and so_far + r.size / 2 <= quota:
+                drawn.add(r.doc_id)
+            so_far += r.size
+        assert drawn == {r.doc_id for r in own if r.drawn}
+        for r in own:
+            mean[source, r.size].append((r.copies, want[r.doc_id]))
+    assert len({w for own in mean.values() for _, w in own if w % 1}) > 3
+    for own in mean.values():
+        expected, n = own[0][1], len(own)
+        p = expected % 1
+        assert abs(sum(c for c, _ in own) / n - expected) <= 4 * math.sqrt(p * (1 - p) / n) + 2 / n
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """The way for more sources than are broadcast."""
+    docs = mixing.by_length(frame(spark, odd_rows()))
+    want = sorted(mixing.mixed(docs, importance_col="__importance").collect(), key=str)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(mixing.mixed(docs, importance_col="__importance").collect(), key=str) == want
+
+
 def test_mixing_odd_rows(spark):
     docs = frame(spark, odd_rows())
     assert mixing.mix_documents(docs).count() == len(odd_rows())
@@ -477,7 +518,7 @@ def test_pipeline(spark):
     assert told.where("text IS NULL").count() == 0 and told.count() >= 0.9 * whole.where("trim(text) <> ''").count()
     want = components({r.doc_id: shingles(r.text) for r in told.select("doc_id", "text").collect()})
     assert {r.doc_id for r in single.select("doc_id").collect()} == {i for i, c in want.items() if i == c}
-    sizes = {r.doc_id: (r.copies if r.copies else 0) for r in mixing.mix_documents(single).collect()}
+    sizes = {r.doc_id: r.copies for r in mixing.mix_documents(mixing.by_length(single), importance_col="__importance").collect()}
     copies = collections.Counter(r.doc_id for r in mix.select("doc_id").collect())
     assert copies == collections.Counter({k: v for k, v in sizes.items() if v})
     assert packed.where("start = 0").count() == mix.count()
