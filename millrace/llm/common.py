@@ -42,6 +42,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows in a batch for Python, at most: texts are long, and both sides hold a batch.
+BATCH_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in a batch for Python to BATCH_ROWS, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts, split_join
+from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts, short_batches, split_join
 from millrace.llm.hashing import mix, shingle_sets
 from millrace.llm.tokens import batches
 
@@ -102,8 +102,8 @@ def shared_counts(docs: DataFrame, ranges: int, bits: int, words: int) -> DataFr
         sets: list[np.ndarray] = []
         held = 0
         for table in tables:
-            keys, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
-            for at, some in batches(texts, 1_000_000):
+            keys = table.column(0).to_pylist()
+            for at, some in batches(table.column(1)):
                 for i, s in zip(keys[at : at + len(some)], shingle_sets(some, words)):
                     ids.append(i)
                     sets.append(s)
@@ -171,8 +171,8 @@ def read_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
             some = np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
             if len(some):
                 own = t.take(pa.array(some))
-                keys, texts = own.column(0), own.column(1).to_pylist()
-                for at, part in batches(texts, 1_000_000):
+                keys = own.column(0)
+                for at, part in batches(own.column(1)):
                     sets = shingle_sets(part, words)
                     one, two = fingerprints(sets)
                     sizes = np.array([len(s) for s in sets], np.int64)
@@ -392,9 +392,10 @@ def join_similar(docs: DataFrame, least: int = 80, words: int = 5, id_col: str =
     Shingles are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = docs.count()
-    ranges = max(parts(spark), -(-n // 5000), 1)
+    ranges = max(parts(spark), -(-n // 3000), 1)
     bits = min(56, max(40, (n * 1024).bit_length() + 10))
     counted = cut(shared_counts(rows, ranges, bits, words))
     groups = cut(counted.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("shared").alias("shared")))

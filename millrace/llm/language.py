@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import short_batches
 from millrace.llm.tokens import batches
 
 #: n-grams of 1 to ORDERS bytes fall into 2 ** BITS presence bits.
@@ -143,6 +144,7 @@ def train_languages(
     none is given) is below a threshold that follows from the label's row count. Only their presence bits, 8 kB each,
     reach the driver, and a share each.
     """
+    short_batches(labelled.sparkSession)
     key = F.xxhash64(F.lit("learn"), F.col(text_col)) if key is None else F.xxhash64(F.lit("learn"), key)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), key.alias("__hash"),
@@ -156,11 +158,11 @@ def train_languages(
 
     def bits(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            texts = table.column(2).to_pylist()
-            ok = [i for i, t in enumerate(texts) if has_letter(t)]
-            packed = [np.packbits(presence(x)).tobytes() for at, some in batches([texts[i] for i in ok], 1_000_000) for x in spectra(some)]
-            chosen = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([table.column(0).take(chosen), table.column(1).take(chosen), pa.array(packed, pa.binary())], names=["label", "__hash", "bits"])
+            for at, some in batches(table.column(2)):
+                ok = [i for i, t in enumerate(some) if has_letter(t)]
+                packed = [np.packbits(presence(x)).tobytes() for x in spectra([some[i] for i in ok])]
+                chosen = pa.array([at + i for i in ok], pa.int64())
+                yield pa.RecordBatch.from_arrays([table.column(0).take(chosen), table.column(1).take(chosen), pa.array(packed, pa.binary())], names=["label", "__hash", "bits"])
 
     learned = rows.where(uniform < limits[F.col("label")]).select("label", "__hash", "text")
     got = learned.mapInArrow(bits, "label string, __hash long, bits binary").collect()
@@ -175,10 +177,12 @@ def train_languages(
 
     def shares(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            labels, texts = table.column(0).to_pylist(), table.column(2).to_pylist()
-            ok = [i for i, t in enumerate(texts) if has_letter(t)]
-            found = [x for at, some in batches([texts[i] for i in ok], 1_000_000) for x in spectra(some)]
-            yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in ok]), pa.array([share(x, held.value[labels[i]]) for i, x in zip(ok, found)], pa.float64())], names=["label", "share"])
+            labels = table.column(0).to_pylist()
+            for at, some in batches(table.column(2)):
+                ok = [i for i, t in enumerate(some) if has_letter(t)]
+                own = [labels[at + i] for i in ok]
+                found = [share(x, held.value[label]) for label, x in zip(own, spectra([some[i] for i in ok]))]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(found, pa.float64())], names=["label", "share"])
 
     reached = learned.mapInArrow(shares, "label string, share double").collect()
     least = np.array([np.quantile([r["share"] for r in reached if r["label"] == x], TAIL) for x in languages])
@@ -187,6 +191,7 @@ def train_languages(
 
 def told(text: Column, model: LanguageModel | None, spark: SparkSession) -> Column:
     """struct<lang, score, alike> of a text; only the text reaches Python, in blocks of bounded size."""
+    short_batches(spark)
     held = spark.sparkContext.broadcast(model)  # at most landmarks times 8 kB
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import MARKS, grams, hash_words
+from millrace.llm.common import short_batches
 from millrace.llm.tokens import batches
 
 # The usual short notices of each licence family, as their licensors publish them.
@@ -254,14 +255,15 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     fewer, as in a licence not among the templates, its family is ``unknown``; with none it is no find. Of finds that
     share words the best is kept, and of several of a family in a paragraph. Null and empty texts have none, repeated rows have theirs each, other columns aren't read.
     """
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES by families floats
     schema = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for table in tables:
-            keys, texts, out = table.column(0).to_pylist(), table.column(1).to_pylist(), []
-            for at, some in batches(texts, 1_000_000):
+            keys, out = table.column(0).to_pylist(), []
+            for at, some in batches(table.column(1)):
                 lines, own, numbers = split_paragraphs(some)
                 if not lines:
                     continue

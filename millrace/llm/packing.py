@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import short_batches
 from millrace.llm.tokens import WordTokenizer, batches, default_tokenizer
 
 SCHEMA = pa.schema([
@@ -82,6 +83,7 @@ def pack_documents(
     their own, an empty table gives no rows, and other columns are not read.
     """
     path = tokenizer or default_tokenizer()
+    short_batches(docs.sparkSession)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordTokenizer(path), int(end_id).to_bytes(4, "little")
@@ -105,8 +107,8 @@ def pack_documents(
             held = sum(map(len, pool.values()))
 
         for table in tables:
-            keys, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
-            for at, some in batches(texts):
+            keys = table.column(0).to_pylist()
+            for at, some in batches(table.column(1)):
                 for doc, ids in zip(keys[at : at + len(some)], encoder.encode(some)):
                     ids += end
                     size = len(ids) // 4

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scan
+from millrace.llm.common import scan, short_batches
 from millrace.llm.tokens import WordTokenizer, batches, default_tokenizer
 
 #: Ids of one block.
@@ -26,6 +26,7 @@ def token_blocks(docs: DataFrame, end_id: int, dtype: str = "<u2", tokenizer: st
     the scan doesn't read. A null text is its end mark only.
     """
     path = tokenizer or default_tokenizer()
+    short_batches(docs.sparkSession)
     width = np.dtype(dtype).itemsize
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,8 +47,8 @@ def token_blocks(docs: DataFrame, end_id: int, dtype: str = "<u2", tokenizer: st
             return out, rest[at:], [(p - at, d) for p, d in due[k:]], number
 
         for table in tables:
-            keys, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
-            for at, some in batches(texts):
+            keys = table.column(0).to_pylist()
+            for at, some in batches(table.column(1)):
                 pieces, position = [rest], len(rest)
                 for doc, ids in zip(keys[at : at + len(some)], encoder.encode(some)):
                     ids = np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end

@@ -8,6 +8,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of words kept with their ids by one Python worker, and of what a word takes besides its letters and ids.
 REMEMBERED, ENTRY = 40_000_000, 200
@@ -121,13 +123,11 @@ class WordTokenizer:
         return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
-def batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about ``chars`` characters, each with its first index."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= chars:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+def batches(column: pa.Array, chars: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column in runs of about ``chars`` bytes (a longer text by itself), each with its first index; only a run is in Python at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, before + chars, side="right")))
+        yield at, column.slice(at, to - at).to_pylist()
+        at, before = to, int(sizes[to - 1])
