@@ -15,8 +15,9 @@ from millrace.llm.cells import SAMPLE, assign, kmeans, lengths, matrix, merge_ce
 from millrace.llm.common import components, cut
 
 #: Vectors per fine cell aimed at; coarse cells at most; the nearest coarse cells, and in each the nearest fine ones, that
-#: a vector is in; rows of one block of a cell, and rows that are dealt to their fine cells in one task.
-PER_CELL, MOST_COARSE, COARSE, FINE, BLOCK, DEALT = 400, 1024, 3, 3, 8192, 50_000
+#: a vector is in; rows of one block of a cell; rows that a fine cell's centre is learned from; and rows that are dealt to
+#: their fine cells in one task.
+PER_CELL, MOST_COARSE, COARSE, FINE, BLOCK, LEARNT, DEALT = 400, 1024, 3, 3, 8192, 40, 10_000
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, per_cell: int = PER_CELL, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -58,7 +59,7 @@ def placed_in_cells(groups: DataFrame, n: int, least: float, per_cell: int) -> D
     in_coarse = placed.withColumn("coarse", F.explode("cells"))
     sizes = in_coarse.groupBy("coarse").agg(F.count("*").alias("n")).collect()  # MOST_COARSE rows at most
     plan = groups.sparkSession.createDataFrame(
-        [(r["coarse"], max(1, round(r["n"] / per_cell)), min(1.0, SAMPLE / r["n"]), -(-r["n"] // DEALT)) for r in sizes], "coarse int, k int, rate double, parts int",
+        [(r["coarse"], max(1, round(r["n"] / per_cell)), min(1.0, SAMPLE / r["n"], LEARNT * max(1, round(r["n"] / per_cell)) / r["n"]), -(-r["n"] // DEALT)) for r in sizes], "coarse int, k int, rate double, parts int",
     )
     in_coarse = in_coarse.join(F.broadcast(plan), "coarse")
 
