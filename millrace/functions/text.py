@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import lower, upper  # noqa: F401  letters of all scripts, as they are
@@ -172,3 +174,13 @@ def urls_in(x: Column) -> Column:
 def safe_filename(x: Column, n: int = 80, dots: bool = False) -> Column:
     """Letters, numbers, ``-``, ``_`` and blanks stay (full stops with ``dots``), others become ``_``; at most ``n`` characters."""
     return F.left(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}\-_ " + ("." if dots else "") + "]", "_")), F.lit(n))
+
+
+def join_nested(x: Column, *path: str, separator: str = " ") -> Column:
+    """The members at ``path`` of lists in lists, all levels in order, in one text: of ``[{b: [{t: 1}]}, …]`` by ``b``, ``t``; null members are left out."""
+    def field(name: str) -> Callable[[Column], Column]:
+        return lambda e: e.getField(name)
+
+    for name in path[:-1]:
+        x = F.flatten(F.filter(F.transform(x, field(name)), lambda e: e.isNotNull()))
+    return F.array_join(F.transform(x, field(path[-1])), separator)

@@ -124,7 +124,8 @@ def endpoints(log: DataFrame, order: str, least: int = 5) -> DataFrame:
     rows = rows.select("url", "method", "headers", "status", "response_body", F.col(order).alias("__order"), told.alias("content_type"), urls.endpoint_pattern(url).alias("pattern"))
     read = read_bodies(rows, "response_body")
     rank = F.when(F.col("response").isNotNull(), F.struct(F.lit(0).alias("a"), F.col("__order").alias("b")))
-    rank = F.coalesce(rank, F.when(F.col("response_body").isNotNull(), F.struct(F.lit(1).alias("a"), (-F.col("__order")).alias("b"))), F.struct(F.lit(2).alias("a"), F.col("__order").alias("b")))
+    read = read.withColumn("__body", F.col("response_body").isNotNull()).drop("response_body")  # what a body says is read; bodies stay out of the shuffle
+    rank = F.coalesce(rank, F.when(F.col("__body"), F.struct(F.lit(1).alias("a"), (-F.col("__order")).alias("b"))), F.struct(F.lit(2).alias("a"), F.col("__order").alias("b")))
     held = F.struct(*[F.col(c) for c in read.columns if c not in ("method", "pattern")])
     one = read.groupBy("method", "pattern").agg(F.min_by(held, rank).alias("__row")).select("method", "pattern", "__row.*").drop("__order")
     has = lambda names: F.arrays_overlap("query_params", urls.names(*names))
@@ -138,7 +139,7 @@ def endpoints(log: DataFrame, order: str, least: int = 5) -> DataFrame:
         + points(F.col("has_limit"), 2) + points(F.col("status") == 200, 2) - points(answered & is_json & (F.col("response.item_count") == 0), 3)
     )
     scored = one.withColumn("score", score.cast("int")).where(F.col("score") >= least)
-    return scored.withColumns({"confidence": F.least(F.col("score") / 20, F.lit(1.0)), "strategy": strategy(F.col("auth"))}).drop("response_body")
+    return scored.withColumns({"confidence": F.least(F.col("score") / 20, F.lit(1.0)), "strategy": strategy(F.col("auth"))}).drop("__body")
 
 
 def capabilities(found: DataFrame, n: int = 8, goal: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder that the session names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """``df`` computed once, in the shared folder that the session names in ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs on this machine alone."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.order import materialized
+
 
 def concat(*some: DataFrame) -> DataFrame:
     """All rows of all tables; columns go by name."""
@@ -24,10 +26,18 @@ def concat_distinct(*some: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def fallback(*some: DataFrame) -> DataFrame:
-    """The rows of the first table that has any; no job runs until the result is used."""
-    named = concat(*[t.withColumn("__table", F.lit(i)) for i, t in enumerate(some)])
-    first = named.agg(F.min("__table").alias("__first"))
-    return named.join(F.broadcast(first), F.col("__table") == F.col("__first")).drop("__table", "__first")  # one row
+    """The rows of the first table that has any; each before the last is asked for one row, and only the one found is read in full."""
+    return next((t for t in some[:-1] if not t.isEmpty()), some[-1])
+
+
+def in_all(*some: DataFrame) -> DataFrame:
+    """The distinct rows that every table has; columns go by name."""
+    return reduce(lambda a, b: a.intersect(b.select(*a.columns)), some)
+
+
+def in_first_only(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The distinct rows of the first table that no other has."""
+    return reduce(lambda a, b: a.subtract(b.select(*a.columns)), others, first.distinct())
 
 
 def unnest(df: DataFrame, *path: str, keep: list[str] = ()) -> DataFrame:
@@ -44,11 +54,11 @@ def map_rows_of(df: DataFrame, column: str, keep: list[str] = ()) -> DataFrame:
 
 
 def tree_levels(nodes: DataFrame, roots: Column, depth: int, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
-    """``nodes`` reachable from the roots with their ``depth``, down to ``depth`` levels; one join a level."""
+    """``nodes`` reachable from the roots with their ``depth``, down to ``depth`` levels; one join a level, which is written before the next."""
     level = nodes.where(roots).withColumn("depth", F.lit(0))
     out = level
     for d in range(1, depth + 1):
         above = level.select(F.col(id_col).alias("__above"))
-        level = nodes.join(above, F.col(parent_col) == F.col("__above"), "left_semi").withColumn("depth", F.lit(d))
+        level = materialized(nodes.join(above, F.col(parent_col) == F.col("__above"), "left_semi").withColumn("depth", F.lit(d)))
         out = out.unionByName(level)
     return out

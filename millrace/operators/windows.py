@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import materialized
+
 
 def top_of_each(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key in ``order``, with their ranks from 1. Spark keeps ``k`` rows a key before the shuffle."""
@@ -21,7 +24,7 @@ def top_children(nodes: DataFrame, roots: Column, k: int, depth: int, id_col: st
     for d in range(1, depth + 1):
         above = level.select(F.col(id_col).alias("__above"))
         level = top_of_each(nodes.join(above, F.col(parent_col) == F.col("__above")).drop("__above"), [parent_col], list(order), k, "__rank").drop("__rank")
-        level = level.withColumn("depth", F.lit(d))
+        level = materialized(level.withColumn("depth", F.lit(d)))
         out = out.unionByName(level)
     return out
 
@@ -61,8 +64,9 @@ def gap_sessions(df: DataFrame, keys: list[str], order: list[str], seconds: Colu
 def span_sessions(df: DataFrame, keys: list[str], order: str, seconds: Column, span: float, name: str = "part") -> DataFrame:
     """``df`` with the number of each row's part in its key: a part begins where a row is more than ``span`` after the part's first.
 
-    Each border depends on the one before, so a key is walked in order; rows stream through a task in batches, with one
-    number kept, so a key of any length takes bounded memory. Give the keys of ``gap_sessions`` to keep keys short.
+    Each border depends on the one before, so a key is walked in order, from border to border by search; rows stream
+    through a task in batches, with a few numbers kept, so a key of any length takes bounded memory. Give the keys of
+    ``gap_sessions`` to keep keys short. A row without a time is in the part that is open where ``order`` has it.
     """
     names = df.columns
     sorted_rows = df.withColumns({"__seconds": seconds.cast("double"), "__key": F.xxhash64(*keys)})
@@ -70,15 +74,29 @@ def span_sessions(df: DataFrame, keys: list[str], order: str, seconds: Column, s
     at = len(names)
 
     def walk(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, start, part = None, 0.0, 0
+        key, start, latest, part = None, None, None, 0  # of the key that is open: the part's first time, the last time seen, the part's number
         for table in tables:
-            out = []
-            for own, s in zip(table.column(at + 2).to_pylist(), table.column(at).to_pylist()):
-                if own != key:
-                    key, start, part = own, s, 0
-                elif s - start > span:
-                    start, part = s, part + 1
-                out.append(part)
+            own, times = np.array(table.column(at + 2).to_pylist(), object), table.column(at).to_numpy(zero_copy_only=False).astype(float)
+            out = np.zeros(len(own), np.int64)
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
+            for a, b in zip(edges, edges[1:]):
+                if own[a] != key:
+                    key, start, latest, part = own[a], None, None, 0
+                run = times[a:b]
+                known = np.flatnonzero(~np.isnan(run))
+                if len(known):  # a missing time counts as the one before it
+                    before = np.searchsorted(known, np.arange(len(run)), side="right") - 1
+                    run = np.where(before >= 0, run[known[np.maximum(before, 0)]], run[known[0]] if latest is None else latest)
+                    start = run[0] if start is None else start
+                    latest, i = run[-1], 0
+                    while True:
+                        j = i + int(np.searchsorted(run[i:] - start, span, side="right"))
+                        out[a + i : a + j] = part
+                        if j >= len(run):
+                            break
+                        start, part, i = run[j], part + 1, j
+                else:
+                    out[a:b] = part
             yield pa.RecordBatch.from_arrays([*table.columns[:at], pa.array(out, pa.int64())], names=[*names, name])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -2,12 +2,15 @@
 
 Expressions are Spark SQL, parsed and optimized by Spark; a row is ``item``, parameters are ``args.name`` and reach SQL
 as named parameters, never as text. A string with ``${{ … }}`` marks is an expression if it is one mark, else text with
-the marks' values in it.
+the marks' values in it. In a mark, what an expression gives can go on through filters: ``item.title | truncate(30)``.
 """
 
 from __future__ import annotations
 
+import ast
 import re
+import threading
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,13 +19,57 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import groups, joins, order, sets, steps, windows
+from millrace.functions import text
+from millrace.functions.values import Values
+from millrace.operators import groups, joins, order, pages, sets, steps, windows
 from millrace.operators.steps import StepError
 from millrace.sources import read
 
-MARK = re.compile(r"\$\{\{(.*?)\}\}", re.S)
+#: A mark ends at the first two braces outside quotes and inner braces.
+MARK = re.compile(r"""\$\{\{((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\{[^{}]*\}|[^{}'"]|[{'"](?!\}\})|\}(?!\}))*?)\}\}""", re.S)
+#: Texts in quotes, which rewriting leaves alone, and other pieces of an expression.
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
 #: Steps that only act on a page; rows pass through them.
-PAGE_STEPS = ("navigate", "click", "type", "wait", "press", "scroll", "snapshot", "screenshot", "intercept", "evaluate")
+PAGE_STEPS = ("navigate", "click", "type", "wait", "press", "scroll", "screenshot")
+#: Rows up to which a limit makes positions by one window.
+FEW = 100_000
+
+#: What a value in a mark can go through: a function of Values over the frame, the value and the arguments.
+FILTERS: dict[str, Callable[..., Column]] = {
+    "default": lambda v, x, other="": text.default(*v.common(x, F.lit(other))), "join": lambda v, x, separator=",": text.join(x, separator),
+    "upper": lambda v, x: text.upper(x), "lower": lambda v, x: text.lower(x), "trim": lambda v, x: text.trim(x),
+    "truncate": lambda v, x, n=50: text.truncate(x, n), "replace": lambda v, x, old, new: text.replace(x, old, new),
+    "keys": lambda v, x: v.keys(x), "length": lambda v, x: v.length(x), "first": lambda v, x: text.first(x), "last": lambda v, x: text.last(x), "json": lambda v, x: v.json(x),
+    "slugify": lambda v, x: text.slugify(x), "sanitize": lambda v, x: text.sanitize(x), "ext": lambda v, x: text.ext(x), "basename": lambda v, x: text.basename(x),
+    "urlencode": lambda v, x: text.urlencode(x), "urldecode": lambda v, x: text.urldecode(x),
+    "abs": lambda v, x: text.absolute(x), "round": lambda v, x: text.rounded(x), "ceil": lambda v, x: text.ceiling(x), "floor": lambda v, x: text.floor(x),
+    "string": lambda v, x: v.shown(x), "str": lambda v, x: v.shown(x), "int": lambda v, x: v.whole_number(x), "float": lambda v, x: v.double(x),
+    "reverse": lambda v, x: text.reverse(x), "unique": lambda v, x: text.unique(x), "split": lambda v, x, separator=",": text.split(x, separator),
+}
+#: Functions for ``evaluate``, by name: of a run, a DataFrame and the step's other settings.
+FUNCTIONS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def pieces(what: str, mark: str) -> list[str]:
+    """``what`` parted at each ``mark`` (``|``, ``&&``, ``||`` or a comma) outside quotes and brackets."""
+    out, depth = [""], 0
+    for piece in re.findall(rf"{QUOTED}|\|\||&&|.", what, re.S):
+        depth += (piece in "([{") - (piece in ")]}") if len(piece) == 1 else 0
+        if piece == mark and not depth:
+            out.append("")
+        else:
+            out[-1] += piece
+    return [x.strip() for x in out]
+
+
+def enclosed(what: str) -> bool:
+    """Whether the bracket that ``what`` begins with closes at its end."""
+    depth, found = 0, re.findall(rf"{QUOTED}|.", what, re.S)
+    for i, piece in enumerate(found):
+        depth += (piece == "(") - (piece == ")")
+        if not depth:
+            return i == len(found) - 1
+    return False
 
 
 @dataclass
@@ -74,7 +121,7 @@ class StoredQuery:
 
     @property
     def needs_capture(self) -> bool:
-        return any(name in PAGE_STEPS for name, _ in self.steps)
+        return any(name in (*PAGE_STEPS, "intercept", "collect", "snapshot", "evaluate") for name, _ in self.steps)
 
 
 def parse(text: str) -> StoredQuery:
@@ -121,16 +168,100 @@ class Run:
     def __init__(self, spark: SparkSession, tables: Callable[[str], DataFrame], args: dict) -> None:
         self.spark, self.tables, self.args = spark, tables, args
         self.order: list[tuple[Column, bool]] = []  # expression, whether descending
-        self.limited = False
+        self.bound: int | None = None  # rows at most, if a limit says so
+        self.captured: DataFrame | None = None  # the requests that ``intercept`` has seen
 
     def keys(self) -> list[Column]:
         return [F.desc_nulls_first(x) if descending else F.asc_nulls_last(x) for x, descending in self.order]
 
     def sql(self, df: DataFrame, select: str, tail: str = "") -> DataFrame:
         """``SELECT select FROM df AS item tail``; ``args.x`` is the named parameter x."""
-        text = re.sub(r"\bargs\.([A-Za-z_]\w*)", r":\1", f"SELECT {select} FROM {{__rows}} AS item {tail}")
-        used = set(re.findall(r":([A-Za-z_]\w*)", text))
-        return self.spark.sql(text, args={k: v for k, v in self.args.items() if k in used}, __rows=df)
+        used: set[str] = set()
+
+        def bound(m: re.Match) -> str:
+            if m[1] is None:
+                return m[0]
+            used.add(m[1])
+            return f":{m[1]}"
+
+        query = re.sub(rf"{QUOTED}|(?<![\w.])args\.([A-Za-z_]\w*)", bound, f"SELECT {select} FROM {{__rows}} AS item {tail}", flags=re.S)
+        return self.spark.sql(query, args={k: v for k, v in self.args.items() if k in used}, __rows=df)
+
+    def piped(self, df: DataFrame, what: object) -> tuple[DataFrame, object]:
+        """``df`` with a column for each mark in ``what`` whose value goes through filters, and ``what`` with the columns' names for these marks."""
+        if isinstance(what, dict):
+            out = {}
+            for k, v in what.items():
+                df, out[k] = self.piped(df, v)
+            return df, out
+        if isinstance(what, list):
+            members = []
+            for v in what:
+                df, v = self.piped(df, v)
+                members.append(v)
+            return df, members
+        if not isinstance(what, str):
+            return df, what
+        for m in list(MARK.finditer(what)):
+            if len(pieces(m[1], "|")) > 1:
+                df, name = self.filtered_value(df, m[1])
+                what = what.replace(m[0], "${{ item.`" + name + "` }}", 1)
+        return df, what
+
+    def filtered_value(self, df: DataFrame, what: str) -> tuple[DataFrame, str]:
+        """``df`` with a column for an expression and the filters behind it, and its name."""
+        start, *rest = pieces(what, "|")
+        name = f"__p{sum(c.startswith('__p') for c in df.columns)}"
+        df = self.sql(df, f"*, ({start}) AS `{name}`")
+        for call in rest:
+            m = re.fullmatch(r"(\w+)\s*(?:\((.*)\))?", call, re.S)
+            if not m or m[1] not in FILTERS:
+                raise StepError(f"no filter {call!r}")
+            given = [self.constant(x) for x in pieces(m[2] or "", ",") if x]
+            try:
+                df = df.withColumn(name, FILTERS[m[1]](Values(df), F.col(f"`{name}`"), *given))
+            except TypeError as e:
+                raise StepError(f"filter {call!r}: {e}") from None
+        return df, name
+
+    def constant(self, what: str) -> object:
+        """A filter's argument: a number, a text or a parameter."""
+        if m := re.fullmatch(r"args\.(\w+)", what):
+            return self.args[m[1]]
+        try:
+            return ast.literal_eval({"true": "True", "false": "False", "null": "None"}.get(what, what))
+        except (ValueError, SyntaxError):
+            raise StepError(f"{what!r} is no constant") from None
+
+    def truth(self, df: DataFrame, what: object) -> tuple[DataFrame, Column, str | None]:
+        """``df``, a column that says which rows meet a condition, and its SQL if it is a plain one.
+
+        Conditions are SQL; of any kind, as truthy; joined by ``&&`` and ``||``, negated by ``!``; or a list, all of which must hold.
+        """
+        for mark, add in (("||", Column.__or__), ("&&", Column.__and__)):
+            some = what if isinstance(what, list) else pieces(self.condition(what), mark)
+            if isinstance(what, list) or len(some) > 1:
+                out = None
+                for x in some:
+                    df, here, _ = self.truth(df, x)
+                    out = here if out is None else (Column.__and__ if isinstance(what, list) else add)(out, here)
+                return df, F.lit(True) if out is None else out, None
+        plain = self.condition(what).strip()
+        if plain.startswith("!") and not plain.startswith("!="):
+            df, here, _ = self.truth(df, plain[1:])
+            return df, ~here, None
+        if plain.startswith("(") and plain.endswith(")") and enclosed(plain):
+            return self.truth(df, plain[1:-1])
+        if len(pieces(plain, "|")) > 1:
+            df, name = self.filtered_value(df, plain)
+            return df, Values(df).truthy(F.col(f"`{name}`")), None
+        if self.sql(df.limit(0), f"({plain}) AS x").schema[0].dataType.simpleString() == "boolean":
+            name = f"__p{sum(c.startswith('__p') for c in df.columns)}"
+            df = self.sql(df, f"*, coalesce(({plain}), false) AS `{name}`")
+            return df, F.col(f"`{name}`"), plain
+        name = f"__p{sum(c.startswith('__p') for c in df.columns)}"
+        df = self.sql(df, f"*, ({plain}) AS `{name}`")
+        return df, Values(df).truthy(F.col(f"`{name}`")), None
 
     def expression(self, what: object) -> str:
         """Spark SQL for a constant, a text, a text with marks, or a list or record of such."""
@@ -162,10 +293,22 @@ class Run:
 
     def indexed(self, df: DataFrame, what: object) -> DataFrame:
         """``df`` with its rows' positions as ``index``, if an expression names it."""
-        if "index" in df.columns or not re.search(r"\bindex\b", str(what)):
+        if "index" in df.columns or not re.search(r"\bindex\b", re.sub(QUOTED, "", marked(what), flags=re.S)):
             return df
-        keys = self.keys() or [F.monotonically_increasing_id()]
-        return order.rank_few(df, keys) if self.limited else order.with_position(df, keys)
+        if not self.order:
+            raise StepError("positions need an order: give the source a key, or sort")
+        return order.rank_few(df, self.keys()) if self.bound is not None and self.bound <= FEW else order.with_position(df, self.keys())
+
+    def requests(self, name: str | None = None) -> DataFrame:
+        """The request log: a table ``requests``, or one named."""
+        return self.tables(name or "requests")
+
+
+def marked(what: object) -> str:
+    """All expressions in the marks of a value."""
+    if isinstance(what, (dict, list)):
+        return " ".join(map(marked, what.values() if isinstance(what, dict) else what))
+    return " ".join(MARK.findall(what)) if isinstance(what, str) else ""
 
 
 def quoted(text: str) -> str:
@@ -173,13 +316,15 @@ def quoted(text: str) -> str:
 
 
 def source(run: Run, df: DataFrame | None, what: object) -> DataFrame:
+    """A table by name, or files: ``{file: path, kind: json, schema: ...}``; ``key`` names what its rows are ordered by."""
     what = {"table": what} if isinstance(what, str) else what
     run.order = [(F.col(f"`{c}`"), False) for c in ([what["key"]] if isinstance(what.get("key"), str) else what.get("key", []))]
-    return run.tables(what["table"])
+    run.bound = None
+    return read.records(run.spark, what["file"], what.get("kind"), what.get("schema")) if "file" in what else run.tables(what["table"])
 
 
 def mapped(run: Run, df: DataFrame, what: object) -> DataFrame:
-    df = run.indexed(df, what)
+    df, what = run.piped(run.indexed(df, what), what)
     hidden = {f"__o{i}": x for i, (x, _) in enumerate(run.order)}  # what the rows are ordered by goes along
     df = df.withColumns(hidden) if hidden else df
     run.order = [(F.col(name), descending) for name, (_, descending) in zip(hidden, run.order)]
@@ -187,10 +332,11 @@ def mapped(run: Run, df: DataFrame, what: object) -> DataFrame:
     return run.sql(df, ", ".join([*(f"{run.expression(v)} AS `{k}`" for k, v in wanted), *hidden]))
 
 
-def filtered(run: Run, df: DataFrame, what: str) -> DataFrame:
-    had = "index" in df.columns
-    out = run.sql(run.indexed(df, what), "*", f"WHERE {run.condition(what)}")
-    return out if had else out.drop("index")
+def filtered(run: Run, df: DataFrame, what: object) -> DataFrame:
+    named = run.indexed(df, [f"${{{{ {run.condition(x)} }}}}" for x in (what if isinstance(what, list) else [what])])
+    with_truth, holds, plain = run.truth(named, what)
+    out = run.sql(named, "*", f"WHERE {plain}") if plain is not None else with_truth.where(holds)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def ordered(run: Run, df: DataFrame, what: object) -> DataFrame:
@@ -200,8 +346,59 @@ def ordered(run: Run, df: DataFrame, what: object) -> DataFrame:
 
 
 def limited(run: Run, df: DataFrame, what: object) -> DataFrame:
-    run.limited = True
-    return (df.orderBy(*run.keys()) if run.order else df).limit(run.number(what))
+    n = run.number(what)
+    run.bound = n if run.bound is None else min(n, run.bound)
+    return (df.orderBy(*run.keys()) if run.order else df).limit(n)
+
+
+def many(step: Callable[[Run, DataFrame, object], DataFrame]) -> Callable[[Run, DataFrame, object], DataFrame]:
+    """A step after which there can be more rows than a limit before it has left."""
+    def run_it(run: Run, df: DataFrame, what: object) -> DataFrame:
+        run.bound = None
+        return step(run, df, what)
+
+    return run_it
+
+
+def intercepted(run: Run, df: DataFrame | None, what: object) -> DataFrame:
+    """The captured requests whose address the pattern matches, as rows; with ``collect: false`` they wait for ``collect`` and rows stay."""
+    what = {"pattern": what} if isinstance(what, str) else what
+    pattern = MARK.sub(lambda m: str(run.sql(run.spark.range(1), f"({m[1]}) AS x").first()["x"]), what["pattern"])
+    run.captured = read.matching(run.requests(what.get("table")), pattern)
+    if what.get("collect", True):
+        run.order, run.bound = [], None
+        return run.captured
+    return df if df is not None else run.captured.limit(0)
+
+
+def collected(run: Run, df: DataFrame | None, what: dict) -> DataFrame:
+    """What ``intercept`` has captured, its responses read by ``schema``, or by a function registered for ``parse``; at ``select`` if given."""
+    log = run.captured if run.captured is not None else run.requests(what.get("table"))
+    run.captured, run.order, run.bound = None, [], None
+    if "parse" in what:
+        return function_named(what["parse"])(run, log, what)
+    rows = read.parsed(log, what["schema"])
+    return steps.select_path(rows, what["select"]) if "select" in what else rows
+
+
+def function_named(name: str) -> Callable[..., DataFrame]:
+    if name not in FUNCTIONS:
+        raise StepError(f"no function {name!r}: register it by stored.function")
+    return FUNCTIONS[name]
+
+
+def evaluated(run: Run, df: DataFrame, what: object) -> DataFrame:
+    """Rows through a function that is registered by name."""
+    what = {"function": what} if isinstance(what, str) else what
+    run.order, run.bound = [], None
+    return function_named(what["function"])(run, df, what)
+
+
+def snapped(run: Run, df: DataFrame, what: dict | None) -> DataFrame:
+    """The elements of every page in ``html``, by ``keys``."""
+    what = what or {}
+    run.order, run.bound = [], None
+    return pages.snapshot(df, what.get("keys", ["page_id"]), what.get("html", "html"), bool(what.get("include_hidden", False)))
 
 
 def joined(run: Run, df: DataFrame, what: dict) -> DataFrame:
@@ -213,7 +410,7 @@ def joined(run: Run, df: DataFrame, what: dict) -> DataFrame:
 
 
 def grouped(run: Run, df: DataFrame, what: dict) -> DataFrame:
-    run.order, run.limited = [(F.col(f"`{k}`"), False) for k in what["by"]], False
+    run.order, run.bound = [(F.col(f"`{k}`"), False) for k in what["by"]], None
     keys = ", ".join(f"`{k}`" for k in what["by"])
     return run.sql(df, ", ".join([keys, *(f"{run.condition(v)} AS `{k}`" for k, v in what["agg"].items())]), f"GROUP BY {keys}")
 
@@ -224,14 +421,16 @@ def united(run: Run, df: DataFrame, what: object) -> DataFrame:
 
 
 STEPS: dict[str, Callable[[Run, DataFrame, object], DataFrame]] = {
-    "source": source, "fetch": source, "map": mapped, "filter": filtered, "sort": ordered, "limit": limited, "join": joined, "group": grouped, "union": united,
-    "select": lambda run, df, what: steps.select_path(df, what),
+    "source": source, "fetch": source, "map": mapped, "filter": filtered, "sort": ordered, "limit": limited, "join": many(joined), "group": grouped, "union": many(united),
+    "intercept": intercepted, "collect": collected, "evaluate": evaluated, "snapshot": snapped,
+    "read": lambda run, df, what: pages.articles(df, (what or {}).get("keys", ["page_id", "url"])),
+    "select": many(lambda run, df, what: steps.select_path(df, what)),
     "offset": lambda run, df, what: (df.orderBy(*run.keys()) if run.order else df).offset(run.number(what)),
     "distinct": lambda run, df, what: groups.first_of_each(df, what["by"], what["order"]),
-    "explode": lambda run, df, what: df.withColumn(what, F.explode(what)),
-    "unpivot": lambda run, df, what: groups.unpivot(df, what["ids"], what["metrics"]),
+    "explode": many(lambda run, df, what: df.withColumn(what, F.explode(what))),
+    "unpivot": many(lambda run, df, what: groups.unpivot(df, what["ids"], what["metrics"])),
     "topk": lambda run, df, what: windows.top_of_each(df, what["by"], steps.sort_keys(what["sort"], what.get("order") == "desc", what.get("tie", [])), run.number(what["k"])),
-    "fallback": lambda run, df, what: sets.fallback(df, *[run.tables(n).select(*df.columns) for n in ([what] if isinstance(what, str) else what)]),
+    "fallback": many(lambda run, df, what: sets.fallback(df, *[run.tables(n).select(*df.columns) for n in ([what] if isinstance(what, str) else what)])),
     "matching": lambda run, df, what: read.matching(df, what),
     "tap": lambda run, df, what: read.first_response(df, what["url"], what["order"], what.get("select")),
     "download": lambda run, df, what: steps.download_status(df, what.get("url", "url"), what.get("type", "media")),
@@ -246,6 +445,48 @@ def step(name: str) -> Callable:
     return add
 
 
+def function(name: str) -> Callable:
+    """Registers a function of (run, rows, settings) for ``evaluate`` and ``collect``; the last of a name counts."""
+    def add(f: Callable[..., DataFrame]) -> Callable:
+        FUNCTIONS[name] = f
+        return f
+    return add
+
+
+def filter_function(name: str) -> Callable:
+    """Registers a filter for marks: a function of (Values over the rows, the column, constants) to a column; the last of a name counts."""
+    def add(f: Callable[..., Column]) -> Callable:
+        FILTERS[name] = f
+        return f
+    return add
+
+
+def within(spark: SparkSession, seconds: float, action: Callable[[], object]) -> object:
+    """What ``action`` (a write, a count) returns, or a TimeoutError after ``seconds``, its Spark jobs cancelled."""
+    context, group, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "stored query", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"not done after {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+#: Steps that can come first.
+FIRST = ("source", "fetch", "intercept", "collect")
+
+
 def run(spark: SparkSession, query: StoredQuery, tables: Callable[[str], DataFrame], given: dict | None = None) -> DataFrame:
     """The query's result as a DataFrame; nothing is computed before it is used, but the positions of unlimited rows."""
     args = query.bind(given or {})
@@ -256,7 +497,7 @@ def run(spark: SparkSession, query: StoredQuery, tables: Callable[[str], DataFra
         if name in PAGE_STEPS and name not in STEPS:
             warnings.warn(f"step {i}: {name} acts on a page; rows pass through", stacklevel=2)
             continue
-        if df is None and name not in ("source", "fetch"):
+        if df is None and name not in FIRST:
             raise StepError(f"step {i}: {name} has no rows before it")
         df = STEPS[name](held, df, what)
     if df is None:

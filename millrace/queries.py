@@ -153,14 +153,14 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scalar(name: str, of: str, key: str, build: Callable[[DataFrame], dict], sql: str | None) -> None:
-    """Registers a query that maps a table's key and some expressions."""
+def scalar(name: str, of: str, key: str, build: Callable[[DataFrame], dict], sql: str | None, source: str | None = None) -> None:
+    """Registers a query that maps a table's key and some expressions; ``source`` is what its SQL selects from, if not the table."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, of)
         return steps.map_rows(df, **{key: F.col(key)}, **build(df))
 
     run.__name__ = name
-    query(sql and f"SELECT {key}, {sql} FROM {of}")(run)
+    query(sql and f"SELECT {key}, {sql} FROM {source or of}")(run)
 
 
 c = F.col
@@ -180,8 +180,8 @@ scalar("f_strip_tags", "pages", "page_id", lambda df: {"x": text.unescape(text.s
 scalar("f_collapse", "documents", "doc_id", lambda df: {"x": text.collapse(c("text"))}, "trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') AS x")
 scalar("f_ext", "pages", "page_id", lambda df: {"x": text.ext(c("url"))}, "regexp_extract(url, '(\\.[^.]*)$', 1) AS x")
 scalar("f_basename", "pages", "page_id", lambda df: {"x": text.basename(c("url"))}, "string_split(url, '/')[-1] AS x")
-scalar("f_urlencode", "documents", "doc_id", lambda df: {"x": text.urlencode(F.left("text", F.lit(60)))}, "coalesce(url_encode(substring(text, 1, 60)), 'null') AS x")
-scalar("f_urldecode", "documents", "doc_id", lambda df: {"x": text.urldecode(text.urlencode(F.left("text", F.lit(60))))}, "coalesce(substring(text, 1, 60), 'null') AS x")
+scalar("f_urlencode", "documents", "doc_id", lambda df: {"x": text.urlencode(c("text"))}, "coalesce(url_encode(text), 'null') AS x")
+scalar("f_urldecode", "documents", "doc_id", lambda df: {"x": text.urldecode(text.urlencode(c("text")))}, "coalesce(text, 'null') AS x")
 scalar("f_round", "lineitem", "l_orderkey", lambda df: {"l_linenumber": c("l_linenumber"), "l_partkey": c("l_partkey"), "l_suppkey": c("l_suppkey"), "r": text.rounded(c("l_extendedprice")), "c": text.ceiling(c("l_extendedprice")), "f": text.floor(c("l_extendedprice")), "a": text.absolute(c("l_tax") - 1)}, "l_linenumber, l_partkey, l_suppkey, round(l_extendedprice) AS r, ceil(l_extendedprice) AS c, floor(l_extendedprice) AS f, abs(l_tax - 1) AS a")
 scalar("f_string", "orders", "o_orderkey", lambda df: {"x": text.string(F.nullif("o_custkey", F.lit(7)))}, "coalesce(CAST(nullif(o_custkey, 7) AS VARCHAR), '') AS x")
 scalar("f_int", "part", "p_partkey", lambda df: {"whole": Values(df).whole_number(c("p_size")), "double": Values(df).whole_number(c("p_retailprice")), "text": Values(df).whole_number(text.last(text.split(c("p_brand"), "#"))), "bad": Values(df).whole_number(c("p_name"))}, "CAST(p_size AS BIGINT) AS whole, CAST(0 AS BIGINT) AS double, CAST(string_split(p_brand, '#')[-1] AS BIGINT) AS text, CAST(0 AS BIGINT) AS bad")
@@ -190,7 +190,7 @@ scalar("f_reverse", "part", "p_partkey", lambda df: {"x": text.reverse(c("p_name
 scalar("f_unique", "part", "p_partkey", lambda df: {"x": text.join(F.array_sort(text.unique(text.split(F.concat_ws(" ", "p_name", "p_name"), " "))))}, "array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ',') AS x")
 scalar("f_split", "documents", "doc_id", lambda df: {"n": F.size(text.split(c("text"), ".")).cast("long")}, "CASE WHEN text IS NULL THEN NULL ELSE len(string_split(text, '.')) END AS n")
 scalar("first_nonempty", "orders", "o_orderkey", lambda df: {"x": text.first_nonempty(F.nullif("o_orderstatus", F.lit("P")), F.lit(""), c("o_orderpriority"))}, "coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS x")
-scalar("leading_names", "documents", "doc_id", lambda df: {"x": text.leading_names(text.split(F.left("text", F.lit(80)), " "))}, "array_to_string(string_split(substring(text, 1, 80), ' ')[1:3], ', ') || CASE WHEN len(string_split(substring(text, 1, 80), ' ')) > 3 THEN ' et al.' ELSE '' END AS x")
+scalar("leading_names", "documents", "doc_id", lambda df: {"x": text.leading_names(text.split(c("text"), " "))}, "array_to_string(string_split(text, ' ')[1:3], ', ') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' et al.' ELSE '' END AS x")
 scalar("keyword_labels", "part", "p_partkey", lambda df: {"x": text.labelled(c("p_name"), {"ring": "jewel", "red": "warm", "blue": "cold"}, "other")}, "CASE WHEN contains(p_name, 'ring') THEN 'jewel' WHEN contains(p_name, 'red') THEN 'warm' WHEN contains(p_name, 'blue') THEN 'cold' ELSE 'other' END AS x")
 scalar("convert_suffixed", "events", "event_id", lambda df: {"x": numbers.suffixed(F.concat(c("user_id").cast("string"), F.when(c("user_id") % 2 == 0, "K").otherwise("m")))}, "user_id * CASE WHEN user_id % 2 = 0 THEN 1e3 ELSE 1e6 END AS x")
 scalar("duration_text", "events", "event_id", lambda df: {"x": numbers.duration(c("event_id") * 3 + 50)}, "CASE WHEN event_id * 3 + 50 >= 3600 THEN ((event_id * 3 + 50) // 3600) || ':' || lpad(CAST(((event_id * 3 + 50) % 3600) // 60 AS VARCHAR), 2, '0') ELSE CAST((event_id * 3 + 50) // 60 AS VARCHAR) END || ':' || lpad(CAST((event_id * 3 + 50) % 60 AS VARCHAR), 2, '0') AS x")
@@ -198,6 +198,10 @@ scalar("epoch_dates", "events", "event_id", lambda df: {"a": numbers.epoch_date(
 scalar("format_sizes", "documents", "doc_id", lambda df: {"x": numbers.format_size(c("n_chars") * 999)}, "CASE WHEN n_chars * 999 > 1000000000 THEN printf('%.1f GB', n_chars * 999 / 1e9) WHEN n_chars * 999 > 1000000 THEN printf('%.1f MB', n_chars * 999 / 1e6) WHEN n_chars * 999 > 1000 THEN printf('%.1f KB', n_chars * 999 / 1e3) ELSE (n_chars * 999) || ' bytes' END AS x")
 scalar("fixed_decimals", "part", "p_partkey", lambda df: {"x": numbers.fixed(c("p_retailprice") / 3, 2)}, "round(p_retailprice / 3, 2) AS x")
 
+#: What an address tells an endpoint is for, up to the last resort.
+TOLD = """CASE WHEN regexp_matches(lower(url), 'hot|popular|ranking|trending') THEN 'hot' WHEN contains(lower(url), 'search') THEN 'search' WHEN regexp_matches(lower(url), 'feed|timeline|dynamic') THEN 'feed'
+        WHEN regexp_matches(lower(url), 'comment|reply') THEN 'comments' WHEN contains(lower(url), 'history') THEN 'history' WHEN regexp_matches(lower(url), 'profile|userinfo|/me') THEN 'me'
+        WHEN regexp_matches(lower(url), 'favorite|collect|bookmark') THEN 'favorite' ELSE"""
 IS_ID = "regexp_matches(s, '^[0-9]+$') OR (regexp_matches(s, '^[A-Za-z0-9]{8,}$') AND regexp_matches(s, '[0-9]') AND NOT (regexp_matches(s, '^[A-Z]') AND length(regexp_replace(s, '[^A-Z]', '', 'g')) > length(s) // 3 AND length(s) <= 12))"
 scalar("url_pattern_command", "pages", "page_id", lambda df: {"x": urls.command_pattern(c("url"))}, f"""
     lower(regexp_extract(url, '^([^:]*://[^/?#]*)', 1)) || regexp_replace(array_to_string(list_transform(string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: CASE WHEN {IS_ID} THEN ':id' ELSE s END), '/'), '/$', '')
@@ -207,7 +211,11 @@ scalar("url_pattern_endpoint", "pages", "page_id", lambda df: {"x": urls.endpoin
     lower(regexp_extract(url, '://([^/?#:]*)', 1)) || array_to_string(list_transform(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{id}' WHEN regexp_matches(s, '^[0-9A-Fa-f]{8,}$') THEN '{hex}' ELSE s END), '/')
     || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: string_split(p, '=')[1] || '={}')), '&') ELSE '' END AS x,
     CASE WHEN contains(url, '?') THEN array_to_string(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: string_split(p, '=')[1]), ',') ELSE '' END AS p""")
-scalar("site_names", "pages", "page_id", lambda df: {"x": urls.site_name(c("url")), "name": urls.capability_name(c("url"))}, None)
+scalar("site_names", "pages", "page_id", lambda df: {"x": urls.site_name(c("url")), "name": urls.capability_name(c("url"))}, """
+    coalesce(nullif(regexp_replace(regexp_replace(CASE WHEN h[-1] IN ('uk', 'jp', 'cn', 'com') AND len(h) >= 3 THEN h[-3] ELSE h[-2] END, '[^a-z0-9]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'site') AS x,
+    """ + TOLD + """ coalesce(lower(regexp_replace(q[-1], '[^A-Za-z0-9]', '_', 'g')), 'data') END AS name""",
+    """(SELECT *, list_filter(string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.'), lambda s: s <> '' AND s <> 'www') AS h,
+        list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^[0-9]+$') AND NOT regexp_matches(s, '^[0-9A-Fa-f]{8,}$')) AS q FROM pages)""")
 scalar("url_templates", "pages", "page_id", lambda df: {"x": urls.templated(c("url")), "y": urls.with_parameters(c("url"), {"lang": F.lit("e n"), "none": F.lit(None).cast("string")})}, """
     regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])page=[^&]*', '\\1page=:page') AS x, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'lang=e%20n' AS y""")
 
@@ -360,10 +368,56 @@ def fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    nested = orders.groupBy(F.col("o_custkey").alias("customer")).agg(F.collect_list(F.struct("parts")).alias("orders"))
+    nested = orders.select(F.col("o_custkey").alias("customer"), F.array(F.struct("parts")).alias("orders"))
     return sets.unnest(nested, "orders", "parts", keep=["customer"]).withColumnRenamed("value", "part")
 
 
+@query("SELECT o_custkey AS customer FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def intersect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "customer")
+    return sets.in_all(df.where("o_orderstatus = 'F'").select("customer"), df.where("o_totalprice > 300000").select("customer"))
+
+
+@query("SELECT o_custkey AS customer FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def except_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "customer")
+    return sets.in_first_only(df.select("customer"), df.where("o_totalprice > 300000").select("customer"), df.where("o_orderstatus = 'P'").select("customer"))
+
+
+@query("SELECT l_orderkey, string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS names FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def nested_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part names of an order's lines, from lists in lists: a block for each line, a span for each word."""
+    spans = F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("text")))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    blocks = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", spans.alias("spans"))))
+    return lines.groupBy("l_orderkey").agg(text.join_nested(blocks, "spans", "text").alias("names"))
+
+
+def stored_query(name: str, steps_text: str, sql: str, tables: Callable[[SparkSession, str], Callable[[str], DataFrame]] | None = None) -> None:
+    """Registers a query that is stored as YAML."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = tables(spark, sf_dir) if tables else lambda table_name: table(spark, sf_dir, table_name)
+        return stored.run(spark, stored.parse(f"site: shop\nname: {name}\nargs: {{word: {{default: en}}, most: {{type: int, default: 12}}}}\npipeline:\n{steps_text}"), own)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+stored_query("stored_filters", """
+  - source: {table: part, key: p_partkey}
+  - filter: item.p_size % 2 && !(item.p_name | split(' ') | first | replace('red', '')) || item.p_size > 40
+  - map: {key: "${{ item.p_partkey }}", slug: "${{ item.p_name | upper | slugify | truncate(args.most) }}", label: "No. ${{ item.p_size | string }}: ${{ item.p_brand | replace('Brand#', '') | int }}", words: "${{ item.p_name | split(' ') | reverse | join('+') }}", code: "${{ concat(item.p_brand, ' args.word') | urlencode }}"}""",
+    """SELECT p_partkey AS key, CASE WHEN length(replace(lower(p_name), ' ', '-')) > 12 THEN substring(replace(lower(p_name), ' ', '-'), 1, 12) || '...' ELSE replace(lower(p_name), ' ', '-') END AS slug,
+        'No. ' || p_size || ': ' || replace(p_brand, 'Brand#', '') AS label, array_to_string(list_reverse(string_split(p_name, ' ')), '+') AS words, replace(p_brand, '#', '%23') || '%20args.word' AS code
+        FROM part WHERE (p_size % 2 <> 0 AND string_split(p_name, ' ')[1] = 'red') OR p_size > 40""")
+
+stored_query("stored_truthy", """
+  - source: {table: documents, key: doc_id}
+  - filter: item.text && !item.source && !item.none || item.lang
+  - map: {doc_id: "${{ item.doc_id }}", position: "${{ index }}"}""",
+    "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS position FROM documents WHERE (coalesce(text, '') <> '' AND coalesce(source, '') = '') OR coalesce(lang, '') <> ''",
+    lambda spark, sf_dir: lambda name: table(spark, sf_dir, name).withColumn("none", F.lit(None)))
+
 @query("SELECT p_partkey, 'brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part")
 def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "part").select("p_partkey", F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type").alias("m"))
@@ -405,21 +459,83 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    return lambda name: request_log(spark, sf_dir) if name == "requests" else table(spark, sf_dir, name)
+
+
+stored_query("stored_intercept", """
+  - intercept: {pattern: "blog*/${{ args.word }}/", collect: true}
+  - map: {page_id: "${{ item.page_id }}", status: "${{ item.status }}"}""",
+    "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status FROM pages WHERE regexp_matches(url, 'blog.*/en/')", log_tables)
+
+stored_query("stored_collect", """
+  - intercept: {pattern: "/en/", collect: false}
+  - collect: {schema: "data struct<list:array<struct<title:string,link:string,likes:int>>>", select: data.list}
+  - map: {place: "${{ item.pos }}", title: "${{ item.title | upper }}", link: "${{ item.link }}"}""",
+    "SELECT CAST(i AS INT) AS place, 'TITLE ' || i AS title, url AS link FROM pages, range(3) r(i) WHERE contains(url, '/en/')", log_tables)
+
+
+@stored.function("lengths of pages")
+def page_lengths(run: stored.Run, df: DataFrame, what: dict) -> DataFrame:
+    return df.select("page_id", (F.length("html") * what.get("times", 1)).cast("long").alias("size"))
+
+
+stored_query("stored_evaluate", """
+  - source: pages
+  - evaluate: {function: lengths of pages, times: 2}
+  - filter: item.size""", "SELECT page_id, CAST(length(html) * 2 AS BIGINT) AS size FROM pages WHERE length(html) > 0")
+
+stored_query("stored_snapshot", """
+  - source: pages
+  - snapshot: {keys: [page_id], include_hidden: true}
+  - filter: item.tag = 'title' || item.tag = 'h1'
+  - group: {by: [page_id, tag], agg: {n: count(*)}}""",
+    """SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<(script|style)\\b.*?</(script|style)>', '', 'g'), '(?i)<(title|h1)\\b', 1)) AS tag FROM pages) GROUP BY 1, 2""")
+
+stored_query("stored_read", """
+  - source: pages
+  - read: {keys: [page_id]}
+  - map: {page_id: "${{ item.page_id }}", lang: "${{ item.lang | default('none') }}"}""",
+    "SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<html[^>]*\\slang=\"([^\"]*)\"', 1), ''), 'none') AS lang FROM pages")
+
+
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, 'blog.*/en/')")
 def log_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.matching(request_log(spark, sf_dir), "blog*/en/").select("page_id", "url")
 
 
-@query("SELECT count(*) AS endpoints, sum(10 + 5 + 3 + 3 * 2 + 2 + CASE WHEN page THEN 2 ELSE 0 END) AS score FROM (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#:]*)', 1)) || array_to_string(list_transform(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{id}' ELSE s END), '/') || CASE WHEN contains(url, '?') THEN array_to_string(list_sort(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: string_split(p, '=')[1])), '&') ELSE '' END AS p, regexp_matches(url, '[?&]page=') AS page FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0)")
+PROFILE = """
+    WITH asked AS (SELECT page_id, url, regexp_matches(url, '[?&]page=') AS page,
+        list_filter(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: string_split(p, '=')[1]), lambda k: k <> '') AS names,
+        list_transform(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{id}' WHEN regexp_matches(s, '^[0-9A-Fa-f]{8,}$') THEN '{hex}' ELSE s END) AS steps
+        FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0),
+    named AS (SELECT *, lower(regexp_extract(url, '://([^/?#:]*)', 1)) || array_to_string(steps, '/') || CASE WHEN len(names) > 0 THEN '?' || array_to_string(list_transform(list_sort(names), lambda k: k || '={}'), '&') ELSE '' END AS pattern FROM asked),
+    firsts AS (SELECT *, 10 + 5 + 3 + 3 * 2 + 2 + CASE WHEN page THEN 2 ELSE 0 END AS score FROM named QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY page_id) = 1)"""
+
+
+@query(PROFILE + """
+    SELECT pattern, 'GET' AS method, url, CAST(score AS INT) AS score, 'data.list' AS item_path, CAST(3 AS BIGINT) AS item_count, 'likes,link,title' AS fields,
+        'title=title,url=link,score=likes' AS roles, page AS has_paging, false AS has_search, 'cookie' AS strategy FROM firsts""")
 def endpoint_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = endpoints.endpoints(request_log(spark, sf_dir), "page_id")
-    return found.agg(F.count("*").alias("endpoints"), F.sum("score").alias("score"))
+    shown = F.array_join(F.transform(F.map_entries("roles"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return found.select(
+        "pattern", "method", "url", "score", F.col("response.item_path").alias("item_path"), F.col("response.item_count").alias("item_count"), F.array_join("response.fields", ",").alias("fields"),
+        shown.alias("roles"), "has_paging", "has_search", "strategy",
+    )
 
 
-@query()
+@query(PROFILE + """,
+    best AS (SELECT *, row_number() OVER (ORDER BY score DESC, pattern) AS rank FROM firsts ORDER BY rank LIMIT 8),
+    plain AS (SELECT *, list_filter(string_split(string_split(pattern, '?')[1], '/'), lambda s: s <> '' AND NOT starts_with(s, '{') AND NOT contains(s, '.'))[-1] AS plain,
+        """ + TOLD + """ coalesce(lower(regexp_replace(list_filter(steps, lambda s: s <> '' AND s <> '{id}' AND s <> '{hex}')[-1], '[^A-Za-z0-9]', '_', 'g')), 'data') END AS name FROM best),
+    again AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY rank) > 1 THEN name || '_' || coalesce(plain, CAST(rank - 1 AS VARCHAR)) ELSE name END AS name2 FROM plain),
+    still AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY name2 ORDER BY rank) > 1 THEN name2 || '_' || rank ELSE name2 END AS name3 FROM again)
+    SELECT CAST(rank AS INT) AS rank, name3 AS name, pattern, CAST(score AS INT) AS score, CAST(1.0 AS DOUBLE) AS confidence, 'cookie' AS strategy, 'title,url,score' AS columns,
+        regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])page=[^&]*', '\\1page=:page') AS template FROM still""")
 def endpoint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = endpoints.capabilities(endpoints.endpoints(request_log(spark, sf_dir), "page_id"))
-    return ranked.select("rank", "name", "pattern", "score", "confidence", "strategy", "columns", "template")
+    return ranked.select("rank", "name", "pattern", "score", "confidence", "strategy", F.array_join("columns", ",").alias("columns"), "template")
 
 
 @query()

@@ -5,7 +5,10 @@ from __future__ import annotations
 import csv
 import io
 import json
+import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +35,21 @@ def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
-    """Each row as a line of a Markdown table; the pipe is escaped."""
-    cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
-    return flat(df).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    """Each row as a line of a Markdown table, the pipe escaped; before the rows of a partition its header and rule."""
+    escape = lambda c: F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    shown = flat(df)
+    lines = shown.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[escape(F.col(f"`{c}`")) for c in shown.columns]), F.lit(" |")).alias("value"))
+    head = ["| " + " | ".join(c.replace("|", "\\|") for c in df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for table in tables:
+            if table.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_arrays([pa.array(head)], schema=table.schema)
+            yield table
+
+    return lines.mapInArrow(run, "value string")
 
 
 def format_of(name: str) -> str:
@@ -59,16 +74,28 @@ def cell(x: object) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True, default=str) if isinstance(x, (dict, list)) else str(x)
 
 
-def render(df: DataFrame, kind: str = "table", columns: list[str] | None = None, rows: int = 1000, title: str | None = None, seconds: float | None = None, source: str | None = None) -> str:
+def render(df: DataFrame | None, kind: str = "table", columns: list[str] | None = None, rows: int = 1000, title: str | None = None, seconds: float | None = None, source: str | None = None, record: bool = False) -> str:
     """The first ``rows`` rows as text. ``columns`` are shown in table, csv and markdown; json and yaml show all.
 
-    Only these rows reach the driver; results of any size go to files with ``write``. An empty table reads ``(empty)``,
-    in csv nothing, in json and yaml ``[]``. Under table and markdown stand the seconds and the source, if given.
+    Only these rows reach the driver; results of any size go to files with ``write``. If there are more, the line under
+    table and markdown says so, and a warning does for the others. An empty table reads ``(empty)``, in csv nothing, in
+    json and yaml ``[]``; no table at all reads ``(no data)``, ``null`` in json and yaml. ``record`` shows the first row
+    alone: as keys and values, in json and yaml as an object. Seconds and source stand under table and markdown, if given.
     """
     kind = format_of(kind)
+    if df is None:
+        return {"json": "null", "yaml": "null\n", "csv": ""}.get(kind, "(no data)")
     shown = df if columns is None or kind in ("json", "yaml") else project(df, columns)
     names = shown.columns
-    got = [plain(r) for r in shown.limit(rows).collect()]
+    rows = 1 if record else rows
+    got = [plain(r) for r in shown.limit(rows + 1).collect()]
+    more, got = len(got) > rows and not record, got[:rows]
+    if more and kind in ("json", "yaml", "csv"):
+        warnings.warn(f"only the first {rows} rows are shown", stacklevel=2)
+    if record and got and kind in ("json", "yaml"):
+        got = got[0]
+    elif record and got:
+        names, got = ["key", "value"], [{"key": k, "value": got[0][k]} for k in names]
     if kind == "json":
         return json.dumps(got, ensure_ascii=False, indent=2, default=str)
     if kind == "yaml":
@@ -92,7 +119,7 @@ def render(df: DataFrame, kind: str = "table", columns: list[str] | None = None,
         line = lambda some: "| " + " | ".join(x.ljust(w) for x, w in zip(some, widths)) + " |"
         rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
         body, head = "\n".join([rule, line(names), rule, *map(line, cells), rule]), f"{title}\n" if title else ""
-    foot = " | ".join(x for x in ("" if seconds is None else f"Elapsed: {elapsed(seconds)}", f"Source: {source}" if source else "") if x)
+    foot = " | ".join(x for x in (f"First {rows} rows" if more else "", "" if seconds is None else f"Elapsed: {elapsed(seconds)}", f"Source: {source}" if source else "") if x)
     return head + body + (f"\n\n{foot}" if foot else "")
 
 

@@ -85,6 +85,71 @@ def test_joins_and_sets(spark):
     assert {(r.k, r.t): r.session for r in gaps.collect()} == {("a", 1): 0, ("a", 5): 1, ("b", 2): 0, (None, 3): 0}
 
 
+def test_span_sessions(spark):
+    """Missing times belong to the open part; keys go over borders of batches and may be null."""
+    rows = [("a", i, None if i in (0, 4, 9) else float(i * 10)) for i in range(12)] + [("b", 0, None), ("b", 1, None), (None, 0, 5.0), (None, 1, 90.0)]
+    want, start, part = {}, None, 0
+    for k, i, t in rows[:12]:
+        if t is not None:
+            start = t if start is None else start
+            if t - start > 25:
+                start, part = t, part + 1
+        want[k, i] = part
+    want |= {("b", 0): 0, ("b", 1): 0, (None, 0): 0, (None, 1): 1}
+    df = spark.createDataFrame(rows, "k string, i int, t double")
+    for batch in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(r.k, r.i): r.part for r in windows.span_sessions(df, ["k"], "i", F.col("t"), 25.0).collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert windows.span_sessions(df.limit(0), ["k"], "i", F.col("t"), 1.0).count() == 0
+
+
+def test_set_operations(spark):
+    a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "x"), (1, "x"), (2, None), (3, "y")], [(2, None), (1, "x"), (4, "z")]))
+    assert sorted(map(tuple, sets.in_all(a, b.select("v", "k")).collect())) == [(1, "x"), (2, None)]
+    assert sorted(map(tuple, sets.in_first_only(a, b).collect())) == [(3, "y")]
+    assert sets.in_first_only(a).count() == 3 and sets.in_all(a.limit(0), b).count() == 0
+    assert sets.fallback(a.limit(0), b, a).count() == 3 and sets.fallback(a.limit(0)).count() == 0
+
+
+PLAIN = "site: s\nname: n\nargs: {n: {type: int, default: 2}}\npipeline:\n  - source: {table: t, key: id}\n"
+
+
+def test_stored_expressions(spark):
+    t = spark.createDataFrame([(1, 5, "a|b", "args.n"), (2, None, "", "x"), (3, 0, None, "}} it"), (4, 7, "c", None)], "id long, v long, w string, x string")
+    run = lambda steps_text, given=None: [tuple(r) for r in stored.run(spark, stored.parse(PLAIN + steps_text), {"t": t}.__getitem__, given).collect()]
+    kept = lambda condition: [r[0] for r in run(f"  - filter: {json.dumps(condition)}")]
+    assert kept("item.v") == [1, 4] and kept("!item.v") == [2, 3] and kept("item.v && item.w") == [1, 4] and kept("!item.v || item.x = 'args.n'") == [1, 2, 3]
+    assert kept("item.v > args.n") == [1, 4] and kept("item.x = 'args.n'") == [1] and kept(["item.v", "item.w | length"]) == [1, 4] and kept("(item.w | default('q')) && !(item.v && item.x)") == [2, 3, 4]
+    assert kept("index % 2 && item.v") == [4] and kept("${{ item.w | replace('|', '') | length }}") == [1, 4] and kept("item.v <> 5") == [3, 4]
+    assert run("  - map: {a: \"${{ item.w | split('|') | last | default(args.n) }}\", b: \"<${{ item.x }}|${{ '}}' || '|' }}>\"}") == [("b", "<args.n|}}|>"), ("2", "<x|}}|>"), ("2", "<}} it|}}|>"), ("c", "<|}}|>")]
+    assert run("  - limit: 2\n  - map: {i: \"${{ index }}\"}") == [(0,), (1,)]
+    assert run("  - limit: 1000000000\n  - map: {i: \"${{ index }}\", of: \"the index\"}")[-1] == (3, "the index")
+
+    @stored.filter_function("doubled_text")
+    def doubled_text(v, x, times=2):
+        return F.repeat(v.shown(x), times)
+
+    assert run("  - map: {a: \"${{ item.id | doubled_text(3) }}\"}")[1] == ("222",)
+    for wrong in ("  - map: {a: \"${{ item.w | nothing }}\"}", "  - map: {a: \"${{ item.w | truncate(item.id) }}\"}", "  - map: {a: \"${{ item.w | replace('x') }}\"}", "  - evaluate: nothing"):
+        with pytest.raises(steps.StepError):
+            run(wrong)
+    with pytest.raises(steps.StepError):
+        stored.run(spark, stored.parse("site: s\nname: n\npipeline: [{source: t}, {map: {i: '${{ index }}'}}]"), {"t": t}.__getitem__)
+
+
+def test_stored_files_and_timeout(spark, tmp_path):
+    spark.range(3).write.json(str(tmp_path / "j"))
+    query = stored.parse(f"site: s\nname: n\npipeline: [{{source: {{file: '{tmp_path / 'j'}', kind: json, schema: id long, key: id}}}}]")
+    df = stored.run(spark, query, lambda name: None)
+    assert stored.within(spark, 60, df.count) == 3
+    slow = spark.range(10**12).select(F.sum(F.hash("id")))
+    with pytest.raises(TimeoutError):
+        stored.within(spark, 1, slow.collect)
+    assert stored.within(spark, 60, df.count) == 3
+
+
 STORED = """
 site: s
 name: n
@@ -183,6 +248,12 @@ def test_rendering(spark, tmp_path):
     assert [write.render(df.limit(0), k) for k in ("table", "csv", "json", "yaml")] == ["(empty)", "", "[]", "[]\n"]
     for kind in ("csv", "json", "markdown", "parquet"):
         write.write(df, str(tmp_path / kind), kind)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()]
+    assert lines.count("| name | age | meta |") == lines.count("| --- | --- | --- |") >= 1 and "| B\\|b |  |  |" in lines
+    assert "First 1 rows" in write.render(df, rows=1) and "First" not in write.render(df, rows=2) and write.render(None) == "(no data)" and write.render(None, "json") == "null"
+    with pytest.warns(UserWarning, match="first 1 rows"):
+        write.render(df, "csv", rows=1)
+    assert "| age  | 3 " in write.render(df.limit(1), columns=["name", "age"], record=True) and json.loads(write.render(df, "json", record=True))["name"] == "Ann"
     assert read.records(spark, str(tmp_path / "csv"), "csv").count() == 2 and read.records(spark, str(tmp_path / "json"), "json").count() == 2
 
 
