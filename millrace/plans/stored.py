@@ -184,7 +184,8 @@ class Run:
             used.add(m[1])
             return f":{m[1]}"
 
-        query = re.sub(rf"{QUOTED}|(?<![\w.])args\.([A-Za-z_]\w*)", bound, f"SELECT {select} FROM {{__rows}} AS item {tail}", flags=re.S)
+        query = re.sub(rf"{QUOTED}|(?<![\w.])args\.([A-Za-z_]\w*)", bound, f"SELECT {select} FROM \0 AS item {tail}", flags=re.S)
+        query = query.replace("{", "{{").replace("}", "}}").replace("\0", "{__rows}")  # braces are the query's own
         return self.spark.sql(query, args={k: v for k, v in self.args.items() if k in used}, __rows=df)
 
     def piped(self, df: DataFrame, what: object) -> tuple[DataFrame, object]:
