@@ -347,8 +347,11 @@ def ordered(run: Run, df: DataFrame, what: object) -> DataFrame:
 
 
 def limited(run: Run, df: DataFrame, what: object) -> DataFrame:
+    """The first rows; up to FEW of them by Spark's ordered limit, which holds them in one task, more by their positions."""
     n = run.number(what)
     run.bound = n if run.bound is None else min(n, run.bound)
+    if run.order and n > FEW:
+        return order.with_position(df, run.keys(), "__place").where(F.col("__place") < n).drop("__place")
     return (df.orderBy(*run.keys()) if run.order else df).limit(n)
 
 
