@@ -15,23 +15,30 @@ from millrace.llm.hashing import MARKS, grams, hash_words
 from millrace.llm.common import short_batches
 from millrace.llm.tokens import batches
 
-# The usual short notices of each licence family, as their licensors publish them.
+# Notices of each licence family, and paragraphs of the shorter licences, as their licensors publish them.
 TEMPLATES = {
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Released under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "bsd": [
         "Released under the BSD License.",
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -54,21 +61,36 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
     ],
     "lgpl": [
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
+    ],
 }
 UNKNOWN = "unknown"
 #: Buckets of n-gram features.
@@ -86,22 +108,25 @@ def features(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def split_paragraphs(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All lines of all texts that hold anything, with their text's index and number."""
-    lines, own, numbers = [], [], []
+def split_paragraphs(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All lines of all texts that hold anything, with their text's index, number and first character."""
+    lines, own, numbers, starts = [], [], [], []
     for i, t in enumerate(texts):
+        at = 0
         for k, line in enumerate((t or "").split("\n")):
             if line:
                 lines.append(line)
                 own.append(i)
                 numbers.append(k)
-    return lines, np.array(own, np.int64), np.array(numbers, np.int64)
+                starts.append(at)
+            at += len(line) + 1
+    return lines, np.array(own, np.int64), np.array(numbers, np.int64), np.array(starts, np.int64)
 
 
 @dataclass
 class LicenseModel:
-    """Logistic regression weights (a row for each feature, a column for each family and for none), the least
-    probability that counts as a find, and each family's templates as sets of word pairs."""
+    """Calibrated logistic regression weights (a row for each feature, a column for each family and for none), the least
+    probability of any licence that counts as a find, and each family's templates as sets of word pairs."""
 
     families: list[str]
     weights: np.ndarray
@@ -120,6 +145,17 @@ class LicenseModel:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def judge(self, hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, block: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run of words the likeliest family and the probability that it is of any licence; ``block`` runs at a time."""
+        family, chance = np.zeros(len(first), np.int64), np.zeros(len(first))
+        order = np.argsort(first, kind="stable")
+        for at in range(0, len(order), block):
+            some = order[at : at + block]
+            low, high = int(first[some[0]]), int((first[some] + counts[some]).max())
+            p = self.probabilities(hashes[low:high], first[some] - low, counts[some])
+            family[some], chance[some] = p[:, :-1].argmax(axis=1), 1 - p[:, -1]
+        return family, chance
+
 
 def slide(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and number of words of the windows over each run of words (at least one); the run itself if it is shorter than a window."""
@@ -180,9 +216,10 @@ def pairs(text: str) -> set[int]:
 def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPLATES, variants: int = 24, steps: int = 300, false_rate: float = 1e-3, seed: int = 7) -> LicenseModel:
     """A model from the templates with words around, dropped and changed, against a bounded list of other paragraphs.
 
-    The fit sees a window from anywhere in each of the other paragraphs. Every second paragraph is left out of it; the
-    least probability is then set so that at most ``false_rate`` of the other paragraphs left out have any window that
-    counts as a find, and at least 0.5 and at most 0.9.
+    The fit sees a window from anywhere in each of the other paragraphs. Every second paragraph is left out of it. On
+    those, the temperature by which logits are divided is chosen for the least cross-entropy, so that probabilities are
+    calibrated; and the least probability of a find is set so that at most ``false_rate`` of the other paragraphs left
+    out have any window that counts as one, and at least 0.5.
     """
     rng = random.Random(seed)
     known = [set(pairs(t)) for own in templates.values() for t in own]
@@ -221,14 +258,23 @@ def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPL
         g = (p / p.sum(axis=1, keepdims=True) - y[fit]) * weight
         mw, mb = 0.9 * mw + by_feature @ g + 1e-5 * w, 0.9 * mb + g.sum(axis=0)
         w, b = w - 4.0 * mw, b - 4.0 * mb
-    model = LicenseModel(families, np.concatenate([w, np.zeros((1, w.shape[1]), np.float32)]), b, 0.5, {f: [pairs(t) for t in templates[f]] for f in families})
+    z, left = x.part(~fit) @ w + b, np.array(labels)[~fit]
+    share = np.where(left == len(families), 0.5 / max(1, (left == len(families)).sum()), 0.5 / max(1, (left != len(families)).sum()))
+
+    def entropy(heat: float) -> float:
+        p = z / heat
+        p = p - p.max(axis=1, keepdims=True)
+        return float((share * (np.log(np.exp(p).sum(axis=1)) - p[np.arange(len(p)), left])).sum())
+
+    heat = min((float(h) for h in np.geomspace(0.1, 10, 81)), key=entropy) if len(left) else 1.0
+    model = LicenseModel(families, np.concatenate([w, np.zeros((1, w.shape[1]), np.float32)]) / np.float32(heat), b / np.float32(heat), 0.5, {f: [pairs(t) for t in templates[f]] for f in families})
     words = hash_words(held_out, MARKS)
     some = np.flatnonzero(words.counts)
     if len(some):
         first, counts = slide((np.cumsum(words.counts) - words.counts)[some], words.counts[some])
         best = np.zeros(len(held_out))
-        np.maximum.at(best, words.texts[first], model.probabilities(words.hashes, first, counts)[:, :-1].max(axis=1))
-        model.least = min(0.9, max(0.5, float(np.quantile(best[some], 1 - false_rate))))
+        np.maximum.at(best, words.texts[first], model.judge(words.hashes, first, counts)[1])
+        model.least = max(0.5, float(np.quantile(best[some], 1 - false_rate)))
     return model
 
 
@@ -249,11 +295,12 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
 
     A paragraph is a line of the text, of any length, or a run of lines that aren't blank where what is found goes over
     a line's end; ``paragraph`` is the number of its (first) line and ``start`` and ``length`` are in characters. Scored
-    are whole lines and windows of some words slid over each run of lines, so a notice counts for the same in a long
-    paragraph and however it is wrapped. A find is a window with a family's probability of at least the model's least one.
-    It is confirmed if it holds at least ``least_overlap`` of the word pairs of one of the family's templates; with
-    fewer, as in a licence not among the templates, its family is ``unknown``; with none it is no find. Of finds that
-    share words the best is kept, and of several of a family in a paragraph. Null and empty texts have none, repeated rows have theirs each, other columns aren't read.
+    are lines up to the longest window and windows of some words slid over each run of lines, so a notice counts for the
+    same in a long paragraph and however it is wrapped. A find is a window whose calibrated ``probability`` of any
+    licence is at least the model's least one. It is confirmed if it holds at least ``least_overlap`` of the word pairs
+    of a template of its likeliest family, or of another family if that has none; else, as in a licence that is not among
+    the templates, its family is ``unknown``. A window without any word pair of any template is no find. Of finds that share words the best is kept, and of several of a family in
+    a paragraph. Null and empty texts have none, repeated rows have theirs each, other columns aren't read.
     """
     short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES by families floats
@@ -264,7 +311,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
         for table in tables:
             keys, out = table.column(0).to_pylist(), []
             for at, some in batches(table.column(1)):
-                lines, own, numbers = split_paragraphs(some)
+                lines, own, numbers, starts = split_paragraphs(some)
                 if not lines:
                     continue
                 words = hash_words(lines, MARKS)
@@ -275,22 +322,24 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
                 last = np.r_[np.flatnonzero(apart)[1:], len(lines)] - 1
                 top = np.flatnonzero(apart)
                 n = ends[last] - ends[top] + words.counts[top]
-                spoken = np.flatnonzero(words.counts)
-                if not len(spoken):
+                spoken = np.flatnonzero((words.counts > 0) & (words.counts <= WINDOWS[-1]))
+                if not len(words.hashes):
                     continue
                 first, counts = slide((ends - words.counts)[top][n > 0], n[n > 0])
                 first, counts = np.r_[(ends - words.counts)[spoken], first], np.r_[words.counts[spoken], counts]
-                p = model.probabilities(words.hashes, first, counts)[:, :-1]
-                best, least = p.argmax(axis=1), p.max(axis=1)
+                best, least = model.judge(words.hashes, first, counts)
                 found = []
                 for j in np.flatnonzero(least >= model.least).tolist():
                     a, z = int(first[j]), int(first[j] + counts[j])
                     family = model.families[best[j]]
                     mine = set(grams(words.hashes[a:z], 2).tolist())
-                    overlap = max((len(mine & t) / len(t) for t in model.templates[family] if t), default=0.0)
-                    if overlap:
-                        x, y = int(words.texts[a]), int(words.texts[z - 1])
-                        found.append((overlap < least_overlap, -overlap, x != y, -float(least[j]), x, y, a, z, family))
+                    overlap, other = max((len(mine & t) / len(t), f == family, f) for f, sets in model.templates.items() for t in sets if t)[::2]
+                    own_overlap = max((len(mine & t) / len(t) for t in model.templates[family] if t), default=0.0)
+                    overlap, family = (own_overlap, family) if own_overlap >= least_overlap else (overlap, other)
+                    if not overlap:
+                        continue
+                    x, y = int(words.texts[a]), int(words.texts[z - 1])
+                    found.append((overlap < least_overlap, -overlap, x != y, -float(least[j]), x, y, a, z, family))
                 taken, told = {}, set()
                 for unsure, overlap, wrapped, chance, x, y, a, z, family in sorted(found):
                     others = taken.setdefault(run_of[x], [])
@@ -301,8 +350,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
                     family = UNKNOWN if unsure else family
                     if (x, y, family) not in told:
                         told.add((x, y, family))
-                        start = sum(len(t) + 1 for t in some[own[x]].split("\n")[: numbers[x]])
-                        out.append((keys[at + own[x]], int(numbers[x]), start, sum(map(len, lines[x : y + 1])) + y - x, family, -chance, -overlap, not unsure))
+                        out.append((keys[at + own[x]], int(numbers[x]), int(starts[x]), int(starts[y] - starts[x]) + len(lines[y]), family, -chance, -overlap, not unsure))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

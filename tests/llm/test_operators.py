@@ -176,6 +176,18 @@ def test_token_counts_whatever_the_blocks(spark, block):
     assert separators.count_tokens(blocks.limit(0), 49407).count() == 0
 
 
+def test_token_ids_that_do_not_fit(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a few words"), (2, "<|endoftext|>")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        separators.token_blocks(docs, 300, dtype="u1")
+    with pytest.raises(Exception, match="doesn't fit"):
+        separators.token_blocks(docs, 200, dtype="u1").collect()
+    assert {r.doc_id for r in separators.count_document_tokens(docs).collect()} == {1, 2}
+    (tmp_path / "part-1").write_bytes(b"\x01\x00\x00")
+    with pytest.raises(Exception, match="ends in part"):
+        separators.read_token_files(spark, str(tmp_path / "part-1"), "<u2").collect()
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
     separators.write_token_files(separators.token_blocks(docs, 49407, dtype="<u4", block=100), str(tmp_path / "flat"))
@@ -247,6 +259,55 @@ def test_licences(spark):
         assert texts[r.doc_id][r.start : r.start + r.length] == texts[r.doc_id].split("\n")[r.paragraph]
 
 
+# Notices of licences that are not among the templates.
+UNSEEN = [
+    "Licensed under the European Union Public Licence, Version 1.2 or later.", "Distributed under the Boost Software License, Version 1.0.", "This file is licensed under the Artistic License 2.0; see the file LICENSE for details.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Released under the Open Software License version 3.0.", "This work is licensed under the terms of the CeCILL license, version 2.1.",
+]
+
+
+def test_unknown_licences(spark, licence_model):
+    """Notices of other licences are found and unknown; sentences that only use their words are no find; paragraphs of whole licences are confirmed."""
+    plain = ["He walked under the bridge, and the version of events he told was free of charge.", "The library is open to the public on every work day.", "All copies of the map show the above road, but none of the notice boards."]
+    whole = "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    rows = [(i, t, "en", "a") for i, t in enumerate([*UNSEEN, *plain, whole])]
+    got = collections.defaultdict(list)
+    for r in licenses.scan_licenses(frame(spark, rows), licence_model).collect():
+        got[r.doc_id].append((r.family, r.confirmed))
+    assert sum(got[i] == [("unknown", False)] for i in range(len(UNSEEN))) >= len(UNSEEN) - 1
+    assert not any(got[len(UNSEEN) + i] for i in range(len(plain))) and got[len(rows) - 1] == [("mit", True)] * 2
+
+
+def test_calibration(spark, licence_model):
+    """Of windows judged with about the same probability, about that share holds a licence: variants of notices against lines held out."""
+    rng = random.Random(1)
+    lines = licenses.sample_paragraphs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(language.in_fold(F.col("doc_id"))), sample=600)
+    known = [licenses.pairs(t) for own in licenses.TEMPLATES.values() for t in own]
+    lines = [" ".join(t.split()[:30]) for t in lines if not any(len(licenses.pairs(t) & k) >= 0.3 * len(k) for k in known)]
+    notices = [[w for w in t.split() if rng.random() > 0.15] for own in licenses.TEMPLATES.values() for t in own for _ in range(4)]
+    words = licenses.hash_words([*lines, *map(" ".join, notices)], licenses.MARKS)
+    some = np.flatnonzero(words.counts)
+    _, chance = licence_model.judge(words.hashes, (np.cumsum(words.counts) - words.counts)[some], words.counts[some])
+    true, error = some >= len(lines), 0.0
+    for low in np.arange(0, 1, 0.1):
+        here = (chance >= low) & ((chance < low + 0.1) | (low > 0.85))
+        error += abs(chance[here].sum() - true[here].sum())
+    assert error / len(some) < 0.05
+    assert ((chance >= licence_model.least) & ~true).sum() <= 0.01 * len(lines) and ((chance >= licence_model.least) & true).sum() >= 0.95 * len(notices)
+
+
+def test_very_long_texts(spark):
+    """Texts of 50 MB: one of many words, one line of one word."""
+    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6_250_000)), lambda i: F.concat(F.lit("w"), (i % 4_000_000 + 1_000_000).cast("string"))), " ")
+    docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("MIT\n"), long, F.lit(" Released under the MIT License.")).alias("text"))
+    docs = docs.union(docs.select(F.lit(2).cast("long"), "text")).union(spark.range(1).select(F.lit(3).cast("long"), F.repeat(F.lit("x"), 50_000_000)))
+    got = {r.doc_id: r for r in jaccard.join_similar(docs).collect()}
+    assert got[1].n_shingles == got[2].n_shingles > 4_000_000 and (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3) and got[3].n_shingles == 1
+    model = licenses.train_licenses(["some words of a line"] * 5)
+    finds = licenses.scan_licenses(docs.where("doc_id <> 2"), model).collect()
+    assert [(r.doc_id, r.family, r.paragraph) for r in finds if r.confirmed] == [(1, "mit", 1)]
+
+
 @pytest.fixture(scope="module")
 def licence_model(spark):
     return licenses.train_licenses(licenses.sample_paragraphs(spark.read.parquet(f"{SF}/documents.parquet")))
@@ -507,6 +568,23 @@ def test_sharding(spark):
     assert moved.where("b <> 20").count() == 0 and 1500 < moved.count() < 2350
 
 
+def test_pipeline_odd_rows(spark):
+    """Null, empty, very long, repeated rows, clashing columns and empty tables go through every stage."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice("the of a house river under walks slowly green old and".split()) for _ in range(n))
+    rows = [(i, prose(60), "en", rng.choice(["a", "b", None])) for i in range(60)] + [(100, prose(40_000), "en", "a"), (None, prose(50), "en", None), (102, None, None, None), (103, "", "en", "a"), (104, "½", "en", "a")]
+    rows += [rows[0], rows[0], (105, rows[1][1], "en", "b")]
+    docs = frame(spark, rows)
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "packing" or out.columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        docs = out
+        sizes.append({r[0] for r in out.select("doc_id").distinct().collect()})
+    assert sizes[0] == {*range(60), 100, None, 105} and sizes[1] == {*range(60), 100, None} and sizes[3] <= sizes[2] <= sizes[1]
+
+
 def test_pipeline(spark):
     docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
