@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scan, short_batches
+from millrace.llm.common import cut, scan, short_batches
 from millrace.llm.tokens import WordTokenizer, batches, default_tokenizer
 
 #: Ids of one block.
@@ -22,12 +22,14 @@ BLOCK_SCHEMA = pa.schema([("stream", pa.string()), ("block", pa.int64()), ("ids"
 def token_blocks(docs: DataFrame, end_id: int, dtype: str = "<u2", tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The texts as flat token streams, one for each task, in blocks of ``block`` ids that pay no heed to documents.
 
-    After each text's ids comes ``end_id``. ``doc_ids`` are the documents whose end mark the block holds, a manifest that
+    After each text's ids, in which strings of special tokens are ordinary text, comes ``end_id``. Ids that don't fit ``dtype`` are an error. ``doc_ids`` are the documents whose end mark the block holds, a manifest that
     the scan doesn't read. A null text is its end mark only.
     """
     path = tokenizer or default_tokenizer()
     short_batches(docs.sparkSession)
-    width = np.dtype(dtype).itemsize
+    width, most = np.dtype(dtype).itemsize, int(np.iinfo(dtype).max)
+    if not 0 <= end_id <= most:
+        raise ValueError(f"end id {end_id} doesn't fit {dtype}")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stream, end = WordTokenizer(path, marks_as_text=True), f"part-{TaskContext.get().partitionId():05d}", np.array([end_id], dtype).tobytes()
@@ -51,7 +53,10 @@ def token_blocks(docs: DataFrame, end_id: int, dtype: str = "<u2", tokenizer: st
             for at, some in batches(table.column(1)):
                 pieces, position = [rest], len(rest)
                 for doc, ids in zip(keys[at : at + len(some)], encoder.encode(some)):
-                    ids = np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end
+                    ids = np.frombuffer(ids, "<u4")
+                    if len(ids) and int(ids.max()) > most:
+                        raise ValueError(f"id {int(ids.max())} doesn't fit {dtype}")
+                    ids = ids.astype(dtype).tobytes() + end
                     pieces.append(ids)
                     position += len(ids)
                     due.append((position, doc))
@@ -75,14 +80,15 @@ def write_token_files(blocks: DataFrame, path: str) -> None:
 
 
 def read_token_files(spark: SparkSession, path: str, dtype: str = "<u4", block: int = BLOCK) -> DataFrame:
-    """Flat token files (of less than 2 GB each) as blocks; the stream is the file's path. Bytes beyond the last whole id are left out."""
+    """Flat token files (of less than 2 GB each) as blocks; the stream is the file's path. A file that ends in part of an id is an error."""
     width = np.dtype(dtype).itemsize
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             for name, content in zip(table.column(0).to_pylist(), table.column(1)):
                 data = memoryview(content.as_buffer())
-                data = data[: len(data) // width * width]
+                if len(data) % width:
+                    raise ValueError(f"{name} ends in part of an id of {width} bytes")
                 for number, at in enumerate(range(0, len(data), block * width)):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number], pa.int64()), pa.array([bytes(data[at : at + block * width])], pa.binary()), pa.array([None], pa.list_(pa.int64()))], schema=BLOCK_SCHEMA)
 
@@ -113,7 +119,7 @@ def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFram
             )
 
     found = blocks.select("stream", "block", "ids", "doc_ids").mapInArrow(search, "stream string, block long, n_ids long, ends array<long>, doc_ids array<long>")
-    found = found.withColumns({"n_ends": F.size("ends").cast("long")})
+    found = cut(found.withColumns({"n_ends": F.size("ends").cast("long")}))  # a number for each document; the scans read it twice, the ids once
     placed = scan(found, ["stream"], ["block"], {"before": ("sum", "n_ids"), "ended_before": ("sum", "n_ends")})
     placed = placed.withColumns({"before": F.coalesce("before", F.lit(0)), "ended_before": F.coalesce("ended_before", F.lit(0))})
     placed = placed.withColumn("__last", F.when(F.col("n_ends") > 0, F.col("before") + F.element_at("ends", -1)))
