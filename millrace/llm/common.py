@@ -94,21 +94,26 @@ def scan(df: DataFrame, group: list[str], order: list[str], wanted: dict[str, tu
     return joined.withColumns(final).select(*df.columns, *wanted)
 
 
-#: Rows of a key that stay together in a join, and keys that are split at most: fewer have more than that share of all rows.
+#: Rows of a key that stay together in a join, and keys that are split at most.
 TOGETHER, MOST_SPLIT = 2000, 100_000
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined with ``table`` on their column ``key``, with keys of many rows split over tasks.
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, __parts) of the keys with more than TOGETHER rows, the MOST_SPLIT largest of them, in parts of TOGETHER rows.
 
-    Rows of such a key go to parts by a hash of their column ``by``, and the key's rows in ``table`` to each part. A key is
-    split if it has more rows than TOGETHER and than one in MOST_SPLIT of all, so the list of such keys, which is broadcast,
-    has fewer than MOST_SPLIT. ``counted`` are rows with the same keys that are cheaper to count; give checkpointed ones.
+    A key left out has less than one in MOST_SPLIT of all rows. The table is small enough to be broadcast.
     """
-    counted = rows if counted is None else counted
-    most = max(TOGETHER, counted.count() // MOST_SPLIT)
-    sizes = counted.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
-    heavy = F.broadcast(cut(sizes.select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > TOGETHER)
+    return cut(sizes.orderBy(F.desc("__n"), key).limit(MOST_SPLIT).select(key, F.ceil(F.col("__n") / TOGETHER).cast("int").alias("__parts")))
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, heavy: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on their column ``key``, with ``heavy`` keys (of ``rows``, if not given) split over tasks.
+
+    Rows of such a key go to parts by a hash of their column ``by``, and the key's rows in ``table`` to each part.
+    """
+    heavy = heavy_keys(rows, key) if heavy is None else heavy
+    heavy = F.broadcast(heavy.select(F.col(heavy.columns[0]).alias(key), "__parts"))
     part = F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0))
     dealt = rows.join(heavy, key, "left").withColumn("__part", part).drop("__parts")
     copied = table.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")

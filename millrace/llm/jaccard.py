@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, parts, short_batches, split_join
+from millrace.llm.common import FILTER_BITS, components, cut, filter_maps, filter_place, heavy_keys, parts, short_batches, split_join
 from millrace.llm.hashing import mix, shingle_sets
 from millrace.llm.tokens import batches
 
@@ -277,22 +277,22 @@ def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
     return bundles.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, "token long, id long, n long, l int, s long, middle double, at long")
 
 
-def attached(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
-    """``pairs`` (a, b; checkpointed) with the columns ``names`` of both in ``table`` (id, ...), ending in a and b."""
-    first = split_join(pairs, table.select(*[F.col(x).alias(f"{x}b") for x in names], F.col("id").alias("b")), "b", "a")
-    return split_join(first, table.select(*[F.col(x).alias(f"{x}a") for x in names], F.col("id").alias("a")), "a", "b", pairs)
+def attached(pairs: DataFrame, table: DataFrame, names: list[str], heavy: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns ``names`` of both in ``table`` (id, ...), ending in a and b; ``heavy`` are sets of many pairs."""
+    first = split_join(pairs, table.select(*[F.col(x).alias(f"{x}b") for x in names], F.col("id").alias("b")), "b", "a", heavy)
+    return split_join(first, table.select(*[F.col(x).alias(f"{x}a") for x in names], F.col("id").alias("a")), "a", "b", heavy)
 
 
-def matching(pairs: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
+def matching(pairs: DataFrame, prefixes: DataFrame, least: int, heavy: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes (id, n, l, t) share as many tokens as they were lengthened for."""
-    both = attached(pairs, prefixes, ["n", "l", "t"]).withColumn("l", F.least("la", "lb"))
+    both = attached(pairs, prefixes, ["n", "l", "t"], heavy).withColumn("l", F.least("la", "lb"))
     return both.where(F.size(F.array_intersect("ta", "tb")) >= least_matches("na", "nb", "l", least)).select("a", "b")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, least: int, heavy: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     common = F.size(F.array_intersect("tokensa", "tokensb"))
-    return attached(pairs, sets, ["n", "tokens"]).where(100 * common >= least * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return attached(pairs, sets, ["n", "tokens"], heavy).where(100 * common >= least * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def needed(x: str, y: str, least: int) -> Column:
@@ -328,7 +328,7 @@ def alike(lists: DataFrame) -> DataFrame:
     return named.groupBy(F.col("first").alias("token"), "id", "n", "l", "s", "middle").agg(F.min("at").alias("at"))
 
 
-def across(named: DataFrame, least: int) -> DataFrame:
+def across(named: DataFrame, least: int, heavy: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different components ``c`` whose positions in a list allow the similarity.
 
     Where two sets share their first token, in the one order, neither has fewer tokens left than they need in common. So
@@ -337,18 +337,18 @@ def across(named: DataFrame, least: int) -> DataFrame:
     """
     small = named.where(F.col("at") + needed("n", "n", least) <= F.col("n")).select("token", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "s", "c", "at")])
     large = named.where(100 * (F.col("n") - F.col("at")) >= least * F.col("n")).select("token", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "s", "c", "at")])
-    met = split_join(large, small, "token", "idb", named).where(
+    met = split_join(large, small, "token", "idb", heavy).where(
         ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ida") < F.col("idb"))) & (F.col("ca") != F.col("cb"))
         & possible("{}a", "{}b", least) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= needed("na", "nb", least))
     )
     return met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
 
 
-def around_pivots(named: DataFrame, step: int, least: int) -> DataFrame:
+def around_pivots(named: DataFrame, step: int, least: int, heavy: DataFrame) -> DataFrame:
     """Pairs (a, b) of each list's sets with the list's pivot: the most central set at first, later any of its components'."""
     rank = -F.col("middle") if step == 0 else F.xxhash64(F.lit(step), "c").cast("double")
     pivots = named.groupBy("token").agg(F.min(F.struct(rank.alias("h"), "id", "n", "s", "c")).alias("p"))
-    pairs = split_join(named, pivots, "token", "id").where((F.col("c") != F.col("p.c")) & possible("{}", "p.{}", least))
+    pairs = split_join(named, pivots, "token", "id", heavy).where((F.col("c") != F.col("p.c")) & possible("{}", "p.{}", least))
     return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
@@ -359,17 +359,18 @@ def link(lists: DataFrame, sets: DataFrame, least: int, rounds: int = 1) -> Data
     """
     prefixes = cut(lists.groupBy("id", "n", "l").agg(F.collect_list("token").alias("t")))
     named = cut(alike(lists).withColumn("c", F.col("id")))
-    links = None
+    long, links = heavy_keys(named, "token"), None  # lists only get shorter
     for step in range(rounds + 1):
         if links is not None:
             now = components(links)
             named = named.drop("c").join(now, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
             named = cut(named)
-            named = cut(split_join(named, lists_of_several(named), "token", "id"))
+            named = cut(split_join(named, lists_of_several(named), "token", "id", long))
             if named.isEmpty():
                 break
-        pairs = cut(around_pivots(named, step, least) if step < rounds else across(named, least))
-        found = cut(verify(cut(matching(pairs, prefixes, least)), sets, least))
+        pairs = cut(around_pivots(named, step, least, long) if step < rounds else across(named, least, long))
+        heavy = heavy_keys(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id")
+        found = cut(verify(matching(pairs, prefixes, least, heavy), sets, least, heavy))
         links = found if links is None else cut(links.union(found))
     return links
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, running, split_join, words
+from millrace.llm.common import cut, heavy_keys, running, split_join, words
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -83,8 +83,8 @@ def by_source(rows: DataFrame, table: DataFrame, source_col: str, by: str, count
         return rows.join(F.broadcast(table), F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).drop("__source")
     key = F.struct(F.coalesce("__source", F.lit("")).alias("s"), F.col("__source").isNull().alias("n"))
     own = F.struct(F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("s"), F.col(f"`{source_col}`").isNull().alias("n"))
-    counted = counted.select(F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n")).alias("__key"))
-    return split_join(rows.withColumn("__key", own), table.select(key.alias("__key"), *[c for c in table.columns if c != "__source"]), "__key", by, counted).drop("__key")
+    heavy = heavy_keys(counted.select(F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n")).alias("__key")), "__key")
+    return split_join(rows.withColumn("__key", own), table.select(key.alias("__key"), *[c for c in table.columns if c != "__source"]), "__key", by, heavy).drop("__key")
 
 
 def mix_documents(
