@@ -36,29 +36,25 @@ def gap_sessions(df: DataFrame, keys: list[str], order: list[str], seconds: Colu
     with a large share of all rows is split by ``bucket``, an expression that never falls along ``order``: borders then
     come from one line per bucket.
     """
-    bucket = F.lit(0) if bucket is None else bucket
-    rows = df.withColumns({"__seconds": seconds, "__ends": F.coalesce(F.lit(False) if ends is None else ends, F.lit(False)), "__bucket": bucket})
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("__bucket")
-    last = rows.groupBy(*keys, "__bucket").agg(F.max_by(F.struct("__seconds", "__ends"), F.struct(*order)).alias("__tail"))
-    heads = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), F.lag("__tail").over(across).alias("__before"))
-    on = F.col("__bucket") == F.col("__b")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = rows.join(heads, on)
-    previous = F.coalesce(F.lag(F.struct("__seconds", "__ends")).over(inside), F.col("__before"))
-    begins = previous.isNotNull() & ((F.col("__seconds") - previous["__seconds"] > gap) | previous["__ends"])
-    flagged = joined.withColumn("__begins", F.coalesce(begins, F.lit(False)).cast("long")).drop("__before")
+    rows = df.withColumns({
+        "__key": F.struct(*keys), "__bucket": F.lit(0) if bucket is None else bucket,  # a record of keys is equal to another with nulls in the same places
+        "__at": F.struct(seconds.alias("s"), F.coalesce(F.lit(False) if ends is None else ends, F.lit(False)).alias("e")),
+    })
+
+    def begins(before: Column, now: Column) -> Column:
+        return F.coalesce(before.isNotNull() & ((now["s"] - before["s"] > gap) | before["e"]), F.lit(False)).cast("long")
+
+    inside = Window.partitionBy("__key", "__bucket").orderBy(*order)
+    across = Window.partitionBy("__key").orderBy("__bucket")
+    flagged = rows.withColumn("__begins", begins(F.lag("__at").over(inside), F.col("__at")))
     local = flagged.withColumn("__local", F.sum("__begins").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = flagged.groupBy(*keys, "__bucket").agg(F.sum("__begins").alias("__total"))
-    shift = totals.select(
-        *[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__sb"),
-        F.coalesce(F.sum("__total").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"),
-    )
-    on = F.col("__bucket") == F.col("__sb")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__s{i}"))
-    return local.join(shift, on).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__local") + F.col("__shift")).alias(name))
+    # A bucket's first row begins a session by what the bucket before it ends in; buckets then add up.
+    place = F.struct(*order)
+    each = local.groupBy("__key", "__bucket").agg(F.min_by("__at", place).alias("__head"), F.max_by("__at", place).alias("__tail"), F.max("__local").alias("__n"))
+    opened = each.withColumn("__opens", begins(F.lag("__tail").over(across), F.col("__head")))
+    so_far = F.coalesce(F.sum(F.col("__n") + F.col("__opens")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = opened.select("__key", "__bucket", (so_far + F.col("__opens")).alias("__shift"))
+    return local.join(shift, ["__key", "__bucket"]).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__local") + F.col("__shift")).alias(name))
 
 
 def span_sessions(df: DataFrame, keys: list[str], order: str, seconds: Column, span: float, name: str = "part") -> DataFrame:
