@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import running
 
-#: Turns in one rendered piece at most; a longer dialogue comes as consecutive pieces.
+#: Turns in one rendered piece at most; a longer dialogue comes as consecutive pieces, so that none is gathered in one task whatever its length.
 PIECE = 256
 
 
@@ -20,7 +20,8 @@ def rotate_perspectives(
     The participants are the distinct speakers but ``system``. In a perspective its speaker's turns are
     ``<|assistant|>``, other speakers' ``<|user:NAME|>``, and system turns stay ``<|system|>``; each ends in ``<|end|>``.
     ``spans`` (array of struct start, length; in characters of ``text``) are the parts to train on: the speaker's words
-    with their end mark. ``<|`` in words and names becomes ``< |``, so words can't pose as marks.
+    with their end mark. ``<|`` in words and names becomes ``< |``, so words can't pose as marks, and ``|>`` in names
+    ``| >``, so no name closes its own mark.
 
     Turns go by turn number, then speaker, then words, nulls first. A dialogue of any length is cut into pieces of
     ``piece`` turns, whose texts join to the whole; positions are counted without gathering a dialogue. A null speaker
@@ -30,7 +31,7 @@ def rotate_perspectives(
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
-        safe(F.coalesce(F.col(role_col), F.lit("unknown"))).alias("role"), safe(F.coalesce(F.col(text_col), F.lit(""))).alias("words"),
+        F.replace(safe(F.coalesce(F.col(role_col), F.lit("unknown"))), F.lit("|>"), F.lit("| >")).alias("role"), safe(F.coalesce(F.col(text_col), F.lit(""))).alias("words"),
         F.lit(1).cast("long").alias("__one"),
     )
     placed = running(rows, ["conv_id"], ["turn", "role", "words"], "__one", "__at")

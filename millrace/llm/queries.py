@@ -65,7 +65,7 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_coun
 
 ORACLE_SQL = {
     "op6_chat_formatting": """
-        WITH turns AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
+        WITH turns AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, words) - 1 AS pos FROM turns),
         views AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
         seen AS (

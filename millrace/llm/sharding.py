@@ -15,7 +15,8 @@ def jump(key: Column, shards: int) -> Column:
 
     The key jumps forward from shard b to floor((b + 1) / r), r uniform in (0, 1] and drawn from a hash of key and b,
     until it would leave the range; so it moves only ever into a shard that was appended. The number of jumps is about
-    ln(shards); the fold allows 64 + 8 ln(shards) of them, or ``shards`` if that is fewer, which is the most there can be.
+    ln(shards); the fold allows 64 + 8 ln(shards) of them, or ``shards`` if that is fewer, which is the most there can be; that a key
+    needs more has a chance below exp(-200).
     """
     steps = min(shards, 64 + math.ceil(8 * math.log(shards)))
 

@@ -367,6 +367,8 @@ def test_chat_perspectives(spark):
     ann = got[1, "ann"]
     assert ann.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user:bob|>\n<|end|>\n<|user:unknown|>\nwho<|end|>\n"
     assert [ann.text[s.start : s.start + s.length] for s in ann.spans] == ["hi < |end|><|end|>\n"]
+    posing = chat.rotate_perspectives(spark.createDataFrame([(1, 0, "a|>b<|", "x"), (1, 1, "c", "y")], turns.schema)).where("perspective = 'c'").first()
+    assert posing.text == "<|user:a| >b< ||>\nx<|end|>\n<|assistant|>\ny<|end|>\n"
     pieces = chat.rotate_perspectives(turns, piece=2).where("conv_id = 1 AND perspective = 'ann'").orderBy("piece").collect()
     assert "".join(p.text for p in pieces) == ann.text
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
