@@ -23,8 +23,10 @@ UNDETERMINED = "und"
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 #: Texts scored by one matrix product.
 ROWS = 64
-#: An n-gram is common in a language if this share of its learned texts have it; this share of the learned texts may be less like their language than a text must be.
-COMMON, TAIL = 0.02, 0.01
+#: An n-gram is common in a language if this share of its learned texts have it. A text is like a language if the share
+#: of common n-grams in it is at least MARGIN times what all but TAIL of the learned texts reach: those of other
+#: languages and gibberish stay far below (README), mixed or noisy texts don't.
+COMMON, TAIL, MARGIN = 0.02, 0.01, 0.75
 
 
 def has_letter(text: str | None) -> bool:
@@ -185,7 +187,7 @@ def train_languages(
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(found, pa.float64())], names=["label", "share"])
 
     reached = learned.mapInArrow(shares, "label string, share double").collect()
-    least = np.array([np.quantile([r["share"] for r in reached if r["label"] == x], TAIL) for x in languages])
+    least = MARGIN * np.array([np.quantile([r["share"] for r in reached if r["label"] == x], TAIL) for x in languages])
     return LanguageModel(languages, *ridge(packed, own, languages, landmarks, penalty), common, least)
 
 
@@ -225,8 +227,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ("d
     A null text, one without letters (empty; numerals, marks) is ``und`` with score 0, and so is every text where there
     is no model. Scores are the best language's regression value taken from -1..1 to 0..1; ties go to the language first
     in code-point order. A score says which language is nearest, and depends on how many there are; a text is like it if
-    among its n-grams' occurrences the share of those common in the language reaches what all but TAIL of the learned
-    texts reach, each measured by the other learned texts. Repeated rows are scored alike. ``keep`` and the text are read, and the text alone reaches Python.
+    among its n-grams' occurrences the share of those common in the language reaches MARGIN times what all but TAIL of
+    the learned texts reach, each measured by the other learned texts. Repeated rows are scored alike. ``keep`` and the text are read, and the text alone reaches Python.
 
     n-grams are hashed to 2 ** BITS bits, so a text of d distinct ones finds about d / 2 ** BITS of its bits taken
     already: 5 % for a page of prose. The kernel of a text that fills most bits tells less: README has the accuracy
