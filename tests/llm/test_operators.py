@@ -245,9 +245,8 @@ def test_language_stage_rejects_the_unlike(spark, langs):
     assert kept[0] >= 0.95 * docs.where(~fold).count() and kept[1] >= 0.9 * short.count() and kept[2] >= 0.9 * new.count()
 
 
-def test_licences(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = licenses.train_licenses(licenses.sample_paragraphs(docs))
+def test_licences(spark, licence_model):
+    docs, model = spark.read.parquet(f"{SF}/documents.parquet"), licence_model
     planted = frame(spark, [(i, "Some words here.\n" + t + "\nand more.", "en", "a") for i, t in enumerate(own[0] for own in licenses.TEMPLATES.values())] + [(900, None, None, "a"), (901, "\n\n", "en", "a")])
     got = {r.doc_id: r for r in licenses.scan_licenses(planted, model).collect() if r.confirmed}
     for i, family in enumerate(licenses.TEMPLATES):
@@ -296,15 +295,14 @@ def test_calibration(spark, licence_model):
     assert ((chance >= licence_model.least) & ~true).sum() <= 0.01 * len(lines) and ((chance >= licence_model.least) & true).sum() >= 0.95 * len(notices)
 
 
-def test_very_long_texts(spark):
-    """Texts of 50 MB: one of many words, one line of one word."""
-    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6_250_000)), lambda i: F.concat(F.lit("w"), (i % 4_000_000 + 1_000_000).cast("string"))), " ")
+def test_very_long_texts(spark, licence_model):
+    """Texts of 11 MB of many words, and of 50 MB in one word."""
+    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_250_000)), lambda i: F.concat(F.lit("w"), (i % 800_000 + 1_000_000).cast("string"))), " ")
     docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("MIT\n"), long, F.lit(" Released under the MIT License.")).alias("text"))
     docs = docs.union(docs.select(F.lit(2).cast("long"), "text")).union(spark.range(1).select(F.lit(3).cast("long"), F.repeat(F.lit("x"), 50_000_000)))
     got = {r.doc_id: r for r in jaccard.join_similar(docs).collect()}
-    assert got[1].n_shingles == got[2].n_shingles > 4_000_000 and (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3) and got[3].n_shingles == 1
-    model = licenses.train_licenses(["some words of a line"] * 5)
-    finds = licenses.scan_licenses(docs.where("doc_id <> 2"), model).collect()
+    assert got[1].n_shingles == got[2].n_shingles > 800_000 and (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3) and got[3].n_shingles == 1
+    finds = licenses.scan_licenses(docs.where("doc_id <> 2"), licence_model).collect()
     assert [(r.doc_id, r.family, r.paragraph) for r in finds if r.confirmed] == [(1, "mit", 1)]
 
 
