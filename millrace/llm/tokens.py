@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of words kept with their ids by one Python worker, and of what a word takes besides its letters and ids.
-REMEMBERED, ENTRY = 40_000_000, 200
+REMEMBERED, ENTRY = 120_000_000, 200
 
 
 def _kinds() -> bytes:
