@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import short_batches
-from millrace.llm.tokens import WordTokenizer, batches, default_tokenizer
+from millrace.llm.tokens import REMEMBERED, WordTokenizer, batches, default_tokenizer
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -71,7 +71,7 @@ def pack(waiting: dict[int, list], window: int, left: int) -> Iterator[list]:
 
 def pack_documents(
     docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    waiting: int = WAITING,
+    waiting: int = WAITING, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and its ids (little-endian uint32).
 
@@ -79,14 +79,15 @@ def pack_documents(
     and the remainder is one piece. Each task packs the remainders of its rows by minimum bin slack: whenever ``waiting``
     of them wait, windows are filled, longest piece first, until half are left, and all at the task's end. So nothing is
     shuffled and memory is bounded; a window stays unfilled only where no choice of the waiting pieces fills it, mostly
-    the last ones of a task. A null or empty text is ``end_id`` only, a null id is kept, repeated rows are documents of
+    the last ones of a task. ``remembered`` bounds the bytes of words that a task keeps with their ids; fewer are slower.
+    A null or empty text is ``end_id`` only, a null id is kept, repeated rows are documents of
     their own, an empty table gives no rows, and other columns are not read.
     """
     path = tokenizer or default_tokenizer()
     short_batches(docs.sparkSession)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordTokenizer(path), int(end_id).to_bytes(4, "little")
+        encoder, end = WordTokenizer(path, remembered), int(end_id).to_bytes(4, "little")
         pool: dict[int, list] = {}
         held, sequence, out = 0, TaskContext.get().partitionId() << 33, []
 
