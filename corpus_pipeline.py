@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from millrace.llm import jaccard, language, mixing, packing
 from millrace.llm.common import shared_folder, without
 
+#: Bytes of words that a packing task keeps.
+WORDS = 40_000_000
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a determined language stay; texts that are null, without letters or unlike every language go.
@@ -38,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in sequences and their token ids; a null text is its end mark, a null id is kept."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=WORDS)  # stages share an executor's memory
 
 
 STAGES = [
