@@ -99,12 +99,14 @@ TOGETHER, MOST_SPLIT = 2000, 100_000
 
 
 def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key, __parts) of the keys with more than TOGETHER rows, the MOST_SPLIT largest of them, in parts of TOGETHER rows.
+    """(key, __parts) of the keys with more than TOGETHER rows, in parts of TOGETHER rows.
 
-    A key left out has less than one in MOST_SPLIT of all rows. The table is small enough to be broadcast.
+    A key with at most one in MOST_SPLIT of all these keys' rows is left out, so there are fewer than MOST_SPLIT: a table
+    small enough to be broadcast, found without an order of all keys.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > TOGETHER)
-    return cut(sizes.orderBy(F.desc("__n"), key).limit(MOST_SPLIT).select(key, F.ceil(F.col("__n") / TOGETHER).cast("int").alias("__parts")))
+    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > TOGETHER))
+    least = (sizes.agg(F.sum("__n")).first()[0] or 0) / MOST_SPLIT
+    return sizes.where(F.col("__n") > least).select(key, F.ceil(F.col("__n") / TOGETHER).cast("int").alias("__parts"))
 
 
 def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, heavy: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding
+from millrace.llm import chat, codes, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,37 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding, op12_vector_codes)}
+
+#: Rounds of op12_vector_codes as SQL: each takes the codebooks of the one before.
+ROUND = """
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, label, p, v, c, d FROM (
+                SELECT x.vec_id, x.label, x.p, x.v, b.c, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+                    row_number() OVER (PARTITION BY x.vec_id, x.p ORDER BY d, b.c) AS r
+                FROM pieces x JOIN b{k} b ON x.p = b.p) WHERE r = 1),"""
+NEXT = """
+        m{n} AS (
+            SELECT p, c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+                SELECT p, c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{k}, unnest(range(1, len(v) + 1)) t(i) GROUP BY p, c, i) GROUP BY p, c),
+        b{n} AS MATERIALIZED (SELECT b.p, b.c, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{n} m ON b.p = m.p AND b.c = m.c),"""
 
 ORACLE_SQL = {
+    "op12_vector_codes": """
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pieces AS MATERIALIZED (SELECT vec_id, label, p, w[p * (len(w) // 8) + 1 : (p + 1) * (len(w) // 8)] AS v FROM kept, unnest(range(8)) t(p)),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, v FROM pieces WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),"""
+    + "".join(ROUND.format(k=k) + NEXT.format(k=k, n=k + 1) for k in range(6)) + ROUND.format(k=6)
+    + """
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) AS h FROM b6),
+        found AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', c), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM found, books""",
     "op6_chat_formatting": """
         WITH turns AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, words) - 1 AS pos FROM turns),
