@@ -159,16 +159,20 @@ def filter_maps(ids: DataFrame) -> DataFrame:
     return places.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
 
 
-def without(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``rows`` but those whose id is in ``gone`` (id). Only rows that a filter of fixed size lets through are shuffled; rows with a null id stay."""
-    gone = cut(gone.where("id IS NOT NULL").distinct())
-    maps = cut(filter_maps(gone).withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"}))
+def marked(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``__hit``: true where the id is in ``ids`` (id) or shares its place in a filter of fixed size with one that is; false for a null id."""
+    maps = cut(filter_maps(ids).withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"}))
     place = filter_place(F.col(f"`{id_col}`"))
-    marked = rows.join(F.broadcast(maps), F.floor(place / 32768) + 1 == F.col("__bucket"), "left")
+    joined = rows.join(F.broadcast(maps), F.floor(place / 32768) + 1 == F.col("__bucket"), "left")
     at = (place % 32768).cast("int")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
-    names = [F.col(f"`{c}`") for c in rows.columns]
-    maybe = marked.where(hit).select(*names)
-    kept = maybe.join(gone.select(F.col("id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    return marked.where(~hit).select(*names).unionByName(kept)
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias("__hit"))
+
+
+def without(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose id is in ``gone`` (id). Only rows that a filter of fixed size lets through are shuffled; rows with a null id stay."""
+    gone = cut(gone.where("id IS NOT NULL").distinct())
+    judged = marked(rows, id_col, gone)
+    kept = judged.where("__hit").drop("__hit").join(gone.select(F.col("id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return judged.where("NOT __hit").drop("__hit").unionByName(kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, codes, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding
+from millrace.llm import chat, codes, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding, op12_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding, op11_substring_dedup, op12_vector_codes)}
 
 #: Rounds of op12_vector_codes as SQL: each takes the codebooks of the one before.
 ROUND = """
@@ -81,6 +85,16 @@ NEXT = """
         b{n} AS MATERIALIZED (SELECT b.p, b.c, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{n} m ON b.p = m.p AND b.c = m.c),"""
 
 ORACLE_SQL = {
+    "op11_substring_dedup": """
+        WITH texts AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        windows AS MATERIALIZED (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM texts, unnest(range(1, len(w) - 48)) t(s)),
+        first AS (SELECT h, min(doc_id) AS f FROM windows GROUP BY h),
+        gone AS MATERIALIZED (SELECT DISTINCT doc_id, s + k AS p FROM windows JOIN first USING (h), unnest(range(50)) t(k) WHERE doc_id > f),
+        kept AS (
+            SELECT t.doc_id, count(*) AS n, string_agg(t.word, ' ' ORDER BY t.p) AS rest
+            FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts) t ANTI JOIN gone g ON t.doc_id = g.doc_id AND t.p = g.p GROUP BY t.doc_id)
+        SELECT x.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+        FROM texts x LEFT JOIN kept k ON x.doc_id = k.doc_id""",
     "op12_vector_codes": """
         WITH kept AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
