@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, codes, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding, substrings
+from millrace.llm import alignment, chat, codes, jaccard, language, licenses, mixing, neardup, neighbours, packing, separators, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding, op11_substring_dedup, op12_vector_codes)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_token_counts, op4_language_id, op5_ngram_jaccard_join, op6_chat_formatting, op7_embedding_near_dedup, op8_nearest_neighbours, op9_mixing, op10_sharding, op11_substring_dedup, op12_vector_codes, op13_token_alignment)}
 
 #: Rounds of op12_vector_codes as SQL: each takes the codebooks of the one before.
 ROUND = """
