@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import urls
+from millrace.functions import urls, variants
 
 # The roles of fields, in order, and the names that tell them.
 ROLES = {
@@ -29,59 +25,20 @@ GOALS = {
     "me": ["profile", "me", "个人信息", "myinfo", "账号"], "detail": ["detail", "详情", "video", "article", "view"],
     "comments": ["comments", "评论", "回复", "reply"], "history": ["history", "历史", "记录"], "favorite": ["favorite", "收藏", "bookmark", "collect"],
 }
-#: Levels of records searched for a list, and levels of names taken from its first member.
-LEVELS = 4
-BODY = "item_path string, item_count long, fields array<string>, kinds map<string,string>"
-
-
-def longest_list(value: object) -> tuple[str, list] | None:
-    """Path and members of the longest list of two or more with a record among them, not inside a list; the later of equal ones."""
-    best, found = None, [("", value, 0)]
-    while found:
-        path, x, depth = found.pop()
-        if isinstance(x, list):
-            if len(x) >= 2 and any(isinstance(e, dict) for e in x) and (best is None or len(x) > len(best[1])):
-                best = (path, x)
-        elif isinstance(x, dict) and depth < LEVELS:  # names in ascending order go on the stack, so the last comes off first
-            found += [(f"{path}.{k}" if path else k, x[k], depth + 1) for k in sorted(x)]
-    return best
-
-
-def field_names(record: object, prefix: str = "", levels: int = LEVELS) -> list[str]:
-    """Dotted names of a record's fields, each before those inside it."""
-    out = []
-    if isinstance(record, dict) and levels:
-        for k in sorted(record):
-            out.append(prefix + k)
-            out += field_names(record[k], f"{prefix}{k}.", levels - 1)
-    return out
-
-
-def kind_of(value: object) -> str:
-    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "array" if isinstance(value, list) else "object" if isinstance(value, dict) else "string"
 
 
 def read_bodies(df: DataFrame, body: str) -> DataFrame:
-    """``df`` with ``response`` (item_path, item_count, fields, kinds) of the JSON in ``body``; null if it has no list of records."""
-    names = df.columns
-    at = names.index(body)
-    kind = pa.struct([("item_path", pa.string()), ("item_count", pa.int64()), ("fields", pa.list_(pa.string())), ("kinds", pa.map_(pa.string(), pa.string()))])
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            out = []
-            for text in table.column(at).to_pylist():
-                try:
-                    found = longest_list(json.loads(text)) if text else None
-                except ValueError:
-                    found = None
-                first = found[1][0] if found else None
-                kinds = [(k, kind_of(v)) for k, v in sorted(first.items())] if isinstance(first, dict) else []
-                out.append({"item_path": found[0], "item_count": len(found[1]), "fields": field_names(first), "kinds": kinds} if found else None)
-            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(out, kind)], names=[*names, "response"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"response struct<{BODY.replace(' string', ':string').replace(' long', ':long').replace(' array', ':array').replace(' map', ':map')}>"]))
+    """``df`` with ``response`` (item_path, item_count, fields, kinds) of the JSON in ``body``; null if it has no list of records.
+
+    What counts is the longest list; ``fields`` and ``kinds`` are those of its first member. A body with a name twice in a
+    record is no JSON for Spark, and none here.
+    """
+    found = df.withColumn("__list", variants.longest_list(variants.variant(F.col(f"`{body}`"))))
+    first = F.get("__list.items", F.lit(0))
+    response = F.struct(
+        F.col("__list.path").alias("item_path"), F.size("__list.items").cast("long").alias("item_count"), variants.field_names(first).alias("fields"), variants.field_kinds(first).alias("kinds"),
+    )
+    return found.withColumn("response", F.when(F.col("__list").isNotNull(), response)).drop("__list")
 
 
 def roles(fields: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import numbers, text, urls
+from millrace.functions import numbers, text, urls, variants
 from millrace.functions.values import Values
 from millrace.operators import endpoints, groups, joins, order, pages, sets, steps, windows
 from millrace.plans import stored
@@ -538,6 +538,39 @@ def endpoint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("rank", "name", "pattern", "score", "confidence", "strategy", F.array_join("columns", ",").alias("columns"), "template")
 
 
+@query("""
+    WITH fields AS (SELECT event_type, key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE 'DOUBLE' END AS kind
+        FROM events, unnest(json_keys(props)) k(key)),
+    told AS (SELECT event_type, string_agg(key || ': ' || kind, ', ' ORDER BY key) AS inner_part FROM (SELECT DISTINCT event_type, key, kind FROM fields) GROUP BY event_type)
+    SELECT event_type, n, 'OBJECT<' || inner_part || '>' AS props_schema FROM told JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) USING (event_type)""")
+def variant_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = variants.variant(F.col("props"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), variants.merged_schema(props).alias("props_schema"))
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY key) - 1 AS INT) AS pos, key, CAST(json_extract(props, '$.' || key) AS BIGINT) AS value FROM events, unnest(json_keys(props)) k(key)")
+def variant_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("held", variants.variant(F.col("props")))
+    return variants.entry_rows(rows, "held", ["event_id"]).withColumn("value", F.try_variant_get("value", "$", "bigint"))
+
+
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, body): a JSON body for each page, with a field that not all of them have."""
+    page = F.regexp_extract("url", "[?&]page=([0-9]+)", 1)
+    flags = F.struct(F.col("url").startswith("https").alias("secure"))
+    data = F.struct(F.array(F.lit(1), F.lit(2)).alias("list"), F.length("html").alias("size"), flags.alias("flags"))
+    body = F.to_json(F.struct(F.col("page_id").alias("id"), "url", F.when(page != "", page.cast("int")).alias("page"), data.alias("data")))
+    return table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host"), variants.variant(body).alias("body"))
+
+
+@query("""
+    WITH told AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, regexp_matches(url, '[?&]page=[0-9]') AS paged FROM pages)
+    SELECT host, path, kind, count(*) AS n FROM told, (VALUES ('data', 'object'), ('data.flags', 'object'), ('data.flags.secure', 'boolean'), ('data.list', 'array'), ('data.size', 'number'), ('id', 'number'), ('page', 'number'), ('url', 'string')) f(path, kind)
+    WHERE path <> 'page' OR paged GROUP BY ALL""")
+def variant_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.field_profile(page_bodies(spark, sf_dir), "body", ["host"])
+
+
 @query()
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.articles(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("markdown", pages.markdown(F.col("title"), F.col("content")))

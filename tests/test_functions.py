@@ -1,12 +1,16 @@
 """Values, texts, numbers and addresses on one row of mixed kinds, and on addresses with known patterns."""
 
+import json
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import numbers, text, urls
+from millrace.functions import numbers, text, urls, variants
 from millrace.functions.values import Values
+from millrace.operators import endpoints
 
 c = F.col
 
@@ -84,3 +88,43 @@ def test_arithmetic_by_rows(spark, rows):
         assert r.g == (a is not None and x is not None and x == x and a > x) or (x is not None and x != x)
         assert r.d == (None if a is None or not x or x != x else a / x)
         assert r.e == (str(a) if a else b)
+
+
+def test_variants(spark):
+    """Lists, names and kinds of records against plain Python on nested JSON; no Python worker in the plan."""
+    def lists(value, path=(), depth=0):
+        if isinstance(value, list):
+            return [(len(value), path, value)] if len(value) >= 2 and any(isinstance(e, dict) for e in value) else []
+        return [x for k in sorted(value) for x in lists(value[k], (*path, k), depth + 1)] if isinstance(value, dict) and depth < 4 else []
+
+    def names(value, levels=4):
+        return [n for k in sorted(value) for n in (k, *(f"{k}.{m}" for m in names(value[k], levels - 1)))] if isinstance(value, dict) and levels else []
+
+    rng = random.Random(3)
+
+    def some(depth):
+        kind = rng.choice("oooaaansbx") if depth else "o"
+        if kind == "o":
+            return {rng.choice(["list", "a", "b.c", "Title", "url", "é"]): some(depth - 1) for _ in range(rng.randrange(4))}
+        return [some(depth - 1) for _ in range(rng.randrange(4))] if kind == "a" else {"n": rng.choice([1, 2.5, 10**12]), "s": "text", "b": True, "x": None}[kind]
+
+    values = [some(rng.randrange(1, 7)) for _ in range(300)] + [[{"t": 1}, 2], [1, 2], {"p": [{"x": 1}, 0], "q": [{"y": {"z": [1]}}, 0]}, 7]
+    texts = [json.dumps(v) for v in values] + [None, "", "no json", '{"a": 1, "a": 2}', "[" * 2000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, response_body string").withColumn("response", F.lit("clash"))
+    read = endpoints.read_bodies(rows.drop("response"), "response_body")
+    assert "Python" not in read._jdf.queryExecution().toString() and "InArrow" not in read._jdf.queryExecution().toString()
+    got = {r.i: r.response for r in read.collect()}
+    kind = lambda v: {bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}.get(type(v), "string")
+    for i, v in enumerate(values):
+        found = lists(v)
+        if not found:
+            assert got[i] is None
+            continue
+        n, path, items = max(found, key=lambda x: (x[0], x[1]))
+        first = items[0] if isinstance(items[0], dict) else {}
+        assert (got[i].item_path, got[i].item_count) == (".".join(path), n) and got[i].fields == names(first) and got[i].kinds == {k: kind(x) for k, x in first.items()}
+    assert all(got[i] is None for i in range(len(values), len(texts)))
+    held = spark.createDataFrame([(1, '{"a": {"b": 1}, "c": "x"}'), (2, '{"a": 2}'), (3, "[5, 6]"), (4, None), (5, "9")], "i long, t string").select("i", variants.variant(F.col("t")).alias("v"))
+    assert {tuple(r) for r in variants.field_profile(held, "v").collect()} == {("a", "object", 1), ("a.b", "number", 1), ("c", "string", 1), ("a", "number", 1)}
+    assert [(r.i, r.pos, r.key) for r in variants.entry_rows(held, "v", ["i"]).orderBy("i", "pos").collect()] == [(1, 0, "a"), (1, 1, "c"), (2, 0, "a"), (3, 0, None), (3, 1, None)]
+    assert held.where("i <= 2").agg(variants.merged_schema(F.col("v"))).first()[0] == "OBJECT<a: VARIANT, c: STRING>"
