@@ -5,7 +5,8 @@ link is one stretch between neighbouring ends of either side, so all links of a
 
 Multiplicities of linked id pairs, by document, are shuffled by the id of side B as sorted streams, which Spark spills. A
 task reads an id's counts first, takes their maximum, and then streams its postings past them; what they add to each
-document is summed by document.
+document is summed by document. Ids go to a fixed number of ranges, and each range's blocks of documents to as many tasks
+as there are rows for: a frequent id is split, and a document gets a contribution from each range at most.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, parts, shared_folder, short_batches
+from millrace.llm.common import parts, shared_folder, short_batches
 from millrace.llm.tokens import batches
 
 #: A stretch that both sides cut off from the rest: from white space that is one blank or line feed between other
@@ -34,8 +35,9 @@ LEAD = " a"
 REMEMBERED, ENTRY, LONGEST = 150_000_000, 330, 60
 #: Documents and links of a block of postings, at most, but for one document.
 DOCS, LINKS = 2048, 1_000_000
-#: Blocks of one id that one task takes, and blocks whose sums a task holds at once.
-TOGETHER, HELD = 500, 256
+#: Ranges that B's ids are dealt to, whatever the number of tasks, so a document gets as many contributions at most; blocks
+#: that a task takes of a range, about, and blocks whose sums it holds at once.
+RANGES, TOGETHER, HELD = 16, 32, 64
 ROWS = "block long, b int, a array<int>, d array<int>, m array<int>, place int, doc long, n_a long, n_b long, n_groups long, n_links long, groups string"
 SUMS = "block long, d array<int>, best array<long>, total array<long>"
 
@@ -111,10 +113,13 @@ class TokenPairs:
         """An entry for each chunk of a run, given the chunks' sizes in bytes and the run's ids."""
         ends = np.cumsum(sizes)
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        every, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
+        every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs: merged
+        twice = every[1:] == every[:-1]
+        common, every = every[1:][twice], every[np.append(~twice, True)]
+        in_common = lambda x: common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
         links = b[np.searchsorted(ends_b, every)] << 32 | a[np.searchsorted(ends_a, every)]
         n, m = len(self.bytes_a), len(self.bytes_b)
-        names = np.concatenate([a + n * np.isin(ends_a, common), 2 * n + b + m * np.isin(ends_b, common)])
+        names = np.concatenate([a + n * in_common(ends_a), 2 * n + b + m * in_common(ends_b)])
         order = np.argsort(np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1]), kind="stable")
         names = self.names[names[order]].tolist()
         at = [np.append(0, np.searchsorted(x, ends, side="right")) for x in (every, ends_a, ends_b, common)]
@@ -202,7 +207,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
 
 
 def contributions(streams: DataFrame) -> DataFrame:
-    """SUMS of streams sorted by b: rows of kind 0 have an id's counts (a, n), those of kind 1 behind them its postings of a block (a, d, m)."""
+    """SUMS of streams sorted by b in each part: rows of kind 0 have an id's counts (a, n), those of kind 1 behind them its postings of a block (a, d, m)."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n = np.empty(0, np.int64), np.empty(0, np.int64)  # of the ids that may go on
@@ -265,7 +270,7 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lowercase hex SHA-256 of groups in their place, which are some five times as long as their text.
 
     Texts are encoded once and written to the shared folder as blocks of postings. Per id of B a task holds its counts,
-    which the vocabulary of A bounds; ids with postings in many blocks are split over tasks.
+    which the vocabulary of A bounds.
     """
     spark = docs.sparkSession
     one, two = default_pair() if path_a is None or path_b is None else (None, None)
@@ -275,13 +280,13 @@ def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = rows.where("b IS NOT NULL").select("block", "b", "a", "d", "m")
     pairs = postings.select("b", F.explode(F.arrays_zip("a", "m")).alias("x")).groupBy("b", "x.a").agg(F.sum("x.m").alias("n"))
     counts = pairs.groupBy("b").agg(F.collect_list(F.struct("a", "n")).alias("x")).select("b", F.col("x.a").alias("a"), F.col("x.n").alias("n"))
-    several = cut(postings.groupBy("b").count().where(F.col("count") > TOGETHER).select("b", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts")))
-    several = F.broadcast(several)  # fewer rows than B has ids
-    part = F.coalesce(F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"), F.lit(0))
-    dealt = postings.join(several, "b", "left").select("b", F.lit(1).alias("kind"), "block", "a", "d", "m", F.lit(None).cast("array<long>").alias("n"), part.alias("part"))
+    blocks = rows.where("b IS NULL").agg(F.countDistinct("block")).first()[0]
+    salts = -(-blocks // TOGETHER)
+    lot = F.pmod(F.xxhash64("b"), F.lit(RANGES)).cast("int")
     none = F.lit(None).cast("array<int>")
-    copied = counts.join(several, "b", "left").select("b", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), "a", none.alias("d"), none.alias("m"), "n", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    streams = dealt.unionByName(copied).repartition(parts(spark), "b", "part").sortWithinPartitions("b", "part", "kind")
+    dealt = postings.select("b", F.lit(1).alias("kind"), "block", "a", "d", "m", F.lit(None).cast("array<long>").alias("n"), lot.alias("lot"), F.pmod(F.xxhash64("block"), F.lit(max(1, salts))).cast("int").alias("salt"))
+    copied = counts.select("b", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), "a", none.alias("d"), none.alias("m"), "n", lot.alias("lot"), F.explode(F.sequence(F.lit(0), F.lit(max(1, salts) - 1))).alias("salt"))
+    streams = dealt.unionByName(copied).repartition(parts(spark), "lot", "salt").sortWithinPartitions("lot", "salt", "b", "kind")
     sums = contributions(streams).select("block", F.explode(F.arrays_zip("d", "best", "total")).alias("x")).groupBy("block", F.col("x.d").alias("place")).agg(F.sum("x.best").alias("n_best"), F.sum("x.total").alias("count_sum"))
     facts = rows.where("b IS NULL").select("block", "place", "doc", "n_a", "n_b", "n_groups", "n_links", "groups")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

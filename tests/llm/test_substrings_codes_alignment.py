@@ -201,7 +201,7 @@ ODD_TEXTS = [
 
 def test_alignment_against_brute_force(spark, monkeypatch):
     """Small blocks, ids split over tasks, sums flushed early, chunks forgotten."""
-    for name, value in (("DOCS", 16), ("TOGETHER", 2), ("HELD", 2)):
+    for name, value in (("DOCS", 16), ("RANGES", 3), ("TOGETHER", 2), ("HELD", 2)):
         monkeypatch.setattr(alignment, name, value)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([*enumerate(ODD_TEXTS, 90_000), (None, "null id"), (7, "twice"), (7, "twice"), (7, None), (8, "")], "doc_id long, text string")
