@@ -571,6 +571,24 @@ def variant_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.field_profile(page_bodies(spark, sf_dir), "body", ["host"])
 
 
+def archived(spark: SparkSession, sf_dir: str, split: int = 1 << 20) -> DataFrame:
+    """The request log, written by Spark as an archive of JSON lines to the shared folder, and read again by ranges."""
+    path = order.shared_path(spark)
+    request_log(spark, sf_dir).withColumn("request_id", F.col("page_id")).drop("page_id").write.json(path)
+    return read.archive(spark, path, split)
+
+
+@query("""
+    SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS n, sum(CAST(page_id % 5 = 0 AS INT)) AS images, CAST(sum(strlen(
+        '{"data":{"list":[' || array_to_string(list_transform(range(3), lambda i: '{"title":"title ' || i || '","link":"' || url || '","likes":' || i || '}'), ',') || ']}}')) AS BIGINT) AS bytes
+    FROM pages WHERE page_id % 7 <> 0 AND contains(url, '.example.') GROUP BY ALL""")
+def archive_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of an archive by host; the conditions on url and status are tested while it is read."""
+    log = archived(spark, sf_dir).where((F.col("status") == 200) & F.col("url").contains(".example."))
+    image = (F.try_element_at("headers", F.lit("content-type")) == "image/png").cast("int")
+    return log.groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"), F.sum(image).alias("images"), F.sum(F.octet_length("response_body")).cast("long").alias("bytes"))
+
+
 @query()
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.articles(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("markdown", pages.markdown(F.col("title"), F.col("content")))

@@ -1,4 +1,4 @@
-"""Tables, JSON lines, request logs."""
+"""Tables, JSON lines, request logs and archives of them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.urls import glob_pattern
 from millrace.operators.steps import select_path
+from millrace.sources.archive import REQUEST, SPLIT, RequestArchive
 
-#: Requests as a capture of a page's network traffic has them.
-REQUEST = "url string, method string, headers map<string,string>, body string, status int, response_body string"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +32,19 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).json(path)
 
 
+def archive(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Requests in archives, JSON lines or HAR, with their ``file`` and ``offset``, in ranges of ``split`` bytes.
+
+    ``path`` is a file or folder in a store that pyarrow opens, shared by all executors. Conditions on url, method, status
+    and offset are tested while reading: the session's setting for that is switched on, unless it is set.
+    """
+    setting = "spark.sql.python.filterPushdown.enabled"
+    if spark.conf.get(setting, "false") != "true":
+        spark.conf.set(setting, "true")
+    spark.dataSource.register(RequestArchive)
+    return spark.read.format(RequestArchive.name()).option("split", split).load(path)
+
+
 def matching(log: DataFrame, glob: str) -> DataFrame:
     """The requests whose address a glob matches anywhere."""
     return log.where(F.col("url").rlike(glob_pattern(glob)))
