@@ -131,7 +131,9 @@ def download_status(df: DataFrame, url: str = "url", kind: str = "media") -> Dat
 
 
 def image_names(df: DataFrame, images: str, key: str) -> DataFrame:
-    """(key, position, url, file): the distinct images of each row, named ``img_001.ext`` in their order."""
+    """(key, position, url, file): the distinct images of each row, named ``img_001.ext`` in their order; the ending is that of the address, jpg without one."""
     rows = df.select(F.col(f"`{key}`"), F.posexplode(F.array_distinct(F.col(f"`{images}`"))).alias("position", "url"))
-    ending = F.coalesce(F.nullif(F.regexp_extract("url", r"\.([A-Za-z0-9]{2,4})(?:[?#]|$)", 1), F.lit("")), F.lit("jpg"))
+    plain = F.regexp_extract("url", r"\.([^.?#&]*)[^.]*$", 1)  # behind the last full stop, to a mark of parameters
+    told = F.when(F.col("url").contains("wx_fmt="), F.regexp_extract("url", "wx_fmt=([^&? ]*)", 1)).when(plain.rlike(r"^[\p{L}\p{N}]{1,5}$"), plain)
+    ending = F.coalesce(F.nullif(told, F.lit("")), F.lit("jpg"))
     return rows.withColumn("file", F.format_string("img_%03d.%s", F.col("position") + 1, ending))

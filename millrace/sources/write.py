@@ -6,14 +6,13 @@ import csv
 import io
 import json
 import warnings
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.steps import project
+from millrace.sources.sink import write_markdown
 
 FORMATS = {"table": "table", "json": "json", "yaml": "yaml", "csv": "csv", "md": "markdown", "markdown": "markdown"}
 
@@ -25,31 +24,26 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Files of one kind, a part from each task: parquet, orc, json, csv (with a header), markdown or text."""
+    """Files of one kind, a part from each task: parquet, orc, json, csv (with a header), markdown or text.
+
+    Markdown files are one table together, with one header in the first, and are there all or not at all (``sink``).
+    """
     if kind == "csv":
         flat(df).write.option("header", "true").option("escape", '"').csv(path)
     elif kind in ("markdown", "md"):
-        markdown_rows(df).write.text(path)
+        head, lines = markdown_rows(df)
+        write_markdown(lines, head, path)
     else:
         df.write.format(kind).save(path)
 
 
-def markdown_rows(df: DataFrame) -> DataFrame:
-    """Each row as a line of a Markdown table, the pipe escaped; before the rows of a partition its header and rule."""
-    escape = lambda c: F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+def markdown_rows(df: DataFrame) -> tuple[str, DataFrame]:
+    """The header of a Markdown table with its rule, and each row as a line, the pipe escaped."""
+    escape = lambda c: F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     shown = flat(df)
     lines = shown.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[escape(F.col(f"`{c}`")) for c in shown.columns]), F.lit(" |")).alias("value"))
     head = ["| " + " | ".join(c.replace("|", "\\|") for c in df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun = False
-        for table in tables:
-            if table.num_rows and not begun:
-                begun = True
-                yield pa.RecordBatch.from_arrays([pa.array(head)], schema=table.schema)
-            yield table
-
-    return lines.mapInArrow(run, "value string")
+    return "\n".join(head) + "\n", lines
 
 
 def format_of(name: str) -> str:

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import endpoints
-from millrace.sources import read, write
+from millrace.operators import steps
+from millrace.sources import read, sink, write
 
 
 def requests(n):
@@ -87,3 +88,73 @@ def test_archive_of_a_long_record(spark, tmp_path):
     (tmp_path / "one.jsonl").write_text("\n".join(json.dumps(r) for r in ({"url": "a"}, long, {"url": "z"})) + "\n")
     rows = read.archive(spark, str(tmp_path / "one.jsonl"), 100_000).orderBy("offset").collect()
     assert [(r.url, len(r.response_body or "")) for r in rows] == [("a", 0), ("u", 3_000_000), ("z", 0)]
+
+
+def there(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+
+def killed(partition):
+    def run(tables):
+        import os
+        import signal
+
+        from pyspark import TaskContext
+
+        for table in tables:
+            if TaskContext.get().partitionId() == partition:
+                os.kill(os.getpid(), signal.SIGKILL)
+            yield table
+    return run
+
+
+def test_markdown_files_are_one_table(spark, tmp_path):
+    df = spark.range(0, 100, 1, 5).select("id", F.concat(F.lit("a|"), "id").alias("text"), F.array("id").alias("list"))
+    path = tmp_path / "table"
+    write.write(df.union(df.limit(0)), str(path), "markdown")
+    names = [f["name"] for f in sink.manifest(str(path))["commits"][0]["files"]]
+    assert there(path) == sorted([*names, sink.MANIFEST]) and len(names) == 6
+    text = "".join((path / n).read_text() for n in names)
+    assert text.split("\n") == ["| id | text | list |", "| --- | --- | --- |", *(f"| {i} | a\\|{i} | [{i}] |" for i in range(100)), ""]
+    head, lines = write.markdown_rows(df.limit(1))
+    sink.write_markdown(lines, head, str(path), overwrite=False)
+    commits = sink.manifest(str(path))["commits"]
+    assert len(commits) == 2 and [f["rows"] for f in commits[1]["files"]] == [1]
+    assert "".join((path / f["name"]).read_text() for c in commits for f in c["files"]).count("| --- | --- | --- |") == 1
+    before = there(path)
+    broken = df.mapInArrow(killed(3), df.schema)  # the worker of one task dies when others have written
+    with pytest.raises(Exception):
+        write.write(broken, str(path), "markdown")
+    assert there(path) == before and sink.manifest(str(path))["commits"] == commits
+    write.write(df.where("id < 0"), str(path), "markdown")
+    assert there(path) == [sink.MANIFEST, "part-00000-head.md"]
+    with pytest.raises(Exception):
+        write.write(broken, str(tmp_path / "new"), "markdown")
+    assert not (tmp_path / "new").exists() or there(tmp_path / "new") == []
+
+
+def test_articles_and_their_status(spark, tmp_path):
+    rows = [(1, "A/b: c", "text é", "Ann", ["u", "v", "u"]), (2, "A/b: c", "x" * 2500, None, None), (3, None, "y", "Bo", []), (4, "none", "", "Cy", ["w"]), (5, "nil", None, None, None), (6, "..", "dots", None, None)]
+    df = spark.createDataFrame(rows, "k long, title string, content string, author string, pictures array<string>").repartition(3)
+    got = sink.save_articles(df, str(tmp_path / "out"), author="author", images="pictures", key="k")
+    told = {r.path or r.title: (r.title, r.author, r.status, r.size, r.images) for r in got.collect()}
+    assert told == {
+        "A_b_ c-1/article.md": ("A/b: c", "Ann", "ok", "7 bytes", 3), "A_b_ c-2/article.md": ("A/b: c", "-", "ok", "2.5 KB", 0), "article-3/article.md": ("article", "Bo", "ok", "1 bytes", 0),
+        "none": ("none", "-", "failed", "No content to save", None), "nil": ("nil", "-", "failed", "No content to save", None), "__-6/article.md": ("..", "-", "ok", "4 bytes", 0),
+    }
+    for r in got.where("status = 'ok'").collect():
+        content = (tmp_path / "out" / r.part / r.path).read_text()
+        assert content == next(c for k, _, c, _, _ in rows if r.path.split("/")[0].endswith(f"-{k}"))
+    before = there(tmp_path / "out")
+    broken = df.mapInArrow(killed(1), df.schema)
+    with pytest.raises(Exception):
+        sink.save_articles(broken, str(tmp_path / "out"), key="k")
+    assert there(tmp_path / "out") == before
+    assert sink.save_articles(df.limit(1), str(tmp_path / "out"), key="k").count() == 1 and len(there(tmp_path / "out")) == 3
+    assert sink.save_articles(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_image_names(spark):
+    urls = ["https://a.example/x.png", "https://a.example/x.png", "//b.example/y?wx_fmt=gif&a=1", "https://c.example/z.tar.webp#top", "https://d.example/plain", "https://e.example/p.JPEG?x=1.5", "https://f.example/q.toolong"]
+    df = spark.createDataFrame([(1, urls)], "k int, images array<string>")
+    assert [r.file for r in steps.image_names(df, "images", "k").orderBy("position").collect()] == ["img_001.png", "img_002.gif", "img_003.webp", "img_004.jpg", "img_005.5", "img_006.jpg"]
