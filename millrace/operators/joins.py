@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import materialized
+
 
 def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFrame:
     """Each row with its line of ``table``; rows without one go. Spark broadcasts the table only if its size allows that."""
@@ -53,12 +55,21 @@ def latest_before(rows: DataFrame, marks: DataFrame, time: str, mark_time: str,
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("__found")[v].alias(v) for v in values])
 
 
-def with_headings(rows: DataFrame, headings: DataFrame, time: str, text: str, heading_time: str, title: str) -> DataFrame:
-    """(time, kind, text): the rows with a heading before the first row that isn't earlier, headings after the last row left out."""
-    end = rows.agg(F.max(time).alias("__end"))
-    own = rows.select(F.col(time).alias("time"), F.lit(1).alias("kind"), F.col(text).alias("text"))
-    marks = headings.join(F.broadcast(end), F.col(heading_time) <= F.col("__end"))  # one row
-    return own.unionByName(marks.select(F.col(heading_time).alias("time"), F.lit(0).alias("kind"), F.concat(F.lit("[Chapter] "), title).alias("text")))
+def with_headings(rows: DataFrame, headings: DataFrame, time: str, text: str, heading_time: str, title: str, by: list[str] = ()) -> DataFrame:
+    """(``by``, time, kind, text): the rows of each group with a heading before the first row that isn't earlier; those after its last row are left out.
+
+    In order of time and kind, headings (0) come before rows (1). The last times, a row for each group, are written
+    first, so that adaptive execution can split a group of many headings. Null groups are a group.
+    """
+    by = list(by)
+    own = rows.select(*by, F.col(time).alias("time"), F.lit(1).alias("kind"), F.col(text).alias("text"))
+    marks = headings.select(*by, F.col(heading_time).alias("time"), F.lit(0).alias("kind"), F.concat(F.lit("[Chapter] "), title).alias("text"))
+    end = rows.groupBy(*by).agg(F.max(time).alias("__end")).select(*[F.col(b).alias(f"__{b}") for b in by], "__end")
+    on = F.col("time") <= F.col("__end")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    shown = marks.join(materialized(end) if by else F.broadcast(end), on).select(*own.columns)  # else one row
+    return own.unionByName(shown)
 
 
 def at_least_value(rows: DataFrame, column: str, condition: Column | None = None) -> DataFrame:

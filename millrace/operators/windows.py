@@ -66,7 +66,11 @@ def span_sessions(df: DataFrame, keys: list[str], order: str, seconds: Column, s
     """
     names = df.columns
     sorted_rows = df.withColumns({"__seconds": seconds.cast("double"), "__key": F.xxhash64(*keys)})
-    sorted_rows = sorted_rows.withColumn("__same", F.to_json(F.struct(*keys))).repartition(F.col("__key")).sortWithinPartitions("__same", order)
+    kinds = dict(df.dtypes)
+    plain = [F.col(f"`{k}`") + F.lit(0.0) if kinds[k] in ("double", "float") else F.col(f"`{k}`") for k in keys]  # 0.0 is -0.0
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    told = F.to_json(F.struct(*[x.alias(k) for x, k in zip(plain, keys)]), micros)  # as text, in full
+    sorted_rows = sorted_rows.withColumn("__same", told).repartition(F.col("__key")).sortWithinPartitions("__same", order)
     at = len(names)
 
     def walk(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

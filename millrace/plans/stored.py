@@ -8,6 +8,7 @@ the marks' values in it. In a mark, what an expression gives can go on through f
 from __future__ import annotations
 
 import ast
+import os
 import re
 import threading
 import uuid
@@ -18,6 +19,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text
 from millrace.functions.values import Values
@@ -112,6 +114,7 @@ class StoredQuery:
     columns: list[str] = field(default_factory=list)
     description: str = ""
     func: Callable[[SparkSession, dict], DataFrame] | None = None
+    timeout: float | None = None  # seconds, for ``execute``
 
     def bind(self, given: dict) -> dict:
         unknown = set(given) - {a.name for a in self.args}
@@ -140,7 +143,10 @@ def parse(text: str) -> StoredQuery:
         if name not in STEPS and name not in PAGE_STEPS:
             raise StepError(f"step {i}: no step {name}")
         found.append((name, what))
-    return StoredQuery(raw["site"], raw["name"], found, args, raw.get("columns") or [], raw.get("description") or "")
+    timeout = next((raw[k] for k in ("timeout", "timeoutSeconds", "timeout_seconds") if raw.get(k) is not None), None)
+    if timeout is not None and (isinstance(timeout, bool) or not isinstance(timeout, (int, float)) or timeout <= 0):
+        raise StepError(f"a timeout is a number of seconds: {timeout!r}")
+    return StoredQuery(raw["site"], raw["name"], found, args, raw.get("columns") or [], raw.get("description") or "", timeout=timeout)
 
 
 def load(*folders: str) -> dict[tuple[str, str], StoredQuery]:
@@ -167,12 +173,17 @@ class Run:
 
     def __init__(self, spark: SparkSession, tables: Callable[[str], DataFrame], args: dict) -> None:
         self.spark, self.tables, self.args = spark, tables, args
-        self.order: list[tuple[Column, bool]] = []  # expression, whether descending
+        self.order: list[tuple[str, bool]] = []  # column, whether descending
         self.bound: int | None = None  # rows at most, if a limit says so
         self.captured: DataFrame | None = None  # the requests that ``intercept`` has seen
 
     def keys(self) -> list[Column]:
-        return [F.desc_nulls_first(x) if descending else F.asc_nulls_last(x) for x, descending in self.order]
+        return [F.desc_nulls_first(f"`{c}`") if descending else F.asc_nulls_last(f"`{c}`") for c, descending in self.order]
+
+    def settle(self, df: DataFrame) -> None:
+        """Forgets an order by columns that a step has taken away: its rows have none then."""
+        if not {c for c, _ in self.order} <= set(df.columns):
+            self.order = []
 
     def sql(self, df: DataFrame, select: str, tail: str = "") -> DataFrame:
         """``SELECT select FROM df AS item tail``; ``args.x`` is the named parameter x."""
@@ -185,6 +196,7 @@ class Run:
             return f":{m[1]}"
 
         query = re.sub(rf"{QUOTED}|(?<![\w.])args\.([A-Za-z_]\w*)", bound, f"SELECT {select} FROM \0 AS item {tail}", flags=re.S)
+        query = known_fields(query, df.schema, self.spark.conf.get("spark.sql.caseSensitive") == "true")
         query = query.replace("{", "{{").replace("}", "}}").replace("\0", "{__rows}")  # braces are the query's own
         return self.spark.sql(query, args={k: v for k, v in self.args.items() if k in used}, __rows=df)
 
@@ -316,21 +328,53 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: A field of a row, and what is taken of it.
+FIELD = re.compile(rf"{QUOTED}|(?<![\w.`])item((?:\s*\.\s*(?:[A-Za-z_]\w*|`[^`]+`)|\[[^\[\]]*\])+)(?!\s*\()", re.S)
+
+
+def known_fields(query: str, schema: T.StructType, exact: bool) -> str:
+    """``query`` with NULL for every field of ``item`` that its rows don't have, as rows of other shapes may; what is taken of such a field is null too."""
+    same = (lambda a, b: a == b) if exact else (lambda a, b: a.lower() == b.lower())
+
+    def told(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        kind: T.DataType = schema
+        for piece in re.findall(r"`[^`]+`|\w+|\[[^\[\]]*\]", re.sub(r"\[[^\[\]]*\]", "[0]", m[1])):
+            if isinstance(kind, T.StructType) and not piece.startswith("["):
+                found = [f for f in kind.fields if same(f.name, piece.strip("`"))]
+                if not found:
+                    return "NULL"
+                kind = found[0].dataType
+            elif isinstance(kind, T.MapType):
+                kind = kind.valueType
+            elif isinstance(kind, T.ArrayType):
+                kind = kind.elementType
+            elif isinstance(kind, (T.StructType, T.VariantType)):
+                return m[0]  # by position or path: Spark's to judge
+            else:
+                return "NULL"  # a number or a text has no fields
+        return m[0]
+
+    return FIELD.sub(told, query)
+
+
 def source(run: Run, df: DataFrame | None, what: object) -> DataFrame:
     """A table by name, or files: ``{file: path, kind: json, schema: ...}``; ``key`` names what its rows are ordered by."""
     what = {"table": what} if isinstance(what, str) else what
-    run.order = [(F.col(f"`{c}`"), False) for c in ([what["key"]] if isinstance(what.get("key"), str) else what.get("key", []))]
+    run.order = [(c, False) for c in ([what["key"]] if isinstance(what.get("key"), str) else what.get("key", []))]
     run.bound = None
     return read.records(run.spark, what["file"], what.get("kind"), what.get("schema")) if "file" in what else run.tables(what["table"])
 
 
 def mapped(run: Run, df: DataFrame, what: object) -> DataFrame:
     df, what = run.piped(run.indexed(df, what), what)
-    hidden = {f"__o{i}": x for i, (x, _) in enumerate(run.order)}  # what the rows are ordered by goes along
+    hidden = {f"__o{i}": F.col(f"`{c}`") for i, (c, _) in enumerate(run.order)}  # what the rows are ordered by goes along
     df = df.withColumns(hidden) if hidden else df
-    run.order = [(F.col(name), descending) for name, (_, descending) in zip(hidden, run.order)]
+    run.order = [(name, descending) for name, (_, descending) in zip(hidden, run.order)]
     wanted = what.items() if isinstance(what, dict) else [("value", what)]
-    return run.sql(df, ", ".join([*(f"{run.expression(v)} AS `{k}`" for k, v in wanted), *hidden]))
+    out = run.sql(df, ", ".join([*(f"{run.expression(v)} AS `{k}`" for k, v in wanted), *hidden]))
+    return out.withColumns({k: F.col(f"`{k}`").cast("string") for k, kind in out.dtypes if kind == "void"})  # null without a kind can't be stored
 
 
 def filtered(run: Run, df: DataFrame, what: object) -> DataFrame:
@@ -342,7 +386,8 @@ def filtered(run: Run, df: DataFrame, what: object) -> DataFrame:
 
 def ordered(run: Run, df: DataFrame, what: object) -> DataFrame:
     what = {"by": what} if isinstance(what, str) else what
-    run.order = [(F.col(f"`{what['by']}`"), what.get("order") == "desc"), *((F.col(f"`{t}`"), False) for t in what.get("tie", [])), *run.order]
+    new = [(what["by"], what.get("order") == "desc"), *((t, False) for t in what.get("tie", []))]
+    run.order = [*((c, d) for c, d in new if c in df.columns), *run.order]  # by a field that no row has, nothing moves
     return df
 
 
@@ -355,6 +400,26 @@ def limited(run: Run, df: DataFrame, what: object) -> DataFrame:
     return (df.orderBy(*run.keys()) if run.order else df).limit(n)
 
 
+def after(run: Run, df: DataFrame, what: object) -> DataFrame:
+    """The rows behind the first ``what``, by their positions; few rows by Spark's ordered offset, which holds them in one task."""
+    n = run.number(what)
+    if not run.order:
+        raise StepError("an offset needs an order: give the source a key, or sort")
+    few, run.bound = run.bound is not None and run.bound <= FEW, None if run.bound is None else max(0, run.bound - n)
+    if few:
+        return df.orderBy(*run.keys()).offset(n)
+    return order.with_position(df, run.keys(), "__place").where(F.col("__place") >= n).drop("__place")
+
+
+def anew(step: Callable[[Run, DataFrame, object], DataFrame]) -> Callable[[Run, DataFrame, object], DataFrame]:
+    """A step that makes rows of another kind, which have no order and no bound, of the columns that a query names."""
+    def run_it(run: Run, df: DataFrame, what: object) -> DataFrame:
+        run.order, run.bound = [], None
+        return step(run, df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("__")]), what)
+
+    return run_it
+
+
 def many(step: Callable[[Run, DataFrame, object], DataFrame]) -> Callable[[Run, DataFrame, object], DataFrame]:
     """A step after which there can be more rows than a limit before it has left."""
     def run_it(run: Run, df: DataFrame, what: object) -> DataFrame:
@@ -408,13 +473,13 @@ def snapped(run: Run, df: DataFrame, what: dict | None) -> DataFrame:
 def joined(run: Run, df: DataFrame, what: dict) -> DataFrame:
     table = run.tables(what["table"])
     if what.get("how", "inner") == "left":
-        right = table.select(*[c for c in table.columns if c not in df.columns or c == what["right"]])
-        return df.join(right, df[what["left"]] == right[what["right"]], "left")
+        right = table.select(F.col(f"`{what['right']}`").alias("__right"), *[F.col(f"`{c}`") for c in table.columns if c not in df.columns])
+        return df.join(right, F.col(f"`{what['left']}`") == F.col("__right"), "left").drop("__right")
     return joins.lookup(df, table, {what["left"]: what["right"]})
 
 
 def grouped(run: Run, df: DataFrame, what: dict) -> DataFrame:
-    run.order, run.bound = [(F.col(f"`{k}`"), False) for k in what["by"]], None
+    run.order, run.bound = [(k, False) for k in what["by"]], None
     keys = ", ".join(f"`{k}`" for k in what["by"])
     return run.sql(df, ", ".join([keys, *(f"{run.condition(v)} AS `{k}`" for k, v in what["agg"].items())]), f"GROUP BY {keys}")
 
@@ -425,18 +490,18 @@ def united(run: Run, df: DataFrame, what: object) -> DataFrame:
 
 
 STEPS: dict[str, Callable[[Run, DataFrame, object], DataFrame]] = {
-    "source": source, "fetch": source, "map": mapped, "filter": filtered, "sort": ordered, "limit": limited, "join": many(joined), "group": grouped, "union": many(united),
+    "source": source, "fetch": source, "map": mapped, "filter": filtered, "sort": ordered, "limit": limited, "join": many(joined), "group": grouped, "union": anew(united),
     "intercept": intercepted, "collect": collected, "evaluate": evaluated, "snapshot": snapped,
-    "read": lambda run, df, what: pages.articles(df, (what or {}).get("keys", ["page_id", "url"])),
-    "select": many(lambda run, df, what: steps.select_path(df, what)),
-    "offset": lambda run, df, what: (df.orderBy(*run.keys()) if run.order else df).offset(run.number(what)),
+    "read": anew(lambda run, df, what: pages.articles(df, (what or {}).get("keys", ["page_id", "url"]))),
+    "select": anew(lambda run, df, what: steps.select_path(df, what)),
+    "offset": after,
     "distinct": lambda run, df, what: groups.first_of_each(df, what["by"], what["order"]),
     "explode": many(lambda run, df, what: df.withColumn(what, F.explode(what))),
     "unpivot": many(lambda run, df, what: groups.unpivot(df, what["ids"], what["metrics"])),
     "topk": lambda run, df, what: windows.top_of_each(df, what["by"], steps.sort_keys(what["sort"], what.get("order") == "desc", what.get("tie", [])), run.number(what["k"])),
-    "fallback": many(lambda run, df, what: sets.fallback(df, *[run.tables(n).select(*df.columns) for n in ([what] if isinstance(what, str) else what)])),
+    "fallback": anew(lambda run, df, what: sets.fallback(df, *[run.tables(n).select(*df.columns) for n in ([what] if isinstance(what, str) else what)])),
     "matching": lambda run, df, what: read.matching(df, what),
-    "tap": lambda run, df, what: read.first_response(df, what["url"], what["order"], what.get("select")),
+    "tap": anew(lambda run, df, what: read.first_response(df, what["url"], what["order"], what.get("select"))),
     "download": lambda run, df, what: steps.download_status(df, what.get("url", "url"), what.get("type", "media")),
 }
 
@@ -487,6 +552,23 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]) ->
         context.setLocalProperty("spark.jobGroup.id", None)
 
 
+#: Seconds that ``execute`` gives a query that names none, unless the environment does.
+TIMEOUT, TIMEOUT_NAME = 60.0, "MILLRACE_TIMEOUT"
+
+
+def execute(spark: SparkSession, query: StoredQuery, tables: Callable[[str], DataFrame], given: dict | None = None, then: Callable[[DataFrame], object] = DataFrame.collect, timeout: float | None = None) -> object:
+    """What ``then`` (a collect, a write) makes of the query's result, in the seconds given here, or else by the environment's MILLRACE_TIMEOUT, the query's ``timeout``, or 60.
+
+    The limit holds for what the steps compute as well. A query that isn't done is a TimeoutError, its jobs cancelled.
+    """
+    told = os.environ.get(TIMEOUT_NAME)
+    try:
+        seconds = timeout or (float(told) if told else None) or query.timeout or TIMEOUT
+    except ValueError:
+        seconds = query.timeout or TIMEOUT  # a text that is no number counts as none
+    return within(spark, seconds, lambda: then(run(spark, query, tables, given)))
+
+
 #: Steps that can come first.
 FIRST = ("source", "fetch", "intercept", "collect")
 
@@ -504,6 +586,7 @@ def run(spark: SparkSession, query: StoredQuery, tables: Callable[[str], DataFra
         if df is None and name not in FIRST:
             raise StepError(f"step {i}: {name} has no rows before it")
         df = STEPS[name](held, df, what)
+        held.settle(df)
     if df is None:
         raise StepError("the query has no source")
     out = df.orderBy(*held.keys()) if held.order else df

@@ -13,6 +13,7 @@ from millrace.operators import endpoints, groups, joins, order, pages, sets, ste
 from millrace.plans import stored
 from millrace.sources import read
 from millrace.sources.read import table
+from millrace.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -443,11 +444,15 @@ def topk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.top_children(tree(spark, sf_dir), F.col("parent").isNull(), 2, 2, order=[F.desc("id")])
 
 
-@query("""SELECT i AS time, 1 AS kind, 'line ' || i AS text FROM range(0, 100, 10) r(i) UNION ALL SELECT i, 0, '[Chapter] part ' || i FROM range(0, 91, 25) r(i)""")
+@query("""
+    WITH lines AS (SELECT user_id, epoch_us(ts) AS time, 'line ' || event_id AS text FROM events WHERE event_type <> 'purchase'), ends AS (SELECT user_id, max(time) AS last FROM lines GROUP BY user_id)
+    SELECT user_id, time, 1 AS kind, text FROM lines
+    UNION ALL SELECT e.user_id, epoch_us(ts), 0, '[Chapter] ' || value FROM events e JOIN ends USING (user_id) WHERE event_type = 'purchase' AND epoch_us(ts) <= last""")
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(0, 100, 10).select(F.col("id").alias("at"), F.concat(F.lit("line "), "id").alias("words"))
-    marks = spark.range(0, 200, 25).select(F.col("id").alias("start"), F.concat(F.lit("part "), "id").alias("title"))
-    return joins.with_headings(rows, marks, "at", "words", "start", "title")
+    """Purchases as headings before what the user did next."""
+    df = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    marks = df.where("event_type = 'purchase'").withColumn("title", F.col("value").cast("string"))
+    return joins.with_headings(df.where("event_type <> 'purchase'").withColumn("words", F.concat(F.lit("line "), "event_id")), marks, "at", "words", "at", "title", ["user_id"])
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,6 +559,79 @@ def variant_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.entry_rows(rows, "held", ["event_id"]).withColumn("value", F.try_variant_get("value", "$", "bigint"))
 
 
+stored_query("stored_offset", """
+  - source: {table: events, key: event_id}
+  - sort: {by: value, order: desc}
+  - offset: "${{ args.most * 50 }}"
+  - map: {event: "${{ item.event_id }}", value: "${{ item.value }}", place: "${{ index }}"}""",
+    "SELECT event_id AS event, value, r - 601 AS place FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events) WHERE r > 600")
+
+stored_query("stored_missing", """
+  - source: {table: customer, key: c_custkey}
+  - filter: "!item.deleted && item.nothing[0].at IS NULL"
+  - map: {key: "${{ item.c_custkey }}", title: "${{ item.title | default(args.word) }}", nick: "${{ item.profile.nick }}", label: "<${{ item.c_name.first }}>"}""",
+    "SELECT c_custkey AS key, 'en' AS title, CAST(NULL AS VARCHAR) AS nick, '<>' AS label FROM customer")
+
+stored_query("stored_order_ends", """
+  - source: {table: orders, key: o_orderkey}
+  - sort: {by: o_totalprice, order: desc}
+  - limit: 500
+  - map: {id: "${{ item.o_orderkey }}", total: "${{ item.o_totalprice }}", day: "${{ dayofyear(item.o_orderdate) }}"}
+  - unpivot: {ids: [id], metrics: [total, day]}
+  - sort: {by: value, tie: [id, metric]}
+  - map: {id: "${{ item.id }}", metric: "${{ item.metric }}", value: "${{ item.value }}", place: "${{ index }}"}""",
+    """WITH best AS (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500), u AS (
+        SELECT o_orderkey AS id, 'total' AS metric, o_totalprice AS value FROM best UNION ALL SELECT o_orderkey, 'day', CAST(dayofyear(o_orderdate) AS DOUBLE) FROM best)
+        SELECT id, metric, value, row_number() OVER (ORDER BY value, id, metric) - 1 AS place FROM u""")
+
+LIMITED = """
+site: shop
+name: limited
+timeout: 900
+pipeline:
+  - source: {table: nation, key: n_nationkey}
+  - filter: item.n_regionkey > 1
+  - map: {nation: "${{ item.n_name | lower }}"}
+"""
+
+
+@query("SELECT lower(n_name) AS nation FROM nation WHERE n_regionkey > 1")
+def stored_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored query written within its own time limit, and read again."""
+    path = order.shared_path(spark)
+    stored.execute(spark, stored.parse(LIMITED), lambda name: table(spark, sf_dir, name), then=lambda df: df.write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def streamed(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], schema: str = "event_id long, ts timestamp, user_id long, event_type string, value double") -> DataFrame:
+    """What an operator over streams gives for all events, which arrive in three files; two rows of far later years come behind, so that all windows close."""
+    path, rows = order.shared_path(spark), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).drop("props")
+    late = [rows.limit(1).withColumns({"event_id": F.lit(-n).cast("long"), "ts": F.lit(f"{2090 + n}-01-01").cast("timestamp"), "user_id": F.lit(-1).cast("long"), "event_type": F.lit("late")}) for n in (1, 2)]
+    for i, part in enumerate([*(rows.where(F.pmod(F.col("event_id"), F.lit(3)) == k) for k in range(3)), *late]):
+        part.select("event_id", "ts", "user_id", "event_type", "value").coalesce(1 if i > 2 else 4).write.parquet(f"{path}/in/part={i}")
+    stream = events.watch(spark, f"{path}/in/*", schema, files=4)
+    events.drain(operator(stream), lambda df, i: df.write.mode("append").parquet(f"{path}/out"), f"{path}/state")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT user_id, event_id, event_type, s, k, s AS start, event_id AS first FROM e WHERE k = 1 UNION ALL
+        SELECT e.user_id, e.event_id, e.event_type, e.s, e.k, CASE WHEN e.s - w.s > 14400000000 OR w.event_type = 'purchase' OR e.s - w.start > 86400000000 THEN e.s ELSE w.start END,
+            CASE WHEN e.s - w.s > 14400000000 OR w.event_type = 'purchase' OR e.s - w.start > 86400000000 THEN e.event_id ELSE w.first END
+        FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+    SELECT user_id, first, start AS start_us, max(s) AS end_us, count(*) AS n FROM w GROUP BY ALL""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamed(spark, sf_dir, lambda s: events.bounded_sessions(s, "ts", ["user_id"], "event_id", "400 days", 14400, 86400, F.col("event_type") == "purchase"))
+    return found.where("first >= 0").select("user_id", "first", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS start_us, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamed(spark, sf_dir, lambda s: events.counted(s, "ts", ["event_type"], "6 hours", "400 days"))
+    return found.where("event_type <> 'late'").select("event_type", F.unix_micros("start").alias("start_us"), "n")
+
+
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, body): a JSON body for each page, with a field that not all of them have."""
     page = F.regexp_extract("url", "[?&]page=([0-9]+)", 1)

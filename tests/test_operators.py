@@ -1,5 +1,6 @@
 """Steps, stored queries, profiling, pages, rendering and streams on small tables."""
 
+import datetime
 import json
 import math
 
@@ -105,6 +106,66 @@ def test_span_sessions(spark):
     assert windows.span_sessions(df.limit(0), ["k"], "i", F.col("t"), 1.0).count() == 0
 
 
+def test_span_sessions_of_keys_alike(spark):
+    """Keys that differ by a microsecond, or beyond a double's shown digits, are different; 0.0 and -0.0 are not."""
+    at = [datetime.datetime(2024, 1, 1, 0, 0, 0, k) for k in (1, 2)]
+    rows = [(a, d, i, float(100 * i)) for i in range(2) for a in at for d in (0.1, 0.1 + 2**-56)] + [(None, -0.0, 0, 0.0), (None, 0.0, 1, 9.0)]
+    df = spark.createDataFrame(rows, "a timestamp, d double, i int, t double").withColumn("n", F.col("a").cast("timestamp_ntz"))
+    for keys in (["a", "d"], ["n", "d"]):
+        got = [(r.a, r.d, r.i, r.part) for r in windows.span_sessions(df.repartition(1), keys, "i", F.col("t"), 25.0).collect()]
+        assert sorted(p for *_, p in got) == [0] * 6 + [1] * 4 and all(p == i for a, _, i, p in got if a)
+
+
+def test_stored_orders(spark):
+    """Every step after a keyed source, a sort and a map: an order stays where its columns do, and ends with them."""
+    t = spark.createDataFrame([(3, 30, 1, [1, 2]), (1, 10, 2, [3]), (2, 20, 3, [])], "id long, v long, w long, list array<int>")
+    tables = {"t": t, "u": t.select("id", "v"), "p": spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string"), "requests": log(spark, [("https://a.example/x", "GET", {}, None, 200, '{"a": 1}')])}
+    run = lambda *more, key="id", table="t": stored.run(spark, stored.parse(json.dumps({"site": "s", "name": "n", "pipeline": [{"source": {"table": table, "key": key}}, *more]})), tables.__getitem__)
+    narrow = {"map": {"id": "${{ item.id }}", "v": "${{ item.v }}"}}
+    assert sorted(r.v for r in run(narrow, {"union": "u"}).collect()) == [10, 10, 20, 20, 30, 30]
+    assert run(narrow, {"fallback": "u"}).count() == 3 and run({"unpivot": {"ids": ["w"], "metrics": ["id", "v"]}}).count() == 6
+    assert [r.id for r in run({"unpivot": {"ids": ["id"], "metrics": ["v"]}}).collect()] == [1, 2, 3]
+    assert run({"read": {"keys": ["page_id"]}}, key="page_id", table="p").count() == 1 and run({"read": {"keys": ["url"]}}, key="page_id", table="p").count() == 1
+    assert run({"snapshot": {"keys": ["url"]}}, key="page_id", table="p").count() >= 1
+    assert run({"select": "list"}).count() == 3
+    assert [r.id for r in run({"explode": "list"}).collect()] == [1, 3, 3] and [r.id for r in run({"join": {"table": "u", "left": "id", "right": "id", "how": "left"}}).collect()] == [1, 2, 3]
+    assert [r.w for r in run({"distinct": {"by": ["w"], "order": ["id"]}}, {"sort": {"by": "v", "order": "desc"}}).collect()] == [1, 3, 2]
+    assert [r.id for r in run({"topk": {"by": ["w"], "sort": "v", "k": 1}}, {"download": {"url": "w"}}).collect()] == [1, 2, 3]
+    assert [tuple(r) for r in run({"group": {"by": ["w"], "agg": {"n": "count(*)"}}}).collect()] == [(1, 1), (2, 1), (3, 1)]
+    assert [r.id for r in run({"sort": "nothing"}).collect()] == [1, 2, 3]
+    assert [r.value for r in run({"sort": {"by": "v", "order": "desc"}}, {"map": "${{ item.id }}"}, {"offset": 1}).collect()] == [2, 1]
+    assert [tuple(r) for r in run({"limit": 2}, {"offset": 1}, {"map": {"id": "${{ item.id }}", "i": "${{ index }}"}}).collect()] == [(2, 0)] and run({"offset": 5}).count() == 0
+    assert "SinglePartition" not in run({"sort": "v"}, {"offset": 1}).drop("x")._jdf.queryExecution().executedPlan().toString().split("Scan ExistingRDD")[0]
+    with pytest.raises(steps.StepError):
+        stored.run(spark, stored.parse("site: s\nname: n\npipeline: [{source: t}, {offset: 1}]"), tables.__getitem__)
+
+
+def test_stored_missing_fields(spark):
+    t = spark.createDataFrame([(1, ("x", [(5,)]), {"k": "y"}, "text")], "id long, s struct<a:string,l:array<struct<n:int>>>, m map<string,string>, t string")
+    run = lambda what: tuple(stored.run(spark, stored.parse(json.dumps({"site": "s", "name": "n", "pipeline": [{"source": {"table": "t"}}, {"map": what}]})), {"t": t}.__getitem__).first())
+    there = {"a": "${{ item.s.a }}", "b": "${{ item.s.l[0].n }}", "c": "${{ item.m.k }}", "d": "${{ item.T }}", "e": "${{ item.`id` + 1 }}", "f": "${{ 'item.none' }}", "g": "${{ named_struct('item', 2).item }}"}
+    assert run(there) == ("x", 5, "y", "text", 2, "item.none", 2)
+    gone = ["item.none", "item.none.at[0].all", "item.s.none", "item.s.l[0].none", "item.t.length", "item.id[0]", "item.none | default(null) | string", "item.none + 1", "upper(item.none)"]
+    assert run({f"c{i}": f"${{{{ {x} }}}}" for i, x in enumerate(gone)}) == (None,) * 6 + ("",) + (None, None) or run({f"c{i}": f"${{{{ {x} }}}}" for i, x in enumerate(gone)})[:6] == (None,) * 6
+
+
+def test_stored_timeouts(spark, monkeypatch):
+    slow = {"t": spark.range(10**12).select(F.hash("id").alias("h"))}
+    text = "site: s\nname: n\ntimeout: {}\npipeline: [{{source: t}}, {{group: {{by: [], agg: {{s: sum(item.h)}}}}}}]"
+    monkeypatch.setitem(stored.STEPS, "group", lambda run, df, what: df.agg(F.sum("h").alias("s")))
+    assert stored.parse(text.format(45)).timeout == 45 and stored.parse("site: s\nname: n\ntimeoutSeconds: 2").timeout == 2 and stored.parse("site: s\nname: n").timeout is None
+    with pytest.raises(TimeoutError, match="1 s"):
+        stored.execute(spark, stored.parse(text.format(1)), slow.__getitem__)
+    monkeypatch.setenv("MILLRACE_TIMEOUT", "1")
+    with pytest.raises(TimeoutError, match="1.0 s"):
+        stored.execute(spark, stored.parse(text.format(500)), slow.__getitem__)
+    monkeypatch.setenv("MILLRACE_TIMEOUT", "soon")
+    assert stored.execute(spark, stored.parse("site: s\nname: n\npipeline: [{source: t}]"), {"t": spark.range(3)}.__getitem__, then=lambda df: df.count()) == 3
+    for wrong in ("0", "no", "true", "-1"):
+        with pytest.raises(steps.StepError):
+            stored.parse(text.format(wrong))
+
+
 def test_set_operations(spark):
     a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "x"), (1, "x"), (2, None), (3, "y")], [(2, None), (1, "x"), (4, "z")]))
     assert sorted(map(tuple, sets.in_all(a, b.select("v", "k")).collect())) == [(1, "x"), (2, None)]
