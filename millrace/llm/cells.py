@@ -76,9 +76,32 @@ def kmeans(x: np.ndarray, k: int, spherical: bool, steps: int = 12, seed: int =
     return centres
 
 
-def merge_centres(centres: np.ndarray, least: float) -> np.ndarray:
-    """Of each centre of length one its cell: centres whose cosine is at least ``least`` share one, and so do those that such centres connect."""
-    close = np.concatenate([np.zeros((0, len(centres)), bool), *(centres[at : at + 256] @ centres.T >= least for at in range(0, len(centres), 256))])
+#: Rows of each centre by which two centres are compared, and the share of their pairs that must link for one cell: then a
+#: comparison of the whole cell costs some ten products a link at most.
+COMPARED, LINKED = 16, 0.1
+
+
+def merge_centres(centres: np.ndarray, least: float, x: np.ndarray) -> np.ndarray:
+    """Of each centre of length one its cell: centres share one if enough pairs of their own rows of ``x`` have a cosine of at least ``least``, and so do those that such centres connect.
+
+    Centres are means, and so closer to each other than their rows are; only rows show whether a group is dense.
+    """
+    own = nearest(x, centres, 1)[:, 0]
+    order = np.argsort(own, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+    few = rank < COMPARED
+    held, there = np.zeros((len(centres), COMPARED, x.shape[1])), np.zeros((len(centres), COMPARED), bool)
+    held[own[few], rank[few]], there[own[few], rank[few]] = x[few], True
+    close = np.eye(len(centres), dtype=bool)
+    for i in range(len(centres)):
+        near = i + 1 + np.flatnonzero(centres[i + 1 :] @ centres[i] >= least)
+        for at in range(0, len(near), 256):
+            j = near[at : at + 256]
+            pairs = there[i][:, None] & there[j][:, None, :]
+            linked = (np.matmul(held[i], held[j].transpose(0, 2, 1)) >= least) & pairs
+            close[i, j[linked.sum(axis=(1, 2)) >= LINKED * np.maximum(1, pairs.sum(axis=(1, 2)))]] = True
+    close |= close.T
     cells = np.full(len(centres), -1, np.int64)
     for i in range(len(centres)):
         if cells[i] < 0:

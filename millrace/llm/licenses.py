@@ -92,6 +92,13 @@ TEMPLATES = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
     ],
 }
+# Short forms of notices, two or three words that are found on a line of their own or among few others.
+SHORT_FORMS = {
+    "apache": ["License: Apache-2.0", "Apache-2.0 licensed."],
+    "bsd": ["License: BSD", "BSD licensed."],
+    "gpl": ["License: GPL", "GPL licensed."],
+    "mit": ["License: MIT", "MIT licensed."],
+}
 UNKNOWN = "unknown"
 #: Buckets of n-gram features.
 FEATURES = 1 << 14
@@ -126,13 +133,14 @@ def split_paragraphs(texts: list[str | None]) -> tuple[list[str], np.ndarray, np
 @dataclass
 class LicenseModel:
     """Calibrated logistic regression weights (a row for each feature, a column for each family and for none), the least
-    probability of any licence that counts as a find, and each family's templates as sets of word pairs."""
+    probability of any licence that counts as a find, and each family's templates as sets of word pairs, each with the
+    hash that must be there for a short one to be confirmed."""
 
     families: list[str]
     weights: np.ndarray
     bias: np.ndarray
     least: float
-    templates: dict[str, list[set[int]]]
+    templates: dict[str, list[tuple[set[int], set[int]]]]
 
     def probabilities(self, hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Of each run of words (first to first + counts, at least one) the probability of each family and of none."""
@@ -213,7 +221,27 @@ def pairs(text: str) -> set[int]:
     return set(grams(hash_words([text], MARKS).hashes, 2).tolist())
 
 
-def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPLATES, variants: int = 24, steps: int = 300, false_rate: float = 1e-3, seed: int = 7) -> LicenseModel:
+#: Words below which a template is short: what it shares with other families' is most of it.
+SHORT = 12
+
+
+def compared(templates: dict[str, list[str]]) -> dict[str, list[tuple[set[int], set[int]]]]:
+    """Of each template its word pairs, and for a short one the first word that no other family's templates have, or else the first such pair: without it, nothing tells the family."""
+    runs = {f: [[grams(hash_words([t], MARKS).hashes, n).tolist() for n in (1, 2)] for t in own] for f, own in templates.items()}
+
+    def needed(family: str, run: list[list[int]]) -> set[int]:
+        if len(run[0]) >= SHORT:
+            return set()
+        for n in (0, 1):
+            other = {x for f, own in runs.items() if f != family for r in own for x in r[n]}
+            if first := next((x for x in run[n] if x not in other), None):
+                return {first}
+        return set()
+
+    return {f: [(set(run[1]), needed(f, run)) for run in own] for f, own in runs.items()}
+
+
+def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPLATES, forms: dict[str, list[str]] = SHORT_FORMS, variants: int = 24, steps: int = 300, false_rate: float = 1e-3, seed: int = 7) -> LicenseModel:
     """A model from the templates with words around, dropped and changed, against a bounded list of other paragraphs.
 
     The fit sees a window from anywhere in each of the other paragraphs. Every second paragraph is left out of it. On
@@ -222,6 +250,7 @@ def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPL
     out have any window that counts as one, and at least 0.5.
     """
     rng = random.Random(seed)
+    templates = {f: [*own, *forms.get(f, [])] for f, own in templates.items()}
     known = [set(pairs(t)) for own in templates.values() for t in own]
     spare = [w for t in negatives[:500] for w in t.split()[:20]] or ["lorem", "ipsum", "dolor", "sit", "amet"]
     others = [t for t in negatives if not any(len(pairs(t) & k) >= 0.5 * len(k) for k in known if k)] or [" ".join(spare)]
@@ -267,7 +296,7 @@ def train_licenses(negatives: list[str], templates: dict[str, list[str]] = TEMPL
         return float((share * (np.log(np.exp(p).sum(axis=1)) - p[np.arange(len(p)), left])).sum())
 
     heat = min((float(h) for h in np.geomspace(0.1, 10, 81)), key=entropy) if len(left) else 1.0
-    model = LicenseModel(families, np.concatenate([w, np.zeros((1, w.shape[1]), np.float32)]) / np.float32(heat), b / np.float32(heat), 0.5, {f: [pairs(t) for t in templates[f]] for f in families})
+    model = LicenseModel(families, np.concatenate([w, np.zeros((1, w.shape[1]), np.float32)]) / np.float32(heat), b / np.float32(heat), 0.5, compared(templates))
     words = hash_words(held_out, MARKS)
     some = np.flatnonzero(words.counts)
     if len(some):
@@ -298,7 +327,8 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     are lines up to the longest window and windows of some words slid over each run of lines, so a notice counts for the
     same in a long paragraph and however it is wrapped. A find is a window whose calibrated ``probability`` of any
     licence is at least the model's least one. It is confirmed if it holds at least ``least_overlap`` of the word pairs
-    of a template of its likeliest family, or of another family if that has none; else, as in a licence that is not among
+    of a template of its likeliest family, or of another family if that has none, and, if the template is short, the
+    word in it that names the family; else, as in a licence that is not among
     the templates, its family is ``unknown``. A window without any word pair of any template is no find. Of finds that share words the best is kept, and of several of a family in
     a paragraph. Null and empty texts have none, repeated rows have theirs each, other columns aren't read.
     """
@@ -333,8 +363,10 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
                     a, z = int(first[j]), int(first[j] + counts[j])
                     family = model.families[best[j]]
                     mine = set(grams(words.hashes[a:z], 2).tolist())
-                    overlap, other = max((len(mine & t) / len(t), f == family, f) for f, sets in model.templates.items() for t in sets if t)[::2]
-                    own_overlap = max((len(mine & t) / len(t) for t in model.templates[family] if t), default=0.0)
+                    there = mine.union(grams(words.hashes[a:z], 1).tolist())
+                    fit = [(len(mine & t) / len(t), need <= there, f) for f, sets in model.templates.items() for t, need in sets if t]
+                    overlap, other = max(((o if told else min(o, 0.99 * least_overlap)), f == family, f) for o, told, f in fit)[::2]  # no more than shared words
+                    own_overlap = max((o for o, told, f in fit if told and f == family), default=0.0)
                     overlap, family = (own_overlap, family) if own_overlap >= least_overlap else (overlap, other)
                     if not overlap:
                         continue

@@ -47,6 +47,11 @@ def shares(rate: Column, hashed: Column) -> tuple[Column, Column, Column]:
     return sure.cast("int"), F.when(p > 1e-9, p).otherwise(0.0), odds
 
 
+def wanted_times(level: Column, importance: Column, most: float) -> Column:
+    """How often a document is wanted; once each where a source has no words, so that no level makes its words a target."""
+    return F.when(level == float("inf"), F.lit(1.0)).otherwise(F.least(F.lit(float(most)), level * importance))
+
+
 def importance_of(importance_col: str | None) -> Column:
     """A row's importance to three digits, so that a source has few different ones; null and what is smaller counts as 1e-6."""
     if importance_col is None:
@@ -100,8 +105,8 @@ def mix_documents(
     the next document, stay below the words that the fractions stand for: a sample of fixed size with unequal
     probabilities. Draws are hashes of ``seed``, id and the text's checksum, so reruns agree.
 
-    Rows alike in id and text are taken alike; rows without words count 0 and are taken as the order has it; a null
-    source is a source; without ``importance_col`` all are of equal importance, and a null, zero or negative one counts
+    Rows alike in id and text are taken alike; rows without words count 0 and are taken as the order has it, once each in
+    a source that has no words at all; a null source is a source; without ``importance_col`` all are of equal importance, and a null, zero or negative one counts
     as 1e-6. Sources of any size are split over tasks.
     """
     rows = cut(docs.select(
@@ -110,7 +115,7 @@ def mix_documents(
     ))
     levels = cut(source_levels(rows, source_targets(rows, weights, share, most), most).withColumnRenamed("source", "__source"))
     wanted = by_source(rows, levels, "source", "doc_id", rows)
-    sure, p, odds = shares(F.least(F.lit(float(most)), F.col("level") * F.col("importance")), F.col("draw"))
+    sure, p, odds = shares(wanted_times(F.col("level"), F.col("importance"), most), F.col("draw"))
     wanted = cut(wanted.withColumns({"sure": sure, "p": p, "odds": odds}))
     quota = cut(wanted.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col("p") * F.col("size")).alias("__quota")))
     ranked = running(wanted, ["source"], ["odds", "doc_id", "draw"], "size", "__before")
@@ -136,7 +141,7 @@ def mixed(
     last = F.max(F.when(F.col("drawn"), F.struct("odds", "doc_id", "draw")))
     table = cut(plan.groupBy(F.col("source").alias("__source")).agg(F.first("level").alias("__level"), last.alias("__last")))
     own = draw(seed, id_col, text_col)
-    sure, p, odds = shares(F.least(F.lit(float(most)), F.col("__level") * importance_of(importance_col)), own)
+    sure, p, odds = shares(wanted_times(F.col("__level"), importance_of(importance_col), most), own)
     mine = F.struct(odds.alias("odds"), F.col(f"`{id_col}`").alias("doc_id"), own.alias("draw"))
     times = sure + F.coalesce((p > 0) & (mine <= F.col("__last")), F.lit(False)).cast("int")
     joined = by_source(docs, table, source_col, id_col, plan).withColumn("__times", times).where("__times > 0")

@@ -27,8 +27,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, per_cell: int = PER_
     Spherical k-means has two levels, a bounded sample learning the coarse cells and one of each coarse cell its fine
     cells, so cells keep their size whatever the number of rows. A vector is compared in the COARSE times FINE cells
     nearest to it, a pair in the first cell that both share, so it counts once; pairs that share no cell are missed
-    (measured recall: README). Centres that k-means puts closer together than linked vectors are share a cell, so a
-    dense group is in one. Cells larger than ``block`` rows are compared block against block in tasks of their own. A
+    (measured recall: README). Centres share a cell where enough pairs of a sample of their vectors link, so a dense
+    group is in one, and vectors that only have a direction in common are not. Cells larger than ``block`` rows are compared block against block in tasks of their own. A
     task reports how many each vector links with and a forest of links, not its pairs, so what leaves it grows with its rows.
 
     Null, zero and non-finite vectors link with nothing: 0 links, themselves, kept. So does a row with a null id, whose
@@ -54,8 +54,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, per_cell: int = PER_
 def placed_in_cells(groups: DataFrame, n: int, least: float, per_cell: int) -> DataFrame:
     """(id, w, vector, cells) of the n distinct vectors (id, vector, w) of one length: ``cells`` are those that each is compared in."""
     _, some = sampled(groups, n)
-    centres = kmeans(unit(some), min(MOST_COARSE, round(math.sqrt(n / per_cell))), True)
-    placed = cut(assign(groups, centres, COARSE, None, merge_centres(centres, least)))
+    some = unit(some)
+    centres = kmeans(some, min(MOST_COARSE, round(math.sqrt(n / per_cell))), True)
+    placed = cut(assign(groups, centres, COARSE, None, merge_centres(centres, least, some)))
     in_coarse = placed.withColumn("coarse", F.explode("cells"))
     sizes = in_coarse.groupBy("coarse").agg(F.count("*").alias("n")).collect()  # MOST_COARSE rows at most
     plan = groups.sparkSession.createDataFrame(
@@ -68,7 +69,7 @@ def placed_in_cells(groups: DataFrame, n: int, least: float, per_cell: int) -> D
         x = unit(matrix(table.column("vector")))
         x = x[np.lexsort((*x.T[::-1], table.column("id").to_numpy()))]
         fine = kmeans(x, min(k, max(1, len(x) // 4)), True)
-        cells = merge_centres(fine, least)
+        cells = merge_centres(fine, least, x)
         return pa.table({"coarse": pa.array(np.full(len(fine), coarse, np.int32)), "cell": pa.array(cells.astype(np.int32)), "centre": pa.array(fine.tolist(), pa.list_(pa.float64()))})
 
     chosen = in_coarse.where(uniform(12) < F.col("rate")).select("coarse", "k", "id", "vector")

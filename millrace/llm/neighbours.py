@@ -19,6 +19,8 @@ LISTS, MOST_LISTS, OVERLAP, PROBES = 5, 4096, 4, 96
 #: Dimensions of one column block, rows of one block of a list, queries that a task answers, and how many standard
 #: deviations a partial distance may be above what it should be for a neighbour before a candidate is given up.
 COLUMNS, BLOCK, QUERIES, SURENESS = 16, 4096, 8192, 3.0
+#: Rows that bound a query before its first list, whatever the number of rows; never a result themselves.
+BOUNDING = 2048
 
 
 def rotation(n: int, seed: int = 5) -> np.ndarray:
@@ -103,9 +105,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROB
 
     ``is_query`` is a condition on the column ``id``. The lists are those of a k-means fitted on a bounded sample; every
     row is in its ``overlap`` nearest lists, and a query probes its ``probes`` nearest, whatever the number of rows
-    (recall: README). The k-th nearest of the sample bounds each query's distance before its first list, and these
-    k are candidates as well, so a query never finds fewer than k where the sample has as many. Lists are dealt to parts
-    of about ``block`` rows, large ones split, and parts with many queries are answered in several tasks.
+    (recall: README). BOUNDING rows of the sample bound each query's distance before its first list, by the 4k-th nearest
+    of them, which is farther than the k-th of all; results come from lists alone. Lists are dealt to parts of about ``block`` rows, large ones split, and parts with many queries are answered in several tasks.
 
     Ties go to the smaller id. Vectors that are null, zero or not finite, or with a null id, take no part; vectors are
     compared with those of their length. Rows with the same id are candidates each, but never of a query with that id;
@@ -113,7 +114,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROB
     """
     rows = cut(usable(vectors, id_col, vector_col).where("ok AND id IS NOT NULL").select("id", "vector"))
     none = rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    found = [search_length(rows.where(F.size("vector") == d), is_query, d, n, scale, k, probes, overlap, block) for d, n, scale in lengths(rows)]
+    found = [search_length(rows.where(F.size("vector") == d), is_query, d, n, scale, k, probes, overlap, block) for d, n, scale in lengths(rows)] if probes > 0 else []
     if not found:
         return none
     best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -122,15 +123,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROB
 
 
 def search_length(rows: DataFrame, is_query: Column, dims: int, n: int, scale: float, k: int, probes: int, overlap: int, block: int) -> DataFrame:
-    """(query_id, vec_id, score) of candidates among n vectors of one length, the nearest found of each query with them."""
+    """(query_id, vec_id, score) of candidates among n vectors of one length, the nearest that each part of the lists has for a query."""
     spark = rows.sparkSession
     some_ids, some = sampled(rows, n)
+    bounding = np.random.default_rng(17).permutation(len(some))[:BOUNDING]
     centres = kmeans(some / scale, min(MOST_LISTS, math.ceil(LISTS * math.sqrt(n)), max(1, len(some) // 4)), False)
     listed = cut(assign(rows, centres, overlap, scale).withColumn("cells", F.array_distinct("cells")))
     sizes = {r["cell"]: r["n"] for r in listed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one for each centre
     counts = np.array([sizes.get(c, 0) for c in range(len(centres))])
     blocks, group = np.maximum(1, -(-counts // block)), group_lists(counts, block)
-    held = spark.sparkContext.broadcast((centres, group, blocks, some_ids, some))  # bounded by MOST_LISTS and SAMPLE
+    held = spark.sparkContext.broadcast((centres, group, blocks, some_ids[bounding], some[bounding]))  # bounded by MOST_LISTS and BOUNDING
     asking = rows.where(is_query)
     turns = max(1, math.ceil(asking.count() * min(1.0, probes / len(centres)) / QUERIES))
 
@@ -146,32 +148,30 @@ def search_length(rows: DataFrame, is_query: Column, dims: int, n: int, scale: f
                 close = lengths_of - 2 * (x / scale) @ scaled.T
                 out = []
                 for i, name in enumerate(names.tolist()):
-                    top = np.argpartition(close[i], 4 * k)[: 4 * k + 1] if len(some) > 4 * k + 1 else np.arange(len(some))
+                    top = np.argpartition(close[i], 8 * k)[: 8 * k + 1] if len(some) > 8 * k + 1 else np.arange(len(some))
                     for chosen in (top, np.arange(len(some))):  # the second only if there are many copies among the first
                         chosen = chosen[some_ids[chosen] != name]
                         far = distance(some[chosen], x[i])
-                        b = best_of(np.zeros(len(chosen), np.int64), some_ids[chosen], far, k)
-                        if len(b) == k:
+                        b = best_of(np.zeros(len(chosen), np.int64), some_ids[chosen], far, 4 * k)
+                        if len(b) == 4 * k:
                             break
-                    bound = float(far[b].max()) if len(b) == k else math.inf
-                    out.append((name, x[i], bound, -1, [], some_ids[chosen][b].tolist(), far[b].tolist()))
+                    bound = float(far[b].max()) if len(b) == 4 * k else math.inf
                     asked: dict[int, list[int]] = {}
                     for c in order[i].tolist():  # nearest list first
                         for j in range(blocks[c]):
                             asked.setdefault(int(group[c]) + j, []).append(c)
-                    out += [(name, x[i], bound, part, own, [], []) for part, own in asked.items()]
+                    out += [(name, x[i], bound, part, own) for part, own in asked.items()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())))],
-                    names=["id", "vector", "bound", "part", "cells", "ids", "far"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.list_(pa.int32())))],
+                    names=["id", "vector", "bound", "part", "cells"],
                 )
 
-    asked = cut(asking.select("id", "vector").mapInArrow(probe, "id long, vector array<double>, bound double, part int, cells array<int>, ids array<long>, far array<double>"))
-    hits = asked.where("part < 0").select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("ids", "far")).alias("hit")).select("query_id", F.col("hit.ids").alias("vec_id"), F.col("hit.far").alias("score"))
+    asked = cut(asking.select("id", "vector").mapInArrow(probe, "id long, vector array<double>, bound double, part int, cells array<int>"))
     places = spark.createDataFrame([(c, int(group[c]), int(blocks[c])) for c in range(len(centres))], "cell int, first int, blocks int")
     stored = listed.select("id", "vector", F.explode("cells").alias("cell")).join(F.broadcast(places), "cell")
     part = (F.col("first") + F.pmod(F.xxhash64("id", "vector"), F.col("blocks"))).cast("int").alias("part")
     stored = stored.select("id", "vector", F.lit(None).cast("double").alias("bound"), part, F.array("cell").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(False).alias("asks"))
-    wanted = asked.where("part >= 0").select("id", "vector", "bound", "part", "cells", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(True).alias("asks"))
+    wanted = asked.select("id", "vector", "bound", "part", "cells", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(True).alias("asks"))
 
     def run(both: pa.Table) -> pa.Table:
         asks = both.column("asks").to_numpy()
@@ -202,4 +202,4 @@ def search_length(rows: DataFrame, is_query: Column, dims: int, n: int, scale: f
                     bounds[full] = np.minimum(bounds[full], far[last])
         return pa.table({"query_id": names[q_of], "vec_id": ids, "score": far})
 
-    return wanted.unionByName(stored).groupBy("part", "turn").applyInArrow(run, "query_id long, vec_id long, score double").unionByName(hits)
+    return wanted.unionByName(stored).groupBy("part", "turn").applyInArrow(run, "query_id long, vec_id long, score double")
