@@ -220,7 +220,7 @@ def postings(sets: DataFrame, ranges: int, least: int) -> DataFrame:
                 ids.append(i)
                 sets_.append(flat[offsets[k] : offsets[k + 1]].view(np.uint64))
                 held += len(sets_[-1])
-                if len(ids) == 4096 or held > 1_000_000:
+                if len(ids) == 2048 or held > 400_000:
                     yield task | number, ids, sets_
                     ids, sets_, held, number = [], [], 0, number + 1
         if ids:
