@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, urls, variants
 from millrace.functions.values import Values
-from millrace.operators import endpoints, groups, joins, order, pages, sets, steps, windows
+from millrace.operators import endpoints, groups, intervals, joins, order, pages, sets, steps, trees, windows
 from millrace.plans import stored
 from millrace.sources import read
 from millrace.sources.read import table
@@ -428,6 +428,13 @@ def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE = "(SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 7 END AS parent FROM part)"
 
 
+SIZED = "(SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 7 END AS parent, p_size AS size FROM part)"
+
+
+def sized_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 7)).alias("parent"), F.col("p_size").alias("size"))
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 7)).alias("parent"))
 
@@ -437,6 +444,23 @@ def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.tree_levels(tree(spark, sf_dir), F.col("parent").isNull(), 3)
 
 
+@query(f"""WITH RECURSIVE t AS (SELECT id, parent, size, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r FROM {SIZED}),
+    w AS (SELECT id, parent, size, 0 AS depth, [r] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, t.size, depth + 1, list_append(path, t.r) FROM t JOIN w ON t.parent = w.id)
+    SELECT id, parent, size, depth, row_number() OVER (ORDER BY path) - 1 AS position FROM w""")
+def tree_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.reading_order(sized_tree(spark, sf_dir), [F.desc("size")])
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT id, parent, size, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r, count(*) OVER (PARTITION BY parent) AS n FROM {SIZED}),
+    w AS (SELECT id, parent, size, 0 AS depth, [r] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, t.size, depth + 1, list_append(path, t.r) FROM t JOIN w ON t.parent = w.id WHERE t.r <= 3 AND depth < 2),
+    c AS (SELECT parent AS id, count(*) AS n FROM t GROUP BY parent),
+    h AS (SELECT w.*, CAST(coalesce(n, 0) - CASE WHEN depth = 2 THEN 0 ELSE least(coalesce(n, 0), 3) END AS BIGINT) AS hidden FROM w LEFT JOIN c ON w.id = c.id),
+    u AS (SELECT id, parent, size, depth, hidden, CAST(NULL AS VARCHAR) AS note, path FROM h UNION ALL SELECT NULL, id, NULL, depth + 1, hidden, '[+' || hidden || ' more]', list_append(path, 1000000) FROM h WHERE hidden > 0)
+    SELECT id, parent, size, depth, hidden, note, row_number() OVER (ORDER BY path) - 1 AS position FROM u""")
+def tree_with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.reading_order(sized_tree(spark, sf_dir), [F.desc("size")], children=3, levels=3, more="note")
+
+
 @query(f"""WITH t AS (SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY id DESC) AS r FROM {TREE}), a AS (SELECT id, parent, 0 AS depth FROM t WHERE parent IS NULL),
     b AS (SELECT t.id, t.parent, 1 AS depth FROM t JOIN a ON t.parent = a.id WHERE r <= 2), c AS (SELECT t.id, t.parent, 2 AS depth FROM t JOIN b ON t.parent = b.id WHERE r <= 2)
     SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
@@ -626,6 +650,24 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("first >= 0").select("user_id", "first", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@query("""
+    WITH marked AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 14400 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT user_id, us, sum(b) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM marked),
+    spans AS (SELECT user_id, session, min(us) AS start, max(us) + 1 AS stop FROM numbered GROUP BY ALL),
+    hours AS (SELECT DISTINCT epoch_us(date_trunc('hour', ts)) AS start, epoch_us(date_trunc('hour', ts)) + 3600000000 AS stop FROM events)
+    SELECT h.start AS hour_us, count(*) AS sessions, CAST(sum(least(h.stop, s.stop) - greatest(h.start, s.start)) AS BIGINT) AS covered_us FROM spans s JOIN hours h ON s.start < h.stop AND h.start < s.stop GROUP BY h.start""")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sessions each hour with events has, and for how long."""
+    df = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    parted = windows.gap_sessions(df, ["user_id"], ["ts", "event_id"], F.col("us") / 1e6, 14400, bucket=F.date_trunc("day", "ts"))
+    spans = parted.groupBy("user_id", "session").agg(F.min("us").alias("start"), (F.max("us") + 1).alias("stop"))
+    hour = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    hours = df.select(hour.alias("start"), (hour + 3_600_000_000).alias("stop")).distinct()
+    pairs = intervals.overlapping(spans, hours, ("start", "stop"), ("start", "stop"), 3_600_000_000)
+    covered = F.least("stop", "right_stop") - F.greatest("start", "right_start")
+    return pairs.groupBy(F.col("right_start").alias("hour_us")).agg(F.count("*").alias("sessions"), F.sum(covered).cast("long").alias("covered_us"))
+
+
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS start_us, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = streamed(spark, sf_dir, lambda s: events.counted(s, "ts", ["event_type"], "6 hours", "400 days"))
