@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import materialized
+
 # Elements without content, those whose text no one reads, and those that hold no article.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template"}
@@ -217,3 +219,52 @@ def list_selector(elements: DataFrame, keys: list[str], examples: Column) -> Dat
     shared = whole.join(per, keys, "left").groupBy(*keys, "tag", "__tag", "__d", "__e").agg(F.array_sort(F.collect_set(F.when(F.col("__n") == F.col("__all"), F.col("__class")))).alias("__shared"))
     selector = F.concat("tag", F.array_join(F.transform("__shared", lambda c: F.concat(F.lit("."), c)), ""))
     return shared.select(*keys, F.when((F.col("tag") == F.col("__tag")) & (F.col("__d") == F.col("__e")), selector).alias("selector"))
+
+
+# The beginnings of class names that styling tools make, which say nothing of what an element is; classes of a piece.
+STYLING, PIECE_CLASSES, PIECE_LENGTH = r"^(js-|_|svelte-|css-|sc-|styled-|w-|h-|p-|m-|text-|bg-|flex-|grid-|col-|row-)", 3, 40
+PATH = "array<struct<node:long,tag:string,classes:array<string>>>"
+
+
+def ancestor_paths(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys``, node, path) of every element: its ancestors from the top, and itself last, as struct<node, tag, classes>.
+
+    Each round doubles how far up a path goes, so there are as many as the logarithm of the depth. A parent that isn't
+    among the elements ends a path. ``classes`` are the first three that no styling tool has made.
+    """
+    named = F.filter(F.split(F.coalesce("class", F.lit("")), r"\s+"), lambda c: (c != "") & (F.length(c) < PIECE_LENGTH) & ~c.rlike(STYLING))
+    own = F.struct(F.col("node").cast("long").alias("node"), "tag", F.slice(named, 1, PIECE_CLASSES).alias("classes"))
+    now = materialized(elements.select(F.struct(*keys).alias("__page"), F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("up"), F.array(own).cast(PATH).alias("path")))
+    for _ in range(40):
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+        ahead = now.select(F.col("__page").alias("__p"), F.col("node").alias("__at"), F.col("up").alias("__up"), F.col("path").alias("__before"))
+        joined = now.join(ahead, (F.col("__page") == F.col("__p")) & (F.col("up") == F.col("__at")), "left")
+        now = materialized(joined.select("__page", "node", F.col("__up").alias("up"), F.concat(F.coalesce("__before", F.array().cast(PATH)), "path").alias("path")))
+    return now.select("__page.*", "node", "path")
+
+
+def path_selector(elements: DataFrame, keys: list[str], examples: Column) -> DataFrame:
+    """(``keys``, container, container_tag, selector, n) of every page with elements marked by ``examples``: a path that leads from the nearest element that holds all of them to each.
+
+    A level's piece is the tag and the classes that all have there, in the order of the first. ``selector`` is null for a
+    single example, for examples at different depths below the container, or of different tags at a level, or of which
+    one holds another. Levels are compared by counts, so a page of many examples is not gathered.
+    """
+    chosen = elements.where(examples).select(*keys, "node").distinct()
+    pages_of = elements.join(chosen.select(*keys).distinct(), keys, "left_semi")
+    paths = ancestor_paths(pages_of, keys).join(chosen, [*keys, "node"], "left_semi")
+    levels = materialized(paths.select(*keys, "node", F.size("path").alias("__size"), F.posexplode("path").alias("__level", "__step")))
+    whole = paths.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.size("path")).alias("__low"), F.max(F.size("path")).alias("__high"))
+    each = levels.groupBy(*keys, "__level").agg(F.count("*").alias("__n"), F.min("__step.node").alias("__first"), F.max("__step.node").alias("__last"), F.min("__step.tag").alias("__tag"), F.max("__step.tag").alias("__other"))
+    each = each.join(whole, keys).withColumn("__same", (F.col("__n") == F.col("n")) & (F.col("__first") == F.col("__last")))
+    common = each.groupBy(*keys).agg(F.max(F.when(F.col("__same"), F.struct("__level", F.col("__first").alias("node"), F.col("__tag").alias("tag")))).alias("__top"))
+    split = levels.select(*keys, "__level", "node", F.posexplode_outer("__step.classes").alias("__at", "__class"))
+    shared = split.groupBy(*keys, "__level", "__class").agg(F.count_distinct("node").alias("__n"), F.min_by("__at", "node").alias("__at")).join(whole.select(*keys, "n"), keys)
+    shared = shared.where((F.col("__n") == F.col("n")) & F.col("__class").isNotNull()).groupBy(*keys, "__level").agg(F.array_sort(F.collect_list(F.struct("__at", "__class"))).alias("__classes"))
+    piece = F.concat("__tag", F.array_join(F.transform(F.coalesce("__classes", F.array().cast("array<struct<__at:int,__class:string>>")), lambda c: F.concat(F.lit("."), c["__class"])), ""))
+    below = each.join(common, keys).where(F.col("__top").isNull() | (F.col("__level") > F.col("__top.__level"))).join(shared, [*keys, "__level"], "left")
+    parts = below.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__level", piece.alias("piece")))).alias("__parts"), F.bool_and(F.col("__tag") == F.col("__other")).alias("__alike"))
+    out = whole.join(common, keys).join(parts, keys, "left")
+    fit = (F.col("n") >= 2) & (F.col("__low") == F.col("__high")) & F.col("__top").isNotNull() & F.coalesce("__alike", F.lit(False))
+    return out.select(*keys, F.col("__top.node").alias("container"), F.col("__top.tag").alias("container_tag"), F.when(fit, F.array_join(F.transform("__parts", lambda p: p["piece"]), " > ")).alias("selector"), "n")
