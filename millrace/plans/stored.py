@@ -25,6 +25,7 @@ from millrace.functions import text
 from millrace.functions.values import Values
 from millrace.operators import groups, joins, order, pages, sets, steps, windows
 from millrace.operators.steps import StepError
+from millrace.plans import table_functions
 from millrace.sources import read
 
 #: A mark ends at the first two braces outside quotes and inner braces.
@@ -489,7 +490,32 @@ def united(run: Run, df: DataFrame, what: object) -> DataFrame:
     return sets.concat(df, *[run.tables(n).select(*df.columns) for n in names])
 
 
+def tabled(run: Run, df: DataFrame, what: dict) -> DataFrame:
+    """Rows through a table function, by its ``name`` and ``args``.
+
+    Without ``partition`` it is called for each row, and the row stands before each of its rows; with it, once for the
+    rows of each key, in ``order``, and its rows are the result.
+    """
+    table_functions.install(run.spark)
+    if not re.fullmatch(r"[A-Za-z_]\w*", what["name"]):
+        raise StepError(f"no table function {what['name']!r}")
+    given = ", ".join(f"{k} => {run.expression(v)}" for k, v in (what.get("args") or {}).items())
+    if "partition" not in what:
+        run.bound = None
+        out = run.sql(df, "item.*, __f.*", f", LATERAL {what['name']}({given}) AS __f")
+    else:
+        run.order, run.bound = [], None
+        names = lambda some: "(" + ", ".join(f"`{c}`" for c in ([some] if isinstance(some, str) else some)) + ")"
+        table = f"TABLE({{__rows}}) PARTITION BY {names(what['partition'])}" + (f" ORDER BY {names(what['order'])}" if what.get("order") else "")
+        visible = df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("__")])
+        out = run.spark.sql(f"SELECT * FROM {what['name']}({', '.join(x for x in (f'{what.get('rows', 'rows')} => {table}', given) if x)})", __rows=visible)
+    if len(set(out.columns)) < len(out.columns):
+        raise StepError(f"{what['name']} gives columns that the rows have: {', '.join(sorted({c for c in out.columns if out.columns.count(c) > 1}))}")
+    return out
+
+
 STEPS: dict[str, Callable[[Run, DataFrame, object], DataFrame]] = {
+    "table_function": tabled,
     "source": source, "fetch": source, "map": mapped, "filter": filtered, "sort": ordered, "limit": limited, "join": many(joined), "group": grouped, "union": anew(united),
     "intercept": intercepted, "collect": collected, "evaluate": evaluated, "snapshot": snapped,
     "read": anew(lambda run, df, what: pages.articles(df, (what or {}).get("keys", ["page_id", "url"]))),

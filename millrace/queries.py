@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text, urls, variants
 from millrace.functions.values import Values
-from millrace.operators import endpoints, groups, intervals, joins, order, pages, sets, steps, trees, windows
+from millrace.operators import endpoints, groups, intervals, joins, order, pages, sets, sketches, steps, trees, windows
 from millrace.plans import stored
 from millrace.sources import read
 from millrace.sources.read import table
@@ -674,6 +674,22 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("event_type <> 'late'").select("event_type", F.unix_micros("start").alias("start_us"), "n")
 
 
+stored_query("stored_table_function", """
+  - source: {table: part, key: p_partkey}
+  - map: {id: "${{ item.p_partkey }}", text: "${{ concat(item.p_brand, ';', item.p_size, char(10), item.p_name, ';none') }}"}
+  - table_function: {name: parse_lines, args: {text: "${{ item.text }}", columns: "word, n int", separator: ";"}}
+  - map: {id: "${{ item.id }}", line: "${{ item.line }}", word: "${{ item.word }}", n: "${{ item.n }}"}""",
+    "SELECT p_partkey AS id, CAST(0 AS BIGINT) AS line, p_brand AS word, CAST(p_size AS BIGINT) AS n FROM part UNION ALL SELECT p_partkey, 1, p_name, NULL FROM part")
+
+stored_query("stored_table_argument", """
+  - source: {table: events, key: event_id}
+  - map: {id: "${{ item.event_id }}", user: "${{ item.user_id }}", us: "${{ unix_micros(CAST(item.ts AS TIMESTAMP)) }}"}
+  - table_function: {name: number_sessions, partition: user, order: [us, id], args: {time: us, gap: 14400000000}}
+  - sort: {by: id}""",
+    """SELECT id, "user", us, CAST(coalesce(sum(b) OVER (PARTITION BY "user" ORDER BY us, id), 0) AS BIGINT) AS session FROM (
+        SELECT event_id AS id, user_id AS "user", epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+
+
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, body): a JSON body for each page, with a field that not all of them have."""
     page = F.regexp_extract("url", "[?&]page=([0-9]+)", 1)
@@ -709,6 +725,24 @@ def archive_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"), F.sum(image).alias("images"), F.sum(F.octet_length("response_body")).cast("long").alias("bytes"))
 
 
+@query("SELECT event_type, count(*) AS n, true AS users_close, true AS median_close, true AS top_close FROM events GROUP BY event_type")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of every day, stored and merged by event type, held against exact numbers: each within its bound."""
+    df, path = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts")), order.shared_path(spark)
+    sketches.states(df, ["event_type", "day"], ["user_id"], ["value"], ["user_id"]).write.parquet(path)
+    whole = sketches.merged(spark.read.parquet(path), ["event_type"])
+    told = whole.select(F.col("event_type").alias("type"), "rows", sketches.distinct_count("distinct_user_id").alias("users"), sketches.quantile("quantiles_value", 0.5).alias("median"), F.get(sketches.frequent_items("frequent_user_id", 1), F.lit(0)).alias("top"))
+    pairs = df.join(order.materialized(told), F.col("event_type") == F.col("type"))
+    by_user = pairs.groupBy("event_type", "user_id", "top").agg(F.count("*").alias("k"))
+    most = by_user.groupBy("event_type").agg(F.count("*").alias("exact_users"), F.max("k").alias("most"), F.max("top.count").alias("told_most"))
+    below = pairs.groupBy("event_type", "rows", "users").agg(F.sum((F.col("value") <= F.col("median")).cast("long")).alias("below"), F.count("*").alias("n"), F.sum((F.col("value") < F.col("median")).cast("long")).alias("under"))
+    half = F.lit(0.5) * F.col("n")
+    return below.join(most, "event_type").select(
+        "event_type", F.col("rows").alias("n"), (F.abs(F.col("users") - F.col("exact_users")) <= 0.065 * F.col("exact_users")).alias("users_close"),
+        ((F.col("below") >= half - 0.0265 * F.col("n")) & (F.col("under") <= half + 0.0265 * F.col("n"))).alias("median_close"), (F.abs(F.col("most") - F.col("told_most")) <= 1 + F.col("n") / sketches.ITEMS).alias("top_close"),
+    )
+
+
 @query()
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.articles(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("markdown", pages.markdown(F.col("title"), F.col("content")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace import queries
 from millrace.operators import endpoints, groups, joins, order, pages, sets, steps, windows
-from millrace.plans import stored
+from millrace.plans import stored, table_functions
 from millrace.sources import read, write
 from millrace.streaming import events
 
@@ -149,6 +149,42 @@ def test_stored_missing_fields(spark):
     assert run({f"c{i}": f"${{{{ {x} }}}}" for i, x in enumerate(gone)}) == (None,) * 6 + ("",) + (None, None) or run({f"c{i}": f"${{{{ {x} }}}}" for i, x in enumerate(gone)})[:6] == (None,) * 6
 
 
+def test_table_functions(spark):
+    """Columns follow from arguments; lateral calls, table arguments, errors that tell what is wrong."""
+    table_functions.install(spark)
+    t = spark.createDataFrame([(1, "a, 1\n\nb,x, y\nc"), (2, None), (3, "")], "id int, t string")
+    t.createOrReplaceTempView("texts_of_lines")
+    got = spark.sql("SELECT id, f.* FROM texts_of_lines, LATERAL parse_lines(t, 'word, n int') f ORDER BY id, line")
+    assert got.dtypes == [("id", "int"), ("line", "bigint"), ("word", "string"), ("n", "bigint")] and [tuple(r) for r in got.collect()] == [(1, 0, "a", 1), (1, 2, "b", None), (1, 3, "c", None)]
+    for wrong in ("parse_lines(t, t)", "parse_lines(t, '')", "parse_lines(t, 'a,a')", "parse_lines(t, 'a date')"):
+        with pytest.raises(Exception, match="columns|constant"):
+            spark.sql(f"SELECT f.* FROM texts_of_lines, LATERAL {wrong} f").collect()
+    run = lambda step, table=t: stored.run(spark, stored.parse(json.dumps({"site": "s", "name": "n", "pipeline": [{"source": {"table": "t", "key": "id"}}, {"table_function": step}]})), {"t": table}.__getitem__)
+    assert [r.word for r in run({"name": "parse_lines", "args": {"text": "${{ item.t }}", "columns": "word"}}).collect()] == ["a, 1", "b,x, y", "c"]
+    with pytest.raises(steps.StepError, match="id"):
+        run({"name": "parse_lines", "args": {"text": "${{ item.t }}", "columns": "id"}})
+    with pytest.raises(steps.StepError):
+        run({"name": "range(5)); --"})
+    marks = spark.createDataFrame([(i, k, x) for k in ("a", "b", None) for i, x in enumerate([5, None, 6, 20, 21])], "id int, k string, at int").repartition(4)
+    got = run({"name": "number_sessions", "partition": "k", "order": ["id"], "args": {"time": "at", "gap": 10}}, marks)
+    assert {(r.k, r.id): r.session for r in got.collect()} == {(k, i): int(i > 2) for k in ("a", "b", None) for i in range(5)}
+    assert run({"name": "number_sessions", "partition": "k", "args": {"time": "at", "gap": 10}}, marks.limit(0)).count() == 0
+    with pytest.raises(Exception, match="no column"):
+        run({"name": "number_sessions", "partition": "k", "args": {"time": "none", "gap": 10}}, marks).count()
+
+    @table_functions.table_function("twice")
+    class Twice:
+        @staticmethod
+        def analyze(x):
+            return table_functions.AnalyzeResult(table_functions.T.StructType([table_functions.T.StructField("again", x.dataType)]))
+
+        def eval(self, x):
+            yield (x,)
+            yield (x,)
+
+    assert run({"name": "twice", "args": {"x": "${{ item.id }}"}}).dtypes[-1] == ("again", "int") and run({"name": "twice", "args": {"x": "${{ item.id }}"}}).count() == 6
+
+
 def test_stored_timeouts(spark, monkeypatch):
     slow = {"t": spark.range(10**12).select(F.hash("id").alias("h"))}
     text = "site: s\nname: n\ntimeout: {}\npipeline: [{{source: t}}, {{group: {{by: [], agg: {{s: sum(item.h)}}}}}}]"
