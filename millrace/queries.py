@@ -660,7 +660,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sessions each hour with events has, and for how long."""
     df = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     parted = windows.gap_sessions(df, ["user_id"], ["ts", "event_id"], F.col("us") / 1e6, 14400, bucket=F.date_trunc("day", "ts"))
-    spans = parted.groupBy("user_id", "session").agg(F.min("us").alias("start"), (F.max("us") + 1).alias("stop"))
+    spans = order.materialized(parted.groupBy("user_id", "session").agg(F.min("us").alias("start"), (F.max("us") + 1).alias("stop")))  # read twice
     hour = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp")))
     hours = df.select(hour.alias("start"), (hour + 3_600_000_000).alias("stop")).distinct()
     pairs = intervals.overlapping(spans, hours, ("start", "stop"), ("start", "stop"), 3_600_000_000)
