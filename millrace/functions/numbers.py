@@ -6,9 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def one_decimal(x: Column) -> Column:
+    """A number that is not negative with one decimal, as C and Rust print it: the double's exact value is rounded, halves to even.
+
+    ``format_string`` rounds the shortest decimals that name the double, so 0.35, which is a little less, becomes 0.4.
+    Ten times the fraction is ``ten`` and the small rest that its sum of 8 and 2 times loses; the rest decides what looks like a half.
+    """
+    whole = F.floor(x).cast("long")
+    part = x - whole
+    ten = part * 8.0 + part * 2.0
+    rest, low = part * 2.0 - (ten - part * 8.0), F.floor(ten).cast("long")
+    up = (ten - low > 0.5) | ((ten - low == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
+    k = low + up.cast("long")
+    return F.when(x < 2.0**63, F.concat((whole + F.floor(k / 10)).cast("string"), F.lit("."), (k % 10).cast("string"))).otherwise(F.format_string("%.1f", x))
+
+
 def format_size(n: Column) -> Column:
     """Bytes in decimal units with one decimal above 1000, else ``n bytes``."""
-    unit = lambda factor, name: F.format_string(f"%.1f {name}", n / float(factor))
+    unit = lambda factor, name: F.concat(one_decimal(n / float(factor)), F.lit(f" {name}"))
     return F.when(n > 10**9, unit(10**9, "GB")).when(n > 10**6, unit(10**6, "MB")).when(n > 10**3, unit(10**3, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
 
 

@@ -128,3 +128,14 @@ def test_variants(spark):
     assert {tuple(r) for r in variants.field_profile(held, "v").collect()} == {("a", "object", 1), ("a.b", "number", 1), ("c", "string", 1), ("a", "number", 1)}
     assert [(r.i, r.pos, r.key) for r in variants.entry_rows(held, "v", ["i"]).orderBy("i", "pos").collect()] == [(1, 0, "a"), (1, 1, "c"), (2, 0, "a"), (3, 0, None), (3, 1, None)]
     assert held.where("i <= 2").agg(variants.merged_schema(F.col("v"))).first()[0] == "OBJECT<a: VARIANT, c: STRING>"
+
+
+def test_sizes_round_the_exact_value(spark):
+    """Doubles beside a half, halves themselves, and sizes in all units, as Python prints them."""
+    rng = random.Random(1)
+    xs = [0.25, 0.35, 0.75, 1.15, 1.45, 0.05, 99.95, 749.25, 0.0, 3.0, 2.0**47 + 0.25, 2.0**60, *(k / 20 for k in range(1, 4000, 2)), *((rng.randrange(1, 10**12) * 10 + 5) / 100 for _ in range(2000)), *(rng.random() * 10 ** rng.randrange(14) for _ in range(2000))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", numbers.one_decimal(c("x")).alias("y")).collect()
+    assert [(r.x, r.y) for r in got if r.y != "%.1f" % r.x] == []
+    sizes = [1000, 1001, 1050, 149_850, 749_250, 10**6, 10**6 + 1, 1_450_000, 10**9, 1_150_000_000, 2**63 - 1, None]
+    want = ["1000 bytes", "1.0 KB", "1.1 KB", "149.8 KB", "749.2 KB", "1000.0 KB", "1.0 MB", "1.4 MB", "1000.0 MB", "1.1 GB", "9223372036.9 GB", None]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(numbers.format_size(c("n"))).collect()] == want
