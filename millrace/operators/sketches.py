@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size of a count of distinct values (its standard error is about 1.04 / 2 ** (DISTINCT / 2)), of a quantile sketch (at 200 a
-#: rank is within about 1.65 %), and items that a sketch of frequent ones tracks (a count is off by rows / items at most).
+#: rank is within about 1.65 %), and of frequent items: a count is off by rows / ITEMS at most, that of an item not told, 0, too.
 DISTINCT, QUANTILES, ITEMS = 12, 200, 10_000
+#: Items that a sketch tracks for that. Its table has the power of 2 from TRACKED / 0.75 on; a count is off by 3.5 x rows / table,
+#: and an item is told only if it has more than that for certain, so one not told may have twice as many.
+TRACKED = 7 * ITEMS * 3 // 4
 FAMILIES = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double"}
 
 
@@ -28,7 +31,7 @@ def states(df: DataFrame, keys: list[str], distinct: list[str] = (), numbers: li
     out = [F.count("*").alias("rows")]
     out += [F.hll_sketch_agg(F.col(f"`{c}`"), DISTINCT).alias(f"distinct_{c}") for c in distinct]
     out += [getattr(F, f"kll_sketch_agg_{family(df, c)}")(F.col(f"`{c}`").cast(family(df, c)), QUANTILES).alias(f"quantiles_{c}") for c in numbers]
-    out += [F.expr(f"approx_top_k_accumulate(`{c}`, {ITEMS})").alias(f"frequent_{c}") for c in frequent]
+    out += [F.expr(f"approx_top_k_accumulate(`{c}`, {TRACKED})").alias(f"frequent_{c}") for c in frequent]
     return df.groupBy(*keys).agg(*out)
 
 
@@ -46,7 +49,7 @@ def merged(some: DataFrame, keys: list[str], numbers: dict[str, str] | None = No
         elif what == "quantiles":
             out.append(getattr(F, f"kll_merge_agg_{kinds.get(of, 'double')}")(F.col(f"`{c}`"), QUANTILES).alias(c))
         elif what == "frequent":
-            out.append(F.expr(f"approx_top_k_combine(`{c}`, {ITEMS})").alias(c))
+            out.append(F.expr(f"approx_top_k_combine(`{c}`, {TRACKED})").alias(c))
     return some.groupBy(*keys).agg(*out)
 
 
@@ -63,5 +66,8 @@ def quantile(state: str, share: float, kind: str = "double") -> Column:
 
 
 def frequent_items(state: str, k: int) -> Column:
-    """array<struct<item, count>> of the ``k`` most frequent values, about, the most frequent first."""
+    """array<struct<item, count>> of the ``k`` most frequent values, about, the most frequent first.
+
+    Values that are not certain to stand out are left out: where all are rare, the array is empty.
+    """
     return F.expr(f"approx_top_k_estimate(`{state}`, {k})")

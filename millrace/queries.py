@@ -727,14 +727,14 @@ def archive_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, true AS users_close, true AS median_close, true AS top_close FROM events GROUP BY event_type")
 def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of every day, stored and merged by event type, held against exact numbers: each within its bound."""
+    """States of every day, stored and merged by event type, held against exact numbers: each within its bound. Where no user stands out, the told count is 0."""
     df, path = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts")), order.shared_path(spark)
     sketches.states(df, ["event_type", "day"], ["user_id"], ["value"], ["user_id"]).write.parquet(path)
     whole = sketches.merged(spark.read.parquet(path), ["event_type"])
     told = whole.select(F.col("event_type").alias("type"), "rows", sketches.distinct_count("distinct_user_id").alias("users"), sketches.quantile("quantiles_value", 0.5).alias("median"), F.get(sketches.frequent_items("frequent_user_id", 1), F.lit(0)).alias("top"))
     pairs = df.join(order.materialized(told), F.col("event_type") == F.col("type"))
     by_user = pairs.groupBy("event_type", "user_id", "top").agg(F.count("*").alias("k"))
-    most = by_user.groupBy("event_type").agg(F.count("*").alias("exact_users"), F.max("k").alias("most"), F.max("top.count").alias("told_most"))
+    most = by_user.groupBy("event_type").agg(F.count("*").alias("exact_users"), F.max("k").alias("most"), F.coalesce(F.max("top.count"), F.lit(0)).alias("told_most"))
     below = pairs.groupBy("event_type", "rows", "users").agg(F.sum((F.col("value") <= F.col("median")).cast("long")).alias("below"), F.count("*").alias("n"), F.sum((F.col("value") < F.col("median")).cast("long")).alias("under"))
     half = F.lit(0.5) * F.col("n")
     return below.join(most, "event_type").select(

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.operators import sketches
 
 
@@ -45,3 +46,15 @@ def test_states_of_nothing(spark, rows):
     assert sketches.merged(none.limit(0), ["day"]).count() == 0
     with pytest.raises(ValueError):
         sketches.states(rows, ["day"], numbers=["word"])
+
+
+def test_where_no_item_stands_out(spark, tmp_path):
+    """More users than a sketch tracks, none frequent: counts told and not told keep the bound, and the query says so."""
+    n, users = 480_000, 120_000
+    df = spark.range(n).select(F.timestamp_seconds(F.col("id") % 4 * 86_400).cast("timestamp_ntz").alias("ts"), F.pmod(F.xxhash64("id"), F.lit(users)).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 1000).cast("double").alias("value"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    assert queries.merged_sketches(spark, str(tmp_path)).collect() == [("view", n, True, True, True)]
+    days = sketches.states(df.withColumn("day", F.to_date("ts")), ["day"], frequent=["user_id"])
+    told = {t["item"]: t["count"] for t in sketches.merged(days, []).select(sketches.frequent_items("frequent_user_id", sketches.TRACKED).alias("t")).first().t}
+    exact = {r.user_id: r["count"] for r in df.groupBy("user_id").count().collect()}
+    assert all(abs(k - told.get(u, 0)) <= n / sketches.ITEMS for u, k in exact.items())
