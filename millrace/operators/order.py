@@ -48,6 +48,19 @@ def with_position(df: DataFrame, order: list[Column], name: str = "index") -> Da
     return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(2**33 - 1)).drop("__at", "__part", "__before")
 
 
+def before(df: DataFrame, position: str, amount: str, n: int, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows at smaller ``position``, a whole number below ``n`` that no two rows share.
+
+    Stretches of positions are summed apart, a few a partition; one sum a stretch is broadcast.
+    """
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = materialized(df.withColumn("__part", F.floor(F.col(position) / -(-max(n, 1) // parts))))
+    sums = held.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    shift = F.broadcast(sums.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy("__part").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn(name, own).join(shift, F.col("__part") == F.col("__of")).withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__of", "__before")
+
+
 def rank_few(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
     """Positions from 0 of a table that a limit has bounded, by one window."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)

@@ -72,3 +72,14 @@ def test_a_deep_chain(spark, monkeypatch):
     got = trees.reading_order(df, [])
     assert got.where("position <> deep OR depth <> deep").count() == 0 and got.count() == n
     assert len(rounds) <= 20 + 4
+
+
+def test_a_bushy_tree(spark, monkeypatch):
+    """A shallow tree takes as many rounds as the logarithm of its depth, twice, not of its nodes; also with a lost branch, and one of many children."""
+    rounds = []
+    monkeypatch.setattr(trees, "materialized", lambda df, f=trees.materialized: rounds.append(1) or f(df))
+    rows = [(i, None if i < 3 else i // 7 if i < 6000 else 9 if i < 9000 else 10**6 if i == 9000 else 9000, i * 7919 % 31) for i in range(9100)]
+    got = trees.reading_order(spark.createDataFrame(rows, "id long, parent long, score int").repartition(4), [F.desc("score")])
+    assert len(rounds) <= 14
+    want = walk([r for r in rows if r[0] < 9000], lambda r: (-r[2], r[0]))
+    assert [(r.id, r.depth, r.position) for r in got.orderBy("position").collect()] == [(*x[:2], k) for k, x in enumerate(want)]
