@@ -64,16 +64,36 @@ def elements_of(html: str | None) -> list[dict]:
     return [r | {"text": "".join(r["text"]).strip()} for r in parser.rows]
 
 
-def with_parsed(df: DataFrame, html: str, name: str, kind: pa.DataType, sql: str, parse) -> DataFrame:
-    names = df.columns
-    at = names.index(html)
+#: Characters of pages that a task parses before it hands on what it found; a row counts as ROW more.
+PARSED, ROW = 1_000_000, 1000
+
+
+def portions(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of consecutive rows that come to PARSED characters, or of one longer text."""
+    held, size = [], 0
+    for k, x in enumerate(texts):
+        held.append(x.as_py())
+        size += len(held[-1] or "") + ROW
+        if size >= PARSED:
+            yield k + 1 - len(held), held
+            held, size = [], 0
+    if held:
+        yield len(texts) - len(held), held
+
+
+def with_parsed(df: DataFrame, keys: list[str], html: str, name: str, kind: pa.DataType, sql: str, parse) -> DataFrame:
+    """``keys`` and what ``parse`` makes of every page. A worker holds the batch that it reads and what a few pages are parsed to."""
+    names, n = list(dict.fromkeys(keys)), len(set(keys))
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            yield pa.RecordBatch.from_arrays([*table.columns, pa.array([parse(x) for x in table.column(at).to_pylist()], kind)], names=[*names, name])
+            for first, texts in portions(table.column(n)):
+                own = table.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns[:n], pa.array([parse(x) for x in texts], kind)], names=[*names, name])
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{name}` {sql}"]))
+    rows = df.select(*names, F.col(html).alias("__html"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{name}` {sql}"]))
 
 
 def snapshot(pages: DataFrame, keys: list[str], html: str = "html", hidden: bool = False) -> DataFrame:
@@ -81,7 +101,7 @@ def snapshot(pages: DataFrame, keys: list[str], html: str = "html", hidden: bool
 
     Scripts and styles are left out, hidden elements too unless asked for. A null or empty page has none.
     """
-    parsed = with_parsed(pages.select(*keys, html), html, "__elements", pa.list_(ELEMENT), f"array<{ELEMENT_SQL}>", elements_of)
+    parsed = with_parsed(pages, keys, html, "__elements", pa.list_(ELEMENT), f"array<{ELEMENT_SQL}>", elements_of)
     parents = F.array_compact(F.transform("__elements", lambda e: e["parent"]))
     shown = F.transform("__elements", lambda e: e.withField("text", F.when(~F.array_contains(F.col("__parents"), e["node"]), e["text"])))
     rows = parsed.withColumn("__parents", F.array_distinct(parents)).select(*keys, F.explode(shown).alias("e")).select(*keys, "e.*")
@@ -178,7 +198,7 @@ def articles(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame
     The article is the ``article`` or ``main`` element, or else the container, with most text and commas and least link
     text. Navigation, scripts and forms are no part of it. A page without text has nulls.
     """
-    return with_parsed(pages.select(*keys, html), html, "__article", ARTICLE, ARTICLE_SQL, article_of).select(*keys, "__article.*")
+    return with_parsed(pages, keys, html, "__article", ARTICLE, ARTICLE_SQL, article_of).select(*keys, "__article.*")
 
 
 def markdown(title: Column, content: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,29 @@ def test_path_of_two_lists(spark):
     assert pages.path_selector(df, ["k"], F.col("node").isin(3, 6)).first().selector is None and pages.path_selector(df, ["k"], F.col("node") == 3).first().selector is None
     assert pages.path_selector(df, ["k"], F.col("node").isin(2, 5)).first().selector is None and pages.path_selector(df, ["k"], F.lit(False)).count() == 0
     assert {r.node: [s.node for s in r.path] for r in pages.ancestor_paths(df, ["k"]).collect()}[6] == [0, 2, 5, 6]
+
+
+def test_portions():
+    """Rows stay in order and whole; a portion ends with the row that fills it."""
+    texts = [None, "", "x" * 10, *("y" * (k % 700) for k in range(5000)), "z" * 3_000_000, "end"]
+    got = list(pages.portions(pa.array(["before", *texts])[1:]))
+    assert [x for _, some in got for x in some] == texts and [k for k, _ in got] == [sum(len(s) for _, s in got[:i]) for i in range(len(got))]
+    assert len(got) >= 7 and all(sum(len(x or "") + pages.ROW for x in some[:-1]) < pages.PARSED for _, some in got) and list(pages.portions(pa.array([], "string"))) == []
+
+
+def test_a_worker_holds_few_parsed_pages(spark):
+    """Of 5000 pages in one batch no more are held parsed than come to a portion."""
+    alive = [0]
+
+    class Parsed(dict):
+        def __init__(self, text):
+            alive[0] += 1
+            super().__init__(text=text, alive=alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    df = spark.range(5000).select("id", F.concat(F.lit("page "), "id").alias("html"), F.lit(1).alias("other")).coalesce(1)
+    got = pages.with_parsed(df, ["id"], "html", "p", pa.struct([("text", pa.string()), ("alive", pa.int64())]), "struct<text:string,alive:bigint>", Parsed)
+    assert got.columns == ["id", "p"] and got.where("p.text <> concat('page ', id)").count() == 0 and got.count() == 5000
+    assert got.agg(F.max("p.alive")).first()[0] <= 2 * pages.PARSED // pages.ROW
