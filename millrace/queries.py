@@ -751,8 +751,8 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT page_id, 'ul' AS container_tag, 'li > a' AS selector, CAST(len(regexp_extract_all(html, '<li><a href=')) AS BIGINT) AS n FROM pages WHERE len(regexp_extract_all(html, '<li><a href=')) > 1""")
 def page_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path to the links of every page's menu."""
-    elements = pages.snapshot(table(spark, sf_dir, "pages"), ["page_id"])
+    """The path to the links of every page's menu. Elements are read many times, and parsed once."""
+    elements = order.materialized(pages.snapshot(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "node", "parent", "tag", "class"))
     links = elements.where("tag = 'li'").select("page_id", F.col("node").alias("__li"))
     told = elements.join(links, (elements["page_id"] == links["page_id"]) & (elements["parent"] == links["__li"]), "left").select(elements["*"], F.col("__li").isNotNull().alias("listed"))
     return pages.path_selector(told, ["page_id"], F.col("listed") & (F.col("tag") == "a")).where("n > 1").select("page_id", "container_tag", "selector", "n")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.operators import pages
 
 SCHEMA = "k string, node int, parent int, tag string, class string, pick boolean"
@@ -95,3 +96,11 @@ def test_a_worker_holds_few_parsed_pages(spark):
     got = pages.with_parsed(df, ["id"], "html", "p", pa.struct([("text", pa.string()), ("alive", pa.int64())]), "struct<text:string,alive:bigint>", Parsed)
     assert got.columns == ["id", "p"] and got.where("p.text <> concat('page ', id)").count() == 0 and got.count() == 5000
     assert got.agg(F.max("p.alive")).first()[0] <= 2 * pages.PARSED // pages.ROW
+
+
+def test_page_selectors_parse_once(spark, tmp_path):
+    """What is computed after the elements doesn't parse pages again."""
+    menu = "<html><body><ul><li><a href='/a'>a</a></li><li><a href='/b'>b</a></li></ul></body></html>"
+    spark.createDataFrame([(1, "u", menu), (2, "v", "<p>x</p>"), (3, "w", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = queries.page_selectors(spark, str(tmp_path))
+    assert "MapInArrow" not in df._jdf.queryExecution().toString() and df.collect() == [(1, "ul", "li > a", 2)]
